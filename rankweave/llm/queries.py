@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, token_counts
+from rankweave.llm import bpe, quality, token_counts, url_rules
 from rankweave.llm.common import table
 
 
@@ -28,6 +28,28 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    return quality.judge(docs, model).select(*columns)
+
+
+#: The rules that op4's contract states.
+URL_RULES = [
+    url_rules.Rule("allow", "org", "/"),
+    url_rules.Rule("block", "example.org", "/es/"),
+    url_rules.Rule("block", "example.org", "/en/1"),
+    url_rules.Rule("allow", "com", "/fr/"),
+    url_rules.Rule("block", "com", "/de/"),
+]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, tokenizer_path("word_bpe_49k.json"))
@@ -41,6 +63,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_url_filters": op4_url_filters,
     "op8_token_counts": op8_token_counts,
 }
 
