@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a costly value several times but computes it once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; an empty array without words or text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -6,8 +6,9 @@ in two tiers: a table of the most frequent pieces, broadcast once to every
 executor, and a bounded cache in each Python worker, filled by encoding missing
 pieces with the tokenizer's library in batches.
 
-The broadcast table holds at most ``frequent`` pieces from at most
-``sample_docs`` documents, a bound of a few MB.  It only decides which tier
+The broadcast table holds at most ``frequent`` pieces from the
+beginnings of the ``sample_docs`` documents that are read first, a bound of a
+few MB.  It only decides which tier
 answers; every text is counted whole, and no count depends on it.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter as Counts
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,9 +93,10 @@ class Counter:
 
 def frequent_sizes(docs: DataFrame, path: str, text: str, frequent: int, sample_docs: int) -> dict[str, int]:
     """The first tier: sizes of the commonest pieces of some documents."""
-    pieces = docs.select(F.col(text).alias("t")).limit(sample_docs).select(F.explode(F.split(F.coalesce("t", F.lit("")), r"\s+")).alias("piece"))
-    top = pieces.where("piece != ''").groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(frequent)
-    names = [r.piece for r in top.collect() if not ODD_SPACE.search(r.piece)]
+    seen: Counts = Counts()
+    for row in docs.select(F.substring(F.col(text), 1, 20_000)).take(sample_docs):
+        seen.update((row[0] or "").split())
+    names = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:frequent] if not ODD_SPACE.search(p)]
     return dict(zip(names, Counter(path, {}).encode_sizes(names)))
 
 
