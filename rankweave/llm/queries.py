@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, decontaminate, quality, secrets, shards, token_counts, toxicity, url_rules
+from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, token_counts, toxicity, url_rules
 from rankweave.llm.common import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, shingle_words=3, percent=85)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, tokenizer_path("byte_bpe_50k.json"), ids="ids", decoded="decoded")
@@ -95,6 +100,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
