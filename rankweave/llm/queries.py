@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, token_counts, toxicity, url_rules
+from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, toxicity, url_rules
 from rankweave.llm.common import table
 
 
@@ -55,6 +55,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substring_dedup.remove_repeats(docs, window=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
