@@ -47,6 +47,16 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def where_computed(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose boolean column is true, with the column computed first.
+
+    A plain filter would be pushed below the projections that compute the flag,
+    with every expression written out at each of its uses.  A filter that also
+    uses a row number stays above them.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(F.col(f"`{flag}`") & (F.col("__row") >= 0)).drop("__row")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; an empty array without words or text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
