@@ -65,7 +65,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(body, F.length(body)).alias("key"), body.alias("text"))
 
 
-def _by_key(left: DataFrame, small: DataFrame, how: str, max_broadcast_mb: int = 48) -> DataFrame:
+def _by_key(left: DataFrame, small: DataFrame, how: str, max_broadcast_mb: int = 8) -> DataFrame:
     """Join with a table of (key, array of int), broadcast only if its counted size is small."""
     size = small.agg(F.coalesce(F.sum(F.lit(24) + 4 * F.size(small.columns[1])), F.lit(0)).alias("b")).first().b
     return left.join(F.broadcast(small) if size <= max_broadcast_mb << 20 else small, "key", how)
@@ -90,23 +90,33 @@ def repeated_starts(docs: DataFrame, window: int = 35, text: str = "text") -> Da
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            keys, hashes, places = [], [], []
+            keys, hashes, places, weights = [], [], [], []
             for key, t, shared in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = word_hashes(t)
                 starts = np.flatnonzero(np.isin(anchors(words, window), np.array(shared)))
+                values = window_hashes(words, window)[starts]
+                _, first_at, which, times = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+                weight = np.minimum(times[which], 2)
+                again = np.ones(len(starts), dtype=bool)
+                again[first_at] = False
+                weight[again] = 0
                 keys.append(np.full(len(starts), key, dtype=np.int64))
-                hashes.append(window_hashes(words, window)[starts].view(np.int64))
+                hashes.append(values.view(np.int64))
                 places.append(starts.astype(np.int32))
+                weights.append(weight.astype(np.int8))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places)], names=["hash", "key", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places, weights)], names=["hash", "key", "start", "weight"])
 
     found = materialize(keyed.mapInArrow(first, "anchor long, key long, at int"), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-shared")
     spots = found.join(shared, "anchor").groupBy("key").agg(F.collect_set("at").alias("at"))  # bounded by a text's length
     spots = materialize(spots, "shared-anchors")
-    windows = materialize(_by_key(keyed, spots, "inner").select("key", "text", "at").mapInArrow(second, "hash long, key long, start int"), "windows")
-    twice = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return windows.join(twice, "hash").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    windows = materialize(_by_key(keyed, spots, "inner").select("key", "text", "at").mapInArrow(second, "hash long, key long, start int, weight byte"), "windows")
+    # A window that its own text repeats has weight 2 where it is first, and 0 further on:
+    # it needs no count, and a text of one word over and over has one row to count.
+    twice = materialize(windows.where("weight > 0").groupBy("hash").agg(F.sum("weight").alias("n")).where("n > 1").select("hash"), "windows-twice")
+    across = windows.where("weight = 1").join(twice, "hash").select("key", "start")
+    return across.union(windows.where("weight != 1").select("key", "start")).groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
