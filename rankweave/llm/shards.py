@@ -8,8 +8,8 @@ opposite order, until one is left.  The buckets' partitions are combined in the
 same way, in rounds of bounded fan-in, so that at the end each bucket knows
 which of its places is which shard.
 
-A group larger than ``split_share`` of a fair shard is split into pieces of rows
-of that size; otherwise one hot text could hold more than a shard.
+A group larger than ``split_share`` of a fair shard is split into pieces of about
+a sixteenth of that; otherwise one hot text could hold more than a shard.
 
 Defined results: a null text counts as empty and is one group with empty texts;
 rows with a null or repeated id are placed like any other.
@@ -93,7 +93,7 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
     groups = materialize(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     most = max(1, int(total.bytes / shards * split_share))
-    large = groups.where(F.col("bytes") > most).select("group", F.ceil(F.col("bytes") / most).cast("int").alias("pieces"))  # at most shards / split_share groups
+    large = groups.where(F.col("bytes") > most).select("group", F.ceil(16 * F.col("bytes") / most).cast("int").alias("pieces"))  # at most shards / split_share groups
     spread = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("pieces")).cast("int"))
     rows = rows.join(F.broadcast(large), "group", "left").withColumn("piece", spread).drop("pieces")
     if large.limit(1).count():  # pieces are dealt once and kept
