@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.plans import analytics, relational, scalars  # noqa: F401  (they register queries)
+from rankweave.plans import analytics, more, relational, scalars  # noqa: F401  (they register queries)
 from rankweave.plans.registry import QUERIES, SQL
 
 

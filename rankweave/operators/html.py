@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Elements whose content is not shown.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "iframe"}
@@ -38,7 +40,7 @@ def text_of(html: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for html in batches:
         yield html.map(text_of)
@@ -47,3 +49,38 @@ def visible_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def links(html: Column) -> Column:
     """Distinct hrefs of anchors, in order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit('<a[^>]+href="([^"]+)"'), F.lit(1)))
+
+
+@F.pandas_udf(T.StringType())
+def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
+    """Links resolved against their page's URL."""
+    return pd.Series([_join(b, h) for b, h in zip(base, href)])
+
+
+def _join(base: str | None, href: str | None) -> str | None:
+    try:
+        return urljoin(base or "", href or "")
+    except ValueError:
+        return None
+
+
+def page_number(url: Column) -> Column:
+    """The number of a listing's page, from its path or query; null without one."""
+    path, key = F.regexp_extract(url, r"/page/(\d+)", 1), F.regexp_extract(url, r"[?&](?:page|p|pg|paged)=(\d+)", 1)
+    return F.coalesce(path.try_cast("bigint"), key.try_cast("bigint"))
+
+
+def image_sources(html: Column) -> Column:
+    """Distinct image addresses from src, data-src, linked files and CSS backgrounds."""
+    patterns = [r'(?i)<img[^>]+?\bsrc="([^"]+)"', r'(?i)\bdata-(?:src|original)="([^"]+)"', r'(?i)href="([^"]+\.(?:jpe?g|png|webp|gif))"', r"(?i)background(?:-image)?:\s*url\(['\"]?([^'\")]+)"]
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns]))
+
+
+def best_heading(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, heading, source, confidence): the first of h1, h2, og:title and title that has text."""
+    sources = [("h1", r"(?is)<h1[^>]*>(.*?)</h1>", 0.85), ("h2", r"(?is)<h2[^>]*>(.*?)</h2>", 0.80), ("og", r'(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', 0.75), ("title", r"(?is)<title[^>]*>(.*?)</title>", 0.70)]
+    found = []
+    for name, pattern, confidence in sources:
+        text = F.trim(F.regexp_replace(F.regexp_extract(html, pattern, 1), "<[^>]+>", ""))
+        found.append(F.when(text != "", F.struct(text.alias("heading"), F.lit(name).alias("source"), F.lit(confidence).alias("confidence"))))
+    return pages.select(key, F.coalesce(*found).alias("x")).where("x is not null").select(key, "x.*")
