@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, toxicity, url_rules
 from rankweave.llm.common import table
+from rankweave.llm.oracle import SQL  # noqa: F401  (registered with the queries)
 
 
 def tokenizer_path(name: str) -> str:
@@ -117,6 +118,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
-
-#: Queries that DuckDB can state over whole tables.
-SQL: dict[str, str] = {}

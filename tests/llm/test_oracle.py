@@ -1,0 +1,25 @@
+"""The queries that DuckDB can state give its rows."""
+
+import duckdb
+import pytest
+
+from rankweave.llm.queries import QUERIES, SQL
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = QUERIES[name](spark, DATA), con.sql(SQL[name])
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    place = [want.columns.index(c) for c in names]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(tuple(r[i] for i in place) for r in want.fetchall())
+
+
+def test_every_operator_is_registered_once():
+    numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
+    assert sorted(numbers) == list(range(1, 11))
