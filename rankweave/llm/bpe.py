@@ -183,6 +183,11 @@ class PrefixEncoder:
                 cache.clear()
         return out
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that is idle, or has other work next, then holds the vocabulary only."""
+        for cache in (self.known, self.after_space, self.apart, *self.edges):
+            cache.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.pieces(text or "")))
 
@@ -217,13 +222,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in text_slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            rows = [np.fromiter(chain.from_iterable(bpe.pieces(t or "")), dtype=np.int32) for t in texts]
-            columns = [*batch.columns, _lists(rows)]
-            if decoded:
-                columns.append(pa.array([bpe.decode(r.tolist()) for r in rows], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, ids, *([decoded] if decoded else [])])
+        try:
+            for batch in text_slices(batches, text):
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                rows = [np.fromiter(chain.from_iterable(bpe.pieces(t or "")), dtype=np.int32) for t in texts]
+                columns = [*batch.columns, _lists(rows)]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(r.tolist()) for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, ids, *([decoded] if decoded else [])])
+        finally:
+            bpe.forget()
 
     return given.mapInArrow(run, schema)
 
