@@ -23,6 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import FMClassificationModel, FMClassifier
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,17 +63,17 @@ class ToxicityModel:
     known: list[int]
     buckets: int
 
-    def with_features(self, docs: DataFrame, text: str, out: str) -> DataFrame:
-        """Add a vector with a 1 for each known bucket among the text's terms."""
+    def with_features(self, docs: DataFrame, terms: Column, out: str) -> DataFrame:
+        """Add a vector with a 1 for each known bucket among ``terms``."""
         known = F.lit(self.known).cast("array<int>")
-        held = F.array_intersect(hashed_terms(F.col(f"`{text}`"), self.buckets), known)
+        held = F.array_intersect(terms, known)
         return docs.withColumn(out, array_to_vector(bind(held, lambda h: F.transform(known, lambda k: F.array_contains(h, k).cast("double")))))
 
     def with_score(self, docs: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
         """Add the probability of label 1; all columns of ``docs`` are kept."""
         if self.machine is None:
             return docs.withColumn(out, F.lit(0.0))
-        rows = self.with_features(docs, text, f"{out}_features")
+        rows = self.with_features(docs, hashed_terms(F.col(f"`{text}`"), self.buckets), f"{out}_features")
         machine = self.machine.copy().setFeaturesCol(f"{out}_features").setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"{out}_both")
         return machine.transform(rows).withColumn(out, vector_to_array(f"{out}_both")[1]).drop(f"{out}_features", f"{out}_both")
 
@@ -99,11 +100,12 @@ def fit(
     by_id = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(label) > 0).cast("double").alias("label"))
     chosen = materialize(by_id.orderBy(F.xxhash64("_key"), "_key").limit(max_labelled), "toxic-labels")
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_key")  # bounded by max_labelled
-    texts = materialize(texts.groupBy("_text").agg(F.max("label").alias("label")), "toxic-sample")
+    texts = texts.groupBy("_text").agg(F.max("label").alias("label")).select("label", hashed_terms(F.col("_text"), buckets).alias("terms"))
+    texts = materialize(texts, "toxic-sample")
     n = texts.agg(F.count("*").alias("all"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
     if not 0 < n.bad < n.all:
         return ToxicityModel(None, [], buckets)
-    terms = texts.select("label", F.explode(hashed_terms(F.col("_text"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).where(F.col("n") >= min_docs)
+    terms = texts.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).where(F.col("n") >= min_docs)
     off = F.col("bad") * (n.all - n.bad - F.col("n") + F.col("bad")) - (F.col("n") - F.col("bad")) * (n.bad - F.col("bad"))
     chi = n.all * off * off / (F.col("n") * (n.all - F.col("n")) * n.bad * (n.all - n.bad))
     best = terms.where(F.col("n") < n.all).withColumn("chi", chi).where(F.col("chi") >= least_chi_square).orderBy(F.desc("chi"), "bucket").limit(max_terms)
@@ -111,6 +113,9 @@ def fit(
     if not known:
         return ToxicityModel(None, [], buckets)
     model = ToxicityModel(None, known, buckets)
-    rows = materialize(model.with_features(texts, "_text", "features").select("features", "label"), "toxic-features")
+    # The assembler makes vectors sparse, and the machine's gradients as short as they are; the hint spares it a job for their size.
+    hint = VectorSizeHint(inputCol="all_features", size=len(known), handleInvalid="optimistic")
+    rows = VectorAssembler(inputCols=["all_features"], outputCol="features").transform(hint.transform(model.with_features(texts, F.col("terms"), "all_features")))
+    rows = materialize(rows.select("features", "label"), "toxic-features")
     model.machine = FMClassifier(featuresCol="features", labelCol="label", factorSize=factors, maxIter=iterations, stepSize=0.1, initStd=0.01, seed=11).fit(rows)
     return model
