@@ -74,8 +74,12 @@ def digest(shingle_set: np.ndarray) -> bytes:
     return np.array([len(shingle_set), one, two], dtype=np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame, size: int, n_hashes: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, digest, sketch) for each row; null digest and sketch for an empty set."""
+def sketches(docs: DataFrame, size: int, n_hashes: int, text: str = "text", key: str = "doc_id", hashed: bool = False) -> DataFrame:
+    """(id, n_shingles, digest, sketch) for each row; null digest and sketch for an empty set.
+
+    ``hashed`` adds ``text_hash``, the text's xxhash64.
+    """
+    more = [F.xxhash64(F.col(f"`{text}`")).alias("text_hash")] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -85,9 +89,10 @@ def sketches(docs: DataFrame, size: int, n_hashes: int, text: str = "text", key:
                 counts.append(len(s))
                 digests.append(digest(s) if len(s) else None)
                 values.append(sketch(s, n_hashes).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary())], names=["id", "n_shingles", "digest", "sketch"])
+            names = ["id", "n_shingles", "digest", "sketch", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary()), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), *more).mapInArrow(run, _SKETCH + (", text_hash long" if hashed else ""))
 
 
 def _sets(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
@@ -236,16 +241,19 @@ def near_duplicates(
     miss_probability: float = 1e-5,
     prune_probability: float = 1e-6,
     block: int = 64,
+    hashed: bool = False,
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
     ``percent`` is the least similarity in hundredths.  ``component_id`` is the
     least id reachable over links, and a row is kept if that is its own.
+    ``hashed`` adds ``text_hash`` and ``group``, which tells components of null
+    or clashing ids apart and is null for empty sets.
     """
     threshold = percent / 100
     bands = bands_needed(threshold, band_rows, miss_probability)
     n_hashes = -(-bands * band_rows // BATCH) * BATCH
-    base = materialize(sketches(docs, shingle_words, n_hashes, text, key), "sketches")
+    base = materialize(sketches(docs, shingle_words, n_hashes, text, key, hashed), "sketches")
 
     # Equal sets are one representative, known by a hash of the set's digest.
     whole = base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least_id"), F.min("sketch").alias("sketch"))
@@ -309,8 +317,9 @@ def _open_links(judged: DataFrame, labels: DataFrame, body: DataFrame, percent:
 
 def _result(base: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Component ids are the least document ids: labels joined back to all rows."""
-    rows = base.select("id", "n_shingles", F.xxhash64("digest").alias("rep"), F.col("digest").isNull().alias("bare"))
+    more = ["text_hash"] if "text_hash" in base.columns else []
+    rows = base.select("id", "n_shingles", *more, F.xxhash64("digest").alias("rep"), F.col("digest").isNull().alias("bare"))
     named = rows.join(labels, (F.col("rep") == F.col("node")) & ~F.col("bare"), "left").withColumn("group", F.when(~F.col("bare"), F.coalesce("component", "rep")))
     least = named.where("not bare").groupBy("group").agg(F.min("id").alias("least"))
-    out = named.join(least, "group", "left").select(F.col("id").alias(key), "n_shingles", F.when(F.col("bare"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    out = named.join(least, "group", "left").select(F.col("id").alias(key), "n_shingles", F.when(F.col("bare"), F.col("id")).otherwise(F.col("least")).alias("component_id"), *([*more, "group"] if more else []))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

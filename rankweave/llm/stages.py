@@ -6,7 +6,7 @@ columns of the documents are never shadowed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets
@@ -17,12 +17,16 @@ OWN = "__rankweave_"
 MAX_LISTED = 2_000_000
 
 
+def _same_row() -> Column:
+    """Whether a document's id and text are those of a listed (id, text hash)."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64("text") == F.col(f"{OWN}hash"))
+
+
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is not in ``drop``."""
     drop = materialize(drop.distinct(), "dropped")
     drop = F.broadcast(drop) if drop.count() <= MAX_LISTED else drop
-    same = F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64("text") == F.col(f"{OWN}hash"))
-    return docs.join(drop, same, "left_anti")
+    return docs.join(drop, _same_row(), "left_anti")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -36,17 +40,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the least id.
+    """Keep one row of each group: the one with the least id, and of those the least text hash.
 
-    Five-word shingles and a similarity of 0.8.  Rows that repeat the kept
-    document's id stay if they are the only ones; of several with that id and
-    equal text, one stays.
+    Five-word shingles and a similarity of 0.8.  Null ids come last.  Rows are
+    told apart by id and text, so a row whose id also stands on a copy stays.  A
+    text without words is linked with nothing, and only its repeats with the same
+    id (null is one, too) go.  Of rows with equal id and text, the one with the
+    least other columns stays.
     """
-    groups = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
-    lost = materialize(groups.where("not kept").select(F.col("doc_id").alias(f"{OWN}id")).distinct(), "near-copies")
-    lost = F.broadcast(lost) if lost.count() <= MAX_LISTED else lost
-    kept = docs.join(lost, F.col("doc_id") == F.col(f"{OWN}id"), "left_anti")
-    return kept
+    rows = near_dedup.near_duplicates(docs, shingle_words=5, percent=80, hashed=True)
+    pairs = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "group").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs, "near-rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    best = pairs.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("best"))
+    stays = F.col("best").isNull() | (order == F.col("best"))
+    judged = pairs.join(best, "group", "left").select(F.col("id").alias(f"{OWN}id"), F.col("hash").alias(f"{OWN}hash"), "n", stays.alias("stays"))
+    judged = materialize(judged, "near-verdicts")
+    kept = _without(docs, judged.where("not stays or n > 1").select(f"{OWN}id", f"{OWN}hash"))
+    repeated = judged.where("stays and n > 1").select(f"{OWN}id", f"{OWN}hash")
+    if not repeated.limit(1).count():
+        return kept
+    repeated = F.broadcast(repeated) if repeated.count() <= MAX_LISTED else repeated
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(repeated, _same_row()).groupBy(f"{OWN}id", f"{OWN}hash").agg(F.min(row).alias(f"{OWN}row"))
+    return kept.unionByName(one.select(f"{OWN}row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

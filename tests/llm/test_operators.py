@@ -377,6 +377,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(final) == 31 and all(r.round_trip and r.n_tokens == len(r.ids) for r in final)
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    """Repeated rows, copies with null ids, and an id that stands on two texts."""
+    near = lambda t: t + " end"
+    t = [prose(700 + i, 60) for i in range(8)]
+    rows = [(1, t[0], "b"), (1, t[0], "a"), (1, t[0], "a"), (2, near(t[0]), "a")]  # repeats of the kept row
+    rows += [(None, t[1], "a"), (None, near(t[1]), "a"), (None, t[1], "b"), (None, t[2], "a")]  # null ids only
+    rows += [(3, t[3], "a"), (4, near(t[3]), "a"), (4, t[4], "a")]  # the id of a near copy on a clean text
+    rows += [(5, t[5], "a"), (5, t[6], "a"), (5, t[6], "a"), (None, t[5], "a")]  # two groups with one least id
+    rows += [(6, "", "a"), (6, "", "a"), (7, "", "a"), (8, None, "a"), (None, None, "a"), (None, None, "b"), (9, t[7], None)]  # no words
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = Counter(tuple(r) for r in stages.near_dedup_stage(spark, df, "").collect())
+    (null_copy,) = [r for r in got if r[0] is None and r[1] in (t[1], near(t[1]))]
+    assert null_copy[2] == "a"
+    want = [(1, t[0], "a"), null_copy, (None, t[2], "a"), (3, t[3], "a"), (4, t[4], "a"), (5, t[5], "a"), (5, t[6], "a")]
+    assert got == Counter(want + [(6, "", "a"), (7, "", "a"), (8, None, "a"), (None, None, "a"), (9, t[7], None)])
+
+
 def test_digests_of_the_registered_queries(spark):
     from rankweave.llm.queries import QUERIES
 
