@@ -15,7 +15,9 @@ they sift the documents' fingerprints where those are made, and are broadcast
 for the join; beyond that, all document fingerprints go into a shuffled join.
 
 Defined results: null and empty texts and items have no words and no hits;
-equal items each count; repeated document rows are judged each for itself.
+equal items each count; repeated document rows are judged each for itself; an
+items with null ids hit like others, and all of them are one null at the end of
+``items``.
 """
 
 from __future__ import annotations
@@ -127,13 +129,15 @@ def _match(rows: DataFrame, prints: DataFrame, few: bool) -> DataFrame:
     right = _same_run(lambda k: F.get(around, size + (REACH + k - 1)), lambda k: F.get(item, item_at + size + (k - 1)), REACH)
     middle = F.slice(around, REACH + 1, size) == F.slice(item, item_at + 1, size)
     span = F.when(F.col("item_size") < 0, F.struct(at.alias("start"), (at + size).alias("end"))).when(left + size + right >= SPAN, F.struct((at - left).alias("start"), (at + size + right).alias("end")))
-    span = F.when(F.col("item_id").isNotNull() & middle, span)
+    span = F.when(F.col("item_print").isNotNull() & middle, span)
     found = hit.select("n", "keys", "n_words", span.alias("span"), F.col("item_id").cast("string").alias("item"))
+    bare = F.max(F.col("span").isNotNull() & F.col("item").isNull())
+    ids = F.array_sort(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item"))))
     return found.groupBy("n").agg(
         F.first("keys").alias("keys"),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.collect_set("span")).alias("hits"),
-        F.array_sort(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item")))).alias("items"),
+        F.when(bare, F.array_append(ids, F.lit(None).cast("string"))).otherwise(ids).alias("items"),
     )
 
 

@@ -252,6 +252,15 @@ def test_decontamination(spark, docs, listed):
     assert got == want
 
 
+def test_decontamination_by_items_with_null_ids(spark):
+    items = spark.createDataFrame([(None, " ".join(WORDS[10:30])), (None, "ONE two"), (3, " ".join(WORDS[15:30]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(1, 120)), (2, "one two"), (3, "three"), (4, " ".join(WORDS[10:22]))], "doc_id long, text string")
+    for listed in (100_000, 0):
+        got = decontaminate.find_leaks(docs, items, max_listed=listed)
+        got = {r.doc_id: (r.hit, r["items"]) for r in got.withColumn("hit", decontaminate.hit_words(F.col("hits"))).collect()}
+        assert got == {1: (20, ["3", None]), 2: (2, [None]), 3: (0, []), 4: (12, [None])}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
