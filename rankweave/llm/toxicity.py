@@ -8,23 +8,26 @@ terms that only matter together, such as an insult with a group's mention, are
 learned as a pair.  It is trained with Spark's FMClassifier on a bounded sample
 of labelled texts.
 
-Most terms are noise for it.  It is given the buckets that tell the labels
-apart in the sample: those of enough texts with the highest chi-square between
-bucket and label, at most ``max_terms`` of them.
+It is given every bucket of at least ``min_docs`` sample texts, in sparse
+vectors of length one.  Most terms are noise for it, so a bucket's value grows
+with what it tells of the label in the sample (the square root of chi-square over
+the texts' number, less ``NOISE``), but none is 0: terms that tell something only
+together with others (`either, but not both`) keep a share of their spread.
 
 Defined results: null and empty texts have no terms and get the score of the
 bias; labels that are null are not learned from, several labels of an id count
 as toxic if any of them does; repeated rows are scored each for itself; without
-labels of both kinds every score is 0.
+labels of both kinds, or any bucket of enough texts, every score is 0.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import FMClassificationModel, FMClassifier
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import FMClassifier
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ WORD = r"[^\p{L}\p{N}]+"
 
 #: Lengths of the word beginnings that count as terms beside whole words.
 BEGINNINGS = (4, 5, 6)
+#: Chi-square that chance may give a bucket, and the share of its spread that every bucket's value has.
+NOISE, SPREAD = 3.0, 0.2
 
 
 def hashed_terms(text: Column, buckets: int) -> Column:
@@ -55,27 +60,45 @@ def _beginnings(words: Column, size: int, bucket) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: bucket(size, F.substring(w, 1, size)))
 
 
+def _values(known: np.ndarray, value: np.ndarray, terms: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, term) pairs those with known terms: row, the term's place, and its value, each row of length one."""
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    held = known[at] == terms
+    at, row = at[held], row[held]
+    length = np.sqrt(np.bincount(row, value[at] ** 2, rows))
+    return row, at, value[at] / length[row]
+
+
 @dataclass
 class ToxicityModel:
-    """A fitted machine with the buckets that it knows; none without labels of both kinds."""
+    """A fitted machine: the sorted buckets that it knows, their values, weights and factors; none without labels of both kinds."""
 
-    machine: FMClassificationModel | None
-    known: list[int]
+    known: np.ndarray | None
+    value: np.ndarray | None
     buckets: int
-
-    def with_features(self, docs: DataFrame, terms: Column, out: str) -> DataFrame:
-        """Add a vector with a 1 for each known bucket among ``terms``."""
-        known = F.lit(self.known).cast("array<int>")
-        held = F.array_intersect(terms, known)
-        return docs.withColumn(out, array_to_vector(bind(held, lambda h: F.transform(known, lambda k: F.array_contains(h, k).cast("double")))))
+    bias: float = 0.0
+    weights: np.ndarray | None = None
+    factors: np.ndarray | None = None
 
     def with_score(self, docs: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
         """Add the probability of label 1; all columns of ``docs`` are kept."""
-        if self.machine is None:
+        if self.weights is None:
             return docs.withColumn(out, F.lit(0.0))
-        rows = self.with_features(docs, hashed_terms(F.col(f"`{text}`"), self.buckets), f"{out}_features")
-        machine = self.machine.copy().setFeaturesCol(f"{out}_features").setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"{out}_both")
-        return machine.transform(rows).withColumn(out, vector_to_array(f"{out}_both")[1]).drop(f"{out}_features", f"{out}_both")
+        shared = docs.sparkSession.sparkContext.broadcast((self.known, self.value, self.bias, self.weights, self.factors))
+
+        @F.arrow_udf("double")
+        def score(terms: pa.Array) -> pa.Array:
+            known, value, bias, weights, factors = shared.value
+            rows = len(terms)
+            row = np.repeat(np.arange(rows), terms.value_lengths().to_numpy(zero_copy_only=False))
+            row, at, x = _values(known, value, terms.flatten().to_numpy(zero_copy_only=False), row, rows)
+            z = bias + np.bincount(row, x * weights[at], rows)
+            for f in factors:
+                xf = x * f[at]
+                z += (np.bincount(row, xf, rows) ** 2 - np.bincount(row, xf**2, rows)) / 2
+            return pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+        return docs.withColumn(out, score(hashed_terms(F.col(f"`{text}`"), self.buckets)))
 
 
 def fit(
@@ -86,16 +109,15 @@ def fit(
     label: str = "toxic",
     buckets: int = 1 << 20,
     max_labelled: int = 30_000,
-    max_terms: int = 512,
     min_docs: int = 8,
-    least_chi_square: float = 60.0,
+    least_chi_square: float = 0.0,
     factors: int = 8,
     iterations: int = 80,
 ) -> ToxicityModel:
     """Train on at most ``max_labelled`` labelled documents, taken by hash order of their ids.
 
-    Equal texts count once.  A bucket must be in ``min_docs`` sample texts and
-    reach ``least_chi_square``.
+    Equal texts count once.  A bucket must be in ``min_docs`` sample texts; those
+    in all tell nothing.  ``least_chi_square`` leaves more of them out if it is set.
     """
     by_id = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(label) > 0).cast("double").alias("label"))
     chosen = materialize(by_id.orderBy(F.xxhash64("_key"), "_key").limit(max_labelled), "toxic-labels")
@@ -104,18 +126,26 @@ def fit(
     texts = materialize(texts, "toxic-sample")
     n = texts.agg(F.count("*").alias("all"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
     if not 0 < n.bad < n.all:
-        return ToxicityModel(None, [], buckets)
-    terms = texts.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).where(F.col("n") >= min_docs)
-    off = F.col("bad") * (n.all - n.bad - F.col("n") + F.col("bad")) - (F.col("n") - F.col("bad")) * (n.bad - F.col("bad"))
-    chi = n.all * off * off / (F.col("n") * (n.all - F.col("n")) * n.bad * (n.all - n.bad))
-    best = terms.where(F.col("n") < n.all).withColumn("chi", chi).where(F.col("chi") >= least_chi_square).orderBy(F.desc("chi"), "bucket").limit(max_terms)
-    known = sorted(r.bucket for r in best.collect())
-    if not known:
-        return ToxicityModel(None, [], buckets)
-    model = ToxicityModel(None, known, buckets)
-    # The assembler makes vectors sparse, and the machine's gradients as short as they are; the hint spares it a job for their size.
-    hint = VectorSizeHint(inputCol="all_features", size=len(known), handleInvalid="optimistic")
-    rows = VectorAssembler(inputCols=["all_features"], outputCol="features").transform(hint.transform(model.with_features(texts, F.col("terms"), "all_features")))
-    rows = materialize(rows.select("features", "label"), "toxic-features")
-    model.machine = FMClassifier(featuresCol="features", labelCol="label", factorSize=factors, maxIter=iterations, stepSize=0.1, initStd=0.01, seed=11).fit(rows)
-    return model
+        return ToxicityModel(None, None, buckets)
+    terms = texts.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    found = terms.where((F.col("n") >= min_docs) & (F.col("n") < n.all)).toArrow().sort_by("bucket")  # at most ``buckets`` rows
+    known, docs_with, bad = (found.column(c).to_numpy() for c in ("bucket", "n", "bad"))
+    off = bad * (n.all - n.bad - docs_with + bad) - (docs_with - bad) * (n.bad - bad)
+    chi = n.all * off**2 / (docs_with * (n.all - docs_with) * n.bad * (n.all - n.bad))
+    share = docs_with / n.all
+    value = np.sqrt(np.maximum(chi - NOISE, 0) / n.all) + SPREAD * np.sqrt(share * (1 - share))
+    known, value = known[chi >= least_chi_square], value[chi >= least_chi_square]
+    if not len(known):
+        return ToxicityModel(None, None, buckets)
+    shared = docs.sparkSession.sparkContext.broadcast((known, value))
+
+    @F.udf(VectorUDT())
+    def features(terms: list[int]) -> SparseVector:
+        known, value = shared.value
+        row = np.zeros(len(terms), dtype=np.int64)
+        _, at, x = _values(known, value, np.sort(np.array(terms, dtype=np.int64)), row, 1)
+        return SparseVector(len(known), at, x)
+
+    rows = materialize(texts.select(features("terms").alias("features"), "label"), "toxic-features")
+    machine = FMClassifier(featuresCol="features", labelCol="label", factorSize=factors, maxIter=iterations, stepSize=0.3, initStd=0.01, seed=11).fit(rows)
+    return ToxicityModel(known, value, buckets, machine.intercept, machine.linear.toArray(), np.ascontiguousarray(machine.factors.toArray().T))

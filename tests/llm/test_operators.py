@@ -316,6 +316,26 @@ def test_toxicity_learns_pairs(spark):
     assert all(0 <= r.score <= 1 for r in odd)
 
 
+@pytest.mark.parametrize("xor", [False, True])
+def test_toxicity_learns_pairs_by_default(spark, xor):
+    """Production defaults; words that tell nothing alone, where one but not both makes a text toxic."""
+    rows = []
+    for i in range(1200):
+        a, b = i % 2, i // 2 % 2
+        rows.append((i, " ".join(prose(1000 + i, 25).split() + ["vermin"] * a + ["zorblings"] * b), int(a != b if xor else a and b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = toxicity.fit(df, df.where("doc_id % 3 <> 1").select("doc_id", "toxic")).with_score(df).where("doc_id % 3 = 1").collect()
+    right = sum((r.score >= 0.5) == (r.toxic == 1) for r in scored) / len(scored)
+    assert right >= (0.8 if xor else 0.98)
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    rows = [(i, prose(2000 + i, 25) + " vermin" * (i % 4 == 0), int(i % 4 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = toxicity.fit(df, df.select("doc_id", "toxic")).with_score(df).collect()
+    assert all((r.score >= 0.5) == (r.toxic == 1) for r in scored)
+
+
 def test_differencing_beats_greedy_order():
     sums, places = shards.difference_sizes([8, 7, 6, 5, 4], 2)
     assert max(sums) - min(sums) <= 2
