@@ -16,6 +16,25 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def similar_hosts(hosts: DataFrame, host: str) -> DataFrame:
+    """(host, other, ratio): pairs of hosts of one top-level domain whose ratio is at least 0.7.
+
+    A ratio of 0.7 means that 20 times the matched characters are 7 times both
+    lengths or more.  That bounds the other's length, which is joined on, and the
+    characters in common, in any order; only what passes both is compared.
+    """
+    n = F.length("host")
+    rows = hosts.select(F.col(host).alias("host")).distinct().where("host <> ''").withColumn("tld", F.substring_index("host", ".", -1))
+    letters = F.split("host", "")
+    nth = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
+    rows = rows.withColumn("letters", nth).withColumn("n", n)
+    left = rows.withColumn("other_n", F.explode(F.sequence(F.ceil(F.col("n") * 7 / 13).cast("int"), F.floor(F.col("n") * 13 / 7).cast("int"))))
+    right = rows.select(F.col("host").alias("other"), "tld", F.col("letters").alias("other_letters"), F.col("n").alias("other_n"))
+    enough = 20 * F.size(F.array_intersect("letters", "other_letters")) >= 7 * (F.col("n") + F.col("other_n"))
+    pairs = left.join(right, ["tld", "other_n"]).where((F.col("host") < F.col("other")) & enough)
+    return pairs.select("host", "other", similarity("host", "other").alias("ratio")).where(F.col("ratio") >= F.lit(0.7))
+
+
 def fingerprint(pages: DataFrame, key: str, rules: list[tuple[str, str, str, float]], threshold: float = 0.5) -> DataFrame:
     """(key, system, score): the system whose signals weigh most of its total.
 

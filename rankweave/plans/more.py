@@ -196,10 +196,7 @@ def _(m: Model) -> DataFrame:
 
 @query("x44_host_similarity")
 def _(m: Model) -> DataFrame:
-    hosts = m.table("pages").select(T.domain(F.col("url")).alias("host")).distinct()
-    pairs = hosts.withColumn("start", F.substring("host", 1, 4))
-    other = pairs.select(F.col("host").alias("other"), "start")
-    return pairs.join(other, "start").where("host < other").select("host", "other", classify.similarity("host", "other").alias("ratio")).where("ratio >= 0.7")
+    return classify.similar_hosts(m.table("pages").select(T.domain(F.col("url")).alias("host")), "host")
 
 
 @query("x45_id_pattern")
