@@ -157,6 +157,15 @@ def _(m: Model) -> DataFrame:
     return maintain.upsert(venues.where("venue_id <= 8"), source, ["venue_id"], keep_if_null=["name"])
 
 
+_MERGED = "SELECT provider_id, member_id, max(score) score, max(venue_id) venue_id FROM reviews WHERE member_id IS NOT NULL AND status = '{}' GROUP BY 1, 2"
+
+
+@query("d01_upsert_full", f", t AS ({_MERGED.format('approved')}), s AS ({_MERGED.format('pending')}) SELECT coalesce(t.provider_id, s.provider_id) provider_id, coalesce(t.member_id, s.member_id) member_id, CASE WHEN s.provider_id IS NULL THEN t.score ELSE coalesce(s.score, t.score) END score, CASE WHEN s.provider_id IS NULL THEN t.venue_id ELSE s.venue_id END venue_id, CASE WHEN t.provider_id IS NULL THEN 'inserted' WHEN s.provider_id IS NULL THEN 'kept' ELSE 'updated' END action FROM t FULL JOIN s ON t.provider_id = s.provider_id AND t.member_id = s.member_id")
+def _(m: Model) -> DataFrame:
+    rows = m.reviews().where("member_id is not null").groupBy("status", "provider_id", "member_id").agg(F.max("score").alias("score"), F.max("venue_id").alias("venue_id"))
+    return maintain.upsert(rows.where("status = 'approved'").drop("status"), rows.where("status = 'pending'").drop("status"), ["provider_id", "member_id"], keep_if_null=["score"])
+
+
 @query("d04_fail_streak", ", l AS (SELECT user_id, max((ts, event_id)) AS at FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT u.user_id, count(e.event_id) streak FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l ON l.user_id = u.user_id LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = 'error' AND (l.at IS NULL OR (e.ts, e.event_id) > l.at) GROUP BY 1")
 def _(m: Model) -> DataFrame:
     log = m.table("events").withColumn("ok", F.col("event_type") != "error")
