@@ -6,6 +6,7 @@ that the operators make.
 """
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -309,7 +310,7 @@ def test_toxicity_learns_pairs(spark):
         a, b = i % 2, i // 2 % 2
         rows.append((i, " ".join(w + ["vermin"] * a + ["zorblings"] * b), int(a and b)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df, df.where("doc_id % 3 <> 1").select("doc_id", "toxic"), least_chi_square=20)
+    model = toxicity.fit(df, df.where("doc_id % 3 <> 1").select("doc_id", "toxic"))
     scored = model.with_score(df).where("doc_id % 3 = 1").collect()
     assert sum((r.score >= 0.5) == (r.toxic == 1) for r in scored) >= 0.98 * len(scored)
     odd = model.with_score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
@@ -336,6 +337,25 @@ def test_toxicity_learns_from_few_labels(spark):
     assert all((r.score >= 0.5) == (r.toxic == 1) for r in scored)
 
 
+def test_toxicity_scores_equal_a_plain_machine(spark, docs):
+    """Scores of the exported weights, pair by pair in plain Python; long, repeated and empty texts included."""
+    rows = [(1000 + i, prose(3000 + i, 20) + " vermin" * (i % 3 == 0), int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    got = model.with_score(docs.withColumn("terms", toxicity.hashed_terms(F.col("text"), model.buckets)))
+    assert got.columns == [*docs.columns, "terms"] and got.schema["score"].dataType.simpleString() == "double"
+    place = {b: i for i, b in enumerate(model.known.tolist())}
+    for r in got.collect():
+        at = [place[b] for b in r.terms if b in place]
+        length = sum(model.value[i] ** 2 for i in at) ** 0.5
+        x = {i: model.value[i] / length for i in at}
+        z = model.bias + sum(model.weights[i] * v for i, v in x.items())
+        for k, i in enumerate(at):
+            for j in at[:k]:
+                z += x[i] * x[j] * sum(f[i] * f[j] for f in model.factors)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_differencing_beats_greedy_order():
     sums, places = shards.difference_sizes([8, 7, 6, 5, 4], 2)
     assert max(sums) - min(sums) <= 2
