@@ -28,6 +28,7 @@ kinds, or any bucket of enough texts, every score is 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +46,8 @@ WORD = r"[^\p{L}\p{N}]+"
 BEGINNINGS = (4, 5, 6)
 #: Chi-square that chance may give a bucket, and the share of its spread that every bucket's value has.
 NOISE, SPREAD = 8.0, 0.05
+#: Terms that are scored at once, in whole texts.
+SCORED_TERMS = 200_000
 
 
 def hashed_terms(text: Column, buckets: int) -> Column:
@@ -85,23 +88,32 @@ class ToxicityModel:
     weights: np.ndarray | None = None
     factors: np.ndarray | None = None
 
+    @staticmethod
+    def _scores(machine: tuple, terms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        known, value, bias, weights, factors = machine
+        rows = len(ends) - 1
+        row, at, x = _values(known, value, terms, np.repeat(np.arange(rows), np.diff(ends)), rows)
+        z = bias + np.bincount(row, x * weights[at], rows)
+        for f in factors:
+            xf = x * f[at]
+            z += (np.bincount(row, xf, rows) ** 2 - np.bincount(row, xf**2, rows)) / 2
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
     def with_score(self, docs: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
         """Add the probability of label 1; all columns of ``docs`` are kept."""
         if self.weights is None:
             return docs.withColumn(out, F.lit(0.0))
-        shared = docs.sparkSession.sparkContext.broadcast((self.known, self.value, self.bias, self.weights, self.factors))
+        shared, scores = docs.sparkSession.sparkContext.broadcast((self.known, self.value, self.bias, self.weights, self.factors)), self._scores
 
         @F.arrow_udf("double")
         def score(terms: pa.Array) -> pa.Array:
-            known, value, bias, weights, factors = shared.value
-            rows = len(terms)
-            row = np.repeat(np.arange(rows), terms.value_lengths().to_numpy(zero_copy_only=False))
-            row, at, x = _values(known, value, terms.flatten().to_numpy(zero_copy_only=False), row, rows)
-            z = bias + np.bincount(row, x * weights[at], rows)
-            for f in factors:
-                xf = x * f[at]
-                z += (np.bincount(row, xf, rows) ** 2 - np.bincount(row, xf**2, rows)) / 2
-            return pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            ends, flat = np.concatenate(([0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)))), terms.flatten().to_numpy(zero_copy_only=False)
+            out, first = np.empty(len(terms)), 0
+            while first < len(terms):  # some texts at a time: a batch of long ones would take much memory
+                stop = max(first + 1, int(np.searchsorted(ends, ends[first] + SCORED_TERMS, side="right")) - 1)
+                out[first:stop] = scores(shared.value, flat[ends[first] : ends[stop]], ends[first : stop + 1] - ends[first])
+                first = stop
+            return pa.array(out)
 
         return docs.withColumn(out, score(hashed_terms(F.col(f"`{text}`"), self.buckets)))
 
@@ -144,30 +156,38 @@ def _descend(start: _Step, at: np.ndarray, x: np.ndarray, ends: np.ndarray, y: n
 
 
 def _mean(start: _Step, results: list[tuple[int, _Step]]) -> _Step:
-    """The mean of the parts' machines; a bucket's over the parts that have texts with it."""
+    """The mean of the parts' machines; a bucket's over the parts that have texts with it.  Squared gradients add up, so steps shrink as if one task had seen all."""
     n = sum(w for w, _ in results)
-    bias = sum(w * r.bias for w, r in results) / n
+    bias = np.array([sum(w * r.bias[0] for w, r in results) / n, start.bias[1] + sum(r.bias[1] - start.bias[1] for _, r in results)])
     moved, share, squares = np.zeros(start.weights.shape), np.zeros(len(start.weights)), np.zeros(start.squares.shape)
     for w, r in results:
         share += w * (r.squares[:, 0] > start.squares[:, 0])
         moved += w * (r.weights - start.weights)
-        squares += w * (r.squares - start.squares)
+        squares += r.squares - start.squares
     share = np.maximum(share, 1)[:, None]
-    return _Step(bias, (start.weights + moved / share).astype(np.float32), (start.squares + squares / share).astype(np.float32))
+    return _Step(bias, (start.weights + moved / share).astype(np.float32), (start.squares + squares).astype(np.float32))
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for a part: its texts' labels, and the places of their terms one after the other."""
+    pdf = pdf.sort_values("row", ignore_index=True)  # the same order on every attempt
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in pdf["at"]]))).astype(np.int64)
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "ends": [ends.tobytes()], "at": [np.concatenate(list(pdf["at"])).astype(np.int32).tobytes()], "label": [pdf["label"].to_numpy(np.float64).tobytes()]})
 
 
 def _trainer(shared, sent, number: int, epochs: int, rate: float, batch: int, toxic_weight: float):
-    """The task of one round for one part: (part, row, label, at) rows to one machine."""
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", ignore_index=True)  # the same order on every attempt
-        ends = np.concatenate(([0], np.cumsum([len(a) for a in pdf["at"]])))
-        at = np.concatenate(list(pdf["at"])).astype(np.int64)
-        x = shared.value[1][at]
-        x = x / np.repeat(np.sqrt(np.add.reduceat(x**2, ends[:-1])), np.diff(ends))
-        rng = np.random.RandomState(1000 * number + int(pdf["part"].iloc[0]))
-        out = _descend(sent.value, at, x, ends, pdf["label"].to_numpy(), rng, epochs, rate, batch, toxic_weight)
-        return pd.DataFrame({"n": [len(pdf)], "bias": [out.bias.tobytes()], "weights": [out.weights.tobytes()], "squares": [out.squares.tobytes()]})
+    """The task of one round: packed parts to one machine each."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(len(rows)):
+                part, ends, at, y = (rows.column(c)[i].as_py() for c in range(4))
+                ends, at, y = np.frombuffer(ends, np.int64), np.frombuffer(at, np.int32), np.frombuffer(y)
+                x = shared.value[1][at]
+                x = x / np.repeat(np.sqrt(np.add.reduceat(x**2, ends[:-1])), np.diff(ends))
+                out = _descend(sent.value, at, x, ends, y, np.random.RandomState(1000 * number + part), epochs, rate, batch, toxic_weight)
+                moved = (out.weights - sent.value.weights).astype(np.float16)
+                yield pa.RecordBatch.from_pydict({"n": [len(y)], "bias": [out.bias.tobytes()], "moved": [moved.tobytes()], "squares": [out.squares.tobytes()]})
 
     return train
 
@@ -182,8 +202,8 @@ def fit(
     max_labelled: int = 30_000,
     min_docs: int = 8,
     factors: int = 8,
-    rounds: int = 3,
-    epochs: int = 2,
+    rounds: int = 6,
+    epochs: int = 1,
     rate: float = 0.2,
     batch: int = 64,
     toxic_weight: float = 4.0,
@@ -197,7 +217,7 @@ def fit(
     the loss, so a score is a probability at odds raised by that much.
 
     A part has about ``part_texts`` texts, but there are ``max_parts`` at most.  Each sends
-    one machine to the driver in a round: 44 bytes for each bucket known.
+    one machine to the driver in a round: 26 bytes for each bucket known.
     """
     by_id = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(label) > 0).cast("double").alias("label"))
     chosen = materialize(by_id.orderBy(F.xxhash64("_key"), "_key").limit(max_labelled), "toxic-labels")
@@ -228,15 +248,16 @@ def fit(
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
 
     parts = max(1, min(max_parts, -(-n.all // part_texts)))
-    rows = materialize(texts.select(F.pmod("row", F.lit(parts)).cast("int").alias("part"), "row", "label", held("terms").alias("at")).where("size(at) > 0"), "toxic-features")
+    dealt = texts.select(F.pmod("row", F.lit(parts)).cast("int").alias("part"), "row", "label", held("terms").alias("at")).where("size(at) > 0")
+    packed = materialize(dealt.groupBy("part").applyInPandas(_pack, "part int, ends binary, at binary, label binary"), "toxic-parts")
     rng = np.random.RandomState(11)
-    drawn = np.concatenate((np.zeros((len(known), 1)), rng.normal(0, 0.2, (len(known), factors))), axis=1)
+    drawn = np.concatenate((np.zeros((len(known), 1)), rng.normal(0, 0.1, (len(known), factors))), axis=1)
     machine = _Step(np.array([np.log(n.bad / (n.all - n.bad)), 1e-6]), drawn.astype(np.float32), np.full((len(known), 2), 1e-6, np.float32))
     for number in range(rounds):
         train = _trainer(shared, context.broadcast(machine), number, epochs, rate, batch, toxic_weight)
-        done = rows.groupBy("part").applyInPandas(train, "n long, bias binary, weights binary, squares binary").collect()  # one row for each part
+        done = packed.mapInArrow(train, "n long, bias binary, moved binary, squares binary").collect()  # one row for each part
         if done:
-            done = [(r.n, _Step(np.frombuffer(r.bias), np.frombuffer(r.weights, np.float32).reshape(machine.weights.shape), np.frombuffer(r.squares, np.float32).reshape(-1, 2))) for r in done]
+            done = [(r.n, _Step(np.frombuffer(r.bias), machine.weights + np.frombuffer(r.moved, np.float16).reshape(machine.weights.shape), np.frombuffer(r.squares, np.float32).reshape(-1, 2))) for r in done]
             machine = _mean(machine, sorted(done, key=lambda x: (x[0], x[1].bias[0])))
     table = machine.weights.astype(np.float64)
     return ToxicityModel(known, value, buckets, float(machine.bias[0]), table[:, 0].copy(), np.ascontiguousarray(table[:, 1:].T))
