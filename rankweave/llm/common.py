@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    local tests, a temporary folder of this machine is set.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset and Spark
+    runs in this process alone, as in tests, a temporary folder of this machine is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is unset: executors of {master} share no folder with the driver")
         found = f"file://{tempfile.mkdtemp(prefix='rankweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that was made of them is written itself."""
+    for df in tables:
+        session = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """An expression that uses a costly value several times but computes it once for each row."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -4,7 +4,7 @@ Two documents are linked where the Jaccard similarity of their shingle sets
 reaches the threshold; a group is a connected component of links.
 
 1. Each text gets a sketch: its set's size and digest, and MinHash values.
-   Documents with equal sets become one representative.
+   Documents with equal sets become one numbered representative.
 2. Representatives meet in buckets of banded MinHash values.  Enough bands are
    taken that a pair at the threshold is missed with probability
    ``miss_probability`` at most.  In each bucket, the least representative is the
@@ -12,19 +12,26 @@ reaches the threshold; a group is a connected component of links.
 3. A star's pairs with its centre are compared by batches of MinHash values.
    After each batch a pair is dropped if the posterior probability that its
    similarity reaches the threshold is under ``prune_probability``.  What is left
-   is verified on the full sets.
+   is verified on the full sets.  Every representative first meets one of its
+   centres; with others, it is compared only where the two are not in one
+   component by then.
 4. Members not linked with their centre are compared with the star's members in
    blocks of bounded size, by the same steps.  A member whose similarity to the
    centre cannot reach ``1 - 2 * (1 - threshold)`` is too far from all documents
    linked with the centre (the Jaccard distance is a metric), so it is only
-   compared with the other unlinked members.
+   compared with members that are not known to be linked with the centre.
 5. Links are closed to components by alternating minimum-neighbour steps over
    tables in the shared folder.
 
+Tables that are no longer needed are deleted on the way; two stay, which the
+result is read from.
+
 Defined results: null texts and texts without words have an empty set, are
 linked with nothing and are their own group; rows with a null id take part, and
 a group of null ids only has a null component; repeated rows are one document's
-rows, all with the same result; other columns are not kept.
+rows, all with the same result; a very long text has one set like any other; an
+empty table gives an empty one; ids are taken as long (one that is not a number
+counts as null); other columns are not kept, so that none can clash.
 """
 
 from __future__ import annotations
@@ -38,10 +45,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import materialize, text_slices
+from rankweave.llm.common import discard, materialize, text_slices
 from rankweave.llm.wordhash import mix, shingles
 
 BATCH = 25
+#: At most so many rows are broadcast: ids, or pairs of two numbers, about 70 bytes each there.
+MAX_LISTED = 500_000
 _SKETCH = "id long, n_shingles long, digest binary, sketch binary"
 
 
@@ -57,14 +66,17 @@ def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(shingle_set: np.ndarray, n: int) -> np.ndarray:
-    """The least values of ``n`` hash functions over a set, in 32 bits each."""
+    """The least values of ``n`` hash functions over a set, in 16 bits each.
+
+    Values that differ agree in 16 bits once in 65,536 times, which can only keep a pair longer.
+    """
     a, b = _hashers(n)
     least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(shingle_set), 1024):
         part = shingle_set[start : start + 1024, None] * a
         part += b
         np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(48)).astype(np.uint16)
 
 
 def digest(shingle_set: np.ndarray) -> bytes:
@@ -144,7 +156,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.uint32).reshape(len(values), -1)
+    return np.frombuffer(b"".join(values), dtype=np.uint16).reshape(len(values), -1)
 
 
 def _judge_centres(pairs: DataFrame, percent: int, prune: float) -> DataFrame:
@@ -183,8 +195,8 @@ def _judge_blocks(pairs: DataFrame, percent: int, prune: float) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 one, two = row["one"], row["two"] or row["one"]
                 left, right = np.array([m["rep"] for m in one]), np.array([m["rep"] for m in two])
-                a = np.frombuffer(b"".join(m["sketch"] for m in one), np.uint32).reshape(len(one), -1)
-                b = np.frombuffer(b"".join(m["sketch"] for m in two), np.uint32).reshape(len(two), -1)
+                a = np.frombuffer(b"".join(m["sketch"] for m in one), np.uint16).reshape(len(one), -1)
+                b = np.frombuffer(b"".join(m["sketch"] for m in two), np.uint16).reshape(len(two), -1)
                 x, y = (g.ravel() for g in np.meshgrid(np.arange(len(one)), np.arange(len(two)), indexing="ij"))
                 if row["two"] is None:
                     x, y = x[left[x] < right[y]], y[left[x] < right[y]]
@@ -226,11 +238,18 @@ def components(links: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("component"), F.col("component").alias("higher"))
         jumped = step.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), "before")
         jumped = materialize(jumped, "labels")
+        discard(labels, step)
         labels = jumped.select("node", "component")
         if not jumped.where("component != before").limit(1).count():
+            discard(both)
             return labels
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has ``MAX_LISTED`` rows at most."""
+    return F.broadcast(df) if df.limit(MAX_LISTED + 1).count() <= MAX_LISTED else df
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = 5,
@@ -248,78 +267,114 @@ def near_duplicates(
     ``percent`` is the least similarity in hundredths.  ``component_id`` is the
     least id reachable over links, and a row is kept if that is its own.
     ``hashed`` adds ``text_hash`` and ``group``, which tells components of null
-    or clashing ids apart and is null for empty sets.
+    or clashing ids apart and is null for empty sets and rows without a link.
     """
     threshold = percent / 100
     bands = bands_needed(threshold, band_rows, miss_probability)
     n_hashes = -(-bands * band_rows // BATCH) * BATCH
     base = materialize(sketches(docs, shingle_words, n_hashes, text, key, hashed), "sketches")
 
-    # Equal sets are one representative, known by a hash of the set's digest.
-    whole = base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least_id"), F.min("sketch").alias("sketch"))
-    reps = materialize(whole.select(F.xxhash64("digest").alias("rep"), "least_id", "sketch"), "representatives")
-    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sketch", 4 * band_rows * j + 1, 4 * band_rows)) for j in range(bands)])
-    banded = reps.select("least_id", "rep", F.explode(keys).alias("bucket"))
-    centres = banded.groupBy("bucket").agg(F.min(F.struct("least_id", "rep")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.rep").alias("centre"))
+    # Rows with equal sets are one representative.
+    whole = base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least_id"), F.count("*").alias("rows"), F.min("sketch").alias("sketch"))
+    reps = materialize(whole.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sketch", 2 * band_rows * j + 1, 2 * band_rows)) for j in range(bands)])
+    banded = reps.select("rep", F.explode(keys).alias("bucket"))
+    centres = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
     stars = materialize(banded.join(centres, "bucket").where("rep != centre").select("centre", "rep").distinct(), "stars")
+    body = _bodies(docs, stars, reps, shingle_words, text, key)
+
+    judged = _judge(stars.groupBy("rep").agg(F.min("centre").alias("centre")), body, percent, prune_probability)
+    labels = components(judged.where("verdict = 'Y'").select(F.col("centre").alias("a"), F.col("rep").alias("b")))
+    placed = _placed(stars, judged, labels)
+    # Centres of other components; then, where a star has a member far from its centre, all that is not judged yet.
+    for wanted in ("verdict is null and not same", "verdict is null and far"):
+        far = placed.where("verdict = 'F'").select("centre").distinct().withColumn("far", F.lit(True))
+        more = placed.join(far, "centre", "left").where(wanted).select("centre", "rep")
+        if not more.limit(1).count():
+            continue
+        more = _judge(materialize(more, "star-pairs"), body, percent, prune_probability)
+        judged = judged.union(more)
+        links = more.where("verdict = 'Y'").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+        labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        discard(placed)
+        placed = _placed(stars, judged, labels)
+    links = _open_links(placed, body, percent, prune_probability, block)
+    if links is not None:
+        labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    out = _result(base, reps, labels, key)
+    discard(stars, body, judged, placed, labels, reps, *([links] if links is not None else []))
+    return out
+
 
-    # Full sets of the representatives that stand in some star.
+def _bodies(docs: DataFrame, stars: DataFrame, reps: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """(rep, sketch, members) of the representatives that stand in some star; sets are made of the texts anew."""
     wanted = stars.select("rep").union(stars.select(F.col("centre").alias("rep"))).distinct()
-    short = materialize(reps.join(wanted, "rep"), "wanted")
-    ids = short.select(F.col("least_id").alias("id")).distinct()
-    ids = F.broadcast(ids) if short.count() <= 2_000_000 else ids  # 16 MB at most
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text")).join(ids, F.col("_id").eqNullSafe(F.col("id")), "left_semi")
-    full = _sets(texts, shingle_words, "text", "_id").select(F.xxhash64("digest").alias("rep"), "members").groupBy("rep").agg(F.max("members").alias("members"))
-    body = materialize(short.join(full, "rep").select("rep", "sketch", "members"), "bodies")
-
-    centre_body = body.select(F.col("rep").alias("centre"), F.col("sketch").alias("centre_sketch"), F.col("members").alias("centre_members"))
-    pairs = stars.join(body, "rep").join(centre_body, "centre").select("centre", "rep", "sketch", "members", "centre_sketch", "centre_members")
-    judged = materialize(_judge_centres(pairs, percent, prune_probability), "judged")
-    direct = judged.where("verdict = 'Y'").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    labels = components(direct)
-    more = _open_links(judged, labels, body, percent, prune_probability, block)
-    if more is not None:
-        labels = components(direct.union(more))
-    return _result(base, labels, key)
-
-
-def _open_links(judged: DataFrame, labels: DataFrame, body: DataFrame, percent: int, prune: float, block: int) -> DataFrame | None:
+    short = materialize(reps.join(_small(wanted), "rep").select("rep", "digest", "least_id", "sketch"), "wanted")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
+    texts = texts.join(_small(short.select(F.col("least_id").alias("id")).distinct()), F.col("_id").eqNullSafe(F.col("id")), "left_semi")
+    full = _sets(texts, size, "text", "_id").groupBy("digest").agg(F.max("members").alias("members"))
+    body = materialize(short.join(full, "digest").select("rep", "sketch", "members"), "bodies")
+    discard(short)
+    return body
+
+
+def _judge(pairs: DataFrame, body: DataFrame, percent: int, prune: float) -> DataFrame:
+    """(centre, rep, verdict) of pairs (centre, rep)."""
+    ours = body.select("rep", "sketch", "members").join(_small(pairs), "rep")
+    theirs = body.join(_small(pairs.select(F.col("centre").alias("rep")).distinct()), "rep", "left_semi")
+    theirs = theirs.select(F.col("rep").alias("centre"), F.col("sketch").alias("centre_sketch"), F.col("members").alias("centre_members"))
+    both = ours.join(theirs, "centre").select("centre", "rep", "sketch", "members", "centre_sketch", "centre_members")
+    return materialize(_judge_centres(both, percent, prune), "judged")
+
+
+def _placed(stars: DataFrame, judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stars with each member's verdict, if there is one, and whether it is in the centre's component."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+    out = stars.join(judged, ["centre", "rep"], "left").join(of("rep"), "rep", "left").join(of("centre"), "centre", "left")
+    same = F.coalesce("rep_component", "rep") == F.coalesce("centre_component", "centre")
+    return materialize(out.select("centre", "rep", "verdict", same.alias("same")), "placed")
+
+
+def _open_links(placed: DataFrame, body: DataFrame, percent: int, prune: float, block: int) -> DataFrame | None:
     """Links that stars leave open: between members not linked with their centre and others.
 
     Kinds of a star's members: 0 near and 1 far from the centre, both outside of
-    its component; 2 in its component by other links; 3 linked with the centre.
-    Which kinds can still add links: 0 and 1 among themselves, both with 2, and
-    0 with 3.
+    its component; 2 in its component, by other links as far as is known; 3 linked
+    with the centre.  Which kinds can still add links: 0 and 1 among themselves,
+    both with 2, and 0 with 3.
     """
-    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    placed = judged.join(of("rep"), "rep", "left").join(of("centre"), "centre", "left")
-    same = F.coalesce("rep_component", "rep") == F.coalesce("centre_component", "centre")
-    kind = F.when(F.col("verdict") == "Y", 3).when(same, 2).when(F.col("verdict") == "N", 0).otherwise(1)
-    placed = materialize(placed.select("centre", "rep", kind.alias("kind")), "placed")
-    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
-    sizes = placed.groupBy("centre").agg(*[n(k).alias(f"n{k}") for k in range(4)])
-    is_open = "n0 + n1 > 1 or (n0 > 0 and n2 + n3 > 0) or (n1 > 0 and n2 > 0)"
-    open_stars = sizes.where(is_open)
-    members = placed.join(open_stars, "centre")
+    kind = F.when(F.col("verdict") == "Y", 3).when(F.col("same"), 2).when(F.col("verdict") == "N", 0).otherwise(1)
+    kinds = placed.select("centre", "rep", kind.alias("kind"))
+    sizes = kinds.groupBy("centre").agg(*[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)])
+    open_stars = materialize(sizes.where("n0 + n1 > 1 or (n0 > 0 and n2 + n3 > 0) or (n1 > 0 and n2 > 0)"), "open-stars")
+    if not open_stars.limit(1).count():
+        return None
+    members = kinds.join(open_stars, "centre")
     count = F.get(F.array("n0", "n1", "n2", "n3"), F.col("kind"))
     dealt = members.where("kind < 3 or n0 > 0").select("centre", "rep", "kind", F.pmod(F.xxhash64("rep"), F.ceil(count / F.lit(block))).cast("int").alias("block"))
     blocks = dealt.join(body, "rep").groupBy("centre", "kind", "block").agg(F.collect_list(F.struct("rep", "sketch", "members")).alias("rows"))  # about ``block`` rows each
     blocks = materialize(blocks, "blocks")
-    if not blocks.limit(1).count():
-        return None
-    one = blocks.select("centre", F.col("kind").alias("kind1"), F.col("block").alias("block1"), F.col("rows").alias("one"))
-    two = blocks.select("centre", F.col("kind").alias("kind2"), F.col("block").alias("block2"), F.col("rows").alias("two"))
-    open_kinds = "(kind1 < 2 and kind2 < 2 and (kind1 < kind2 or kind1 = kind2 and block1 <= block2)) or (kind1 < 2 and kind2 = 2) or (kind1 = 0 and kind2 = 3)"
+    # Which blocks meet is settled by their numbers; the rows come by (centre, kind, block), so no star is one key.
+    one = blocks.select("centre", F.col("kind").alias("kind1"), F.col("block").alias("block1"))
+    two = blocks.select("centre", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
+    meet = "(kind1 < 2 and kind2 < 2 and (kind1 < kind2 or kind1 = kind2 and block1 <= block2)) or (kind1 < 2 and kind2 = 2) or (kind1 = 0 and kind2 = 3)"
+    numbers = materialize(one.join(two, "centre").where(meet), "block-pairs")
     itself = (F.col("kind1") == F.col("kind2")) & (F.col("block1") == F.col("block2"))
-    pairs = one.join(two, "centre").where(open_kinds).select("one", F.when(~itself, F.col("two")).alias("two"))
-    return materialize(_judge_blocks(pairs, percent, prune), "open-links")
-
-
-def _result(base: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Component ids are the least document ids: labels joined back to all rows."""
+    rows = lambda n: blocks.select("centre", F.col("kind").alias(f"kind{n}"), F.col("block").alias(f"block{n}"), F.col("rows").alias(f"rows{n}"))
+    pairs = numbers.join(rows(1), ["centre", "kind1", "block1"]).join(rows(2), ["centre", "kind2", "block2"])
+    found = materialize(_judge_blocks(pairs.select(F.col("rows1").alias("one"), F.when(~itself, F.col("rows2")).alias("two")), percent, prune), "open-links")
+    discard(open_stars, blocks, numbers)
+    return found
+
+
+def _result(base: DataFrame, reps: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Component ids are the least document ids: settled for representatives, then joined to all rows by the set's digest."""
+    named = reps.select("rep", "digest", "least_id", "rows").join(labels, F.col("rep") == F.col("node"), "left").where("rows > 1 or component is not null")
+    named = materialize(named.select("digest", "least_id", F.coalesce("component", "rep").alias("group")), "named-sets")
+    least = materialize(named.groupBy("group").agg(F.min("least_id").alias("least")), "least-ids")
+    groups = materialize(named.join(least, "group").select("digest", "group", "least"), "groups")
+    discard(named, least)
     more = ["text_hash"] if "text_hash" in base.columns else []
-    rows = base.select("id", "n_shingles", *more, F.xxhash64("digest").alias("rep"), F.col("digest").isNull().alias("bare"))
-    named = rows.join(labels, (F.col("rep") == F.col("node")) & ~F.col("bare"), "left").withColumn("group", F.when(~F.col("bare"), F.coalesce("component", "rep")))
-    least = named.where("not bare").groupBy("group").agg(F.min("id").alias("least"))
-    out = named.join(least, "group", "left").select(F.col("id").alias(key), "n_shingles", F.when(F.col("bare"), F.col("id")).otherwise(F.col("least")).alias("component_id"), *([*more, "group"] if more else []))
+    rows = base.select("id", "n_shingles", "digest", *more).join(groups, "digest", "left")
+    out = rows.select(F.col("id").alias(key), "n_shingles", F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), *([*more, "group"] if more else []))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

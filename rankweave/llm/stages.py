@@ -13,8 +13,8 @@ from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets
 from rankweave.llm.common import materialize, table, where_computed
 
 OWN = "__rankweave_"
-#: At most so many ids are broadcast (16 bytes each).
-MAX_LISTED = 2_000_000
+#: At most so many (id, text hash) are broadcast, about 70 bytes each there.
+MAX_LISTED = 500_000
 
 
 def _same_row() -> Column:
@@ -52,7 +52,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     pairs = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "group").agg(F.count("*").alias("n"))
     pairs = materialize(pairs, "near-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    best = pairs.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("best"))
+    best = materialize(pairs.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("best")), "near-best")
     stays = F.col("best").isNull() | (order == F.col("best"))
     judged = pairs.join(best, "group", "left").select(F.col("id").alias(f"{OWN}id"), F.col("hash").alias(f"{OWN}hash"), "n", stays.alias("stays"))
     judged = materialize(judged, "near-verdicts")
