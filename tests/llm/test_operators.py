@@ -382,12 +382,41 @@ def test_shards(docs):
         assert slots == list(range(len(slots)))
 
 
-def test_shards_split_a_text_larger_than_a_shard(spark):
+def shard_bytes(df, **more):
+    total, of_text = Counter(), {}
+    for r in shards.assign(df, **more).collect():
+        total[r.shard] += r["size"]
+        assert of_text.setdefault(r.text_crc32, r.shard) == r.shard
+    return total
+
+
+def test_shards_balance_around_a_heavy_group(spark):
+    """A text with a tenth of all bytes, in one bucket and in many."""
+    rng = random.Random(8)
+    rows = [(i, prose(i, rng.randint(5, 60))) for i in range(3000)]
+    hot = sum(len(t.encode()) + 1 for _, t in rows) // 9 // 40
+    rows += [(5000 + i, "h" * (hot - 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"groups_per_bucket": 100, "fan_in": 8}):
+        total = shard_bytes(df, **more)
+        assert sorted(total) == list(range(8)) and max(total.values()) <= 1.001 * min(total.values())
+
+
+def test_shards_keep_a_text_larger_than_a_shard_whole(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(100)] + [(200 + i, prose(i, 3)) for i in range(20)], "doc_id long, text string")
+    total = sorted(shard_bytes(df, shards=4).values())
+    assert len(total) == 4 and total[3] == 1000 and total[2] - total[0] <= 20
+
+
+def test_shards_of_odd_rows_are_the_same_every_time(spark, docs):
+    """A text of 20,000 words, null, empty and repeated ones; the same result from other partitions."""
+    one = Counter(tuple(r) for r in shards.assign(docs).collect())
+    assert one == Counter(tuple(r) for r in shards.assign(docs.repartition(7)).collect()) and sum(one.values()) == len(TEXTS)
     total = Counter()
-    for r in shards.assign(df, shards=4).collect():
-        total[r.shard] += r["size"]
-    assert len(total) == 4 and max(total.values()) < 1.3 * min(total.values())
+    for r in one.elements():
+        total[r[3]] += r[1]
+    longest = max(len((t or "").encode()) + 1 for _, t in TEXTS)
+    assert max(total.values()) == longest
 
 
 def test_empty_tables(spark, none):
