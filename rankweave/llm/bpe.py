@@ -11,7 +11,9 @@ Results per pre-token are kept in a bounded cache of each Python worker.
 
 Defined results: a null text counts as empty and has no ids; special strings
 inside a text become their ids, as the library does by default; repeated rows
-are encoded each for itself; other columns are kept where asked for.
+are encoded each for itself and get equal ids; a very long text is encoded whole,
+its ids in one array; an empty table gives an empty one; other columns are kept,
+but for those named like a new column, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}
 
 #: Pre-tokens that a worker remembers; beyond it, the cache starts anew.
 CACHE_ENTRIES = 500_000
+#: Longer pieces are not remembered: texts without spaces are one piece, and seldom the same twice.
+CACHED_CHARS = 64
 #: Pairs of tokens whose test a worker remembers.
 PAIR_ENTRIES = 2_000_000
 
@@ -124,7 +128,7 @@ class PrefixEncoder:
                 continue
             before = end - size
             if before >= 0:
-                pair = last[before] << 16 | token
+                pair = last[before] << 32 | token
                 fits = apart.get(pair)
                 if fits is None:
                     fits = apart[pair] = self.compatible(last[before], token)
@@ -145,7 +149,9 @@ class PrefixEncoder:
         for piece in self.cut(text):
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = self.encode_piece(piece)
+                ids = self.encode_piece(piece)
+                if len(piece) <= CACHED_CHARS:
+                    known[piece] = ids
             out += ids
         return tuple(out)
 
@@ -175,7 +181,9 @@ class PrefixEncoder:
                         w = rest[i]
                         ids = after_space.get(w)
                         if ids is None:
-                            ids = after_space[w] = self._cut_ids(" " + w)
+                            ids = self._cut_ids(" " + w)
+                            if len(w) <= CACHED_CHARS:
+                                after_space[w] = ids
                         found[i] = ids
             out += found
         for cache in (self.known, after_space):
