@@ -6,20 +6,21 @@ in two tiers: a table of the most frequent pieces, broadcast once to every
 executor, and a bounded cache in each Python worker, filled by encoding missing
 pieces with the tokenizer's library in batches.
 
-The broadcast table holds at most ``frequent`` pieces from the
-beginnings of the ``sample_docs`` documents that are read first, a bound of a
-few MB.  It only decides which tier
+The broadcast table holds at most ``frequent`` pieces of up to ``CACHED_CHARS``
+characters, a few MB: the commonest ones of ``sample_docs`` documents that are
+taken by their texts' hashes from the whole table.  It only decides which tier
 answers; every text is counted whole, and no count depends on it.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-are counted each for itself; all other columns are kept.
+Defined results: a null text counts as empty (0 tokens); repeated rows are counted
+each for itself, and equal texts get equal counts; a very long text is counted
+whole; an empty table gives an empty one; other columns are kept, but for one
+named like the new column, which is replaced.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import Counter as Counts
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,9 @@ from rankweave.llm.common import text_slices
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 #: Pieces that a worker remembers; beyond it, its cache starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
+#: Longer pieces are not remembered: texts without spaces are one piece, and seldom the same twice.
+CACHED_CHARS = 64
 
 
 @lru_cache(maxsize=2)
@@ -84,20 +87,21 @@ class Counter:
                 total = sum(sizes)
             out.append(total)
         new = list({p for _, rest in waiting for p in rest if p not in second})
-        if new:
-            second.update(zip(new, self.encode_sizes(new)))
+        once = dict(zip(new, self.encode_sizes(new))) if new else {}
+        second.update((p, n) for p, n in once.items() if len(p) <= CACHED_CHARS)
         for i, rest in waiting:
-            out[i] += sum(map(second.__getitem__, rest))
+            out[i] += sum(once[p] if p in once else second[p] for p in rest)
         return out
 
 
 def frequent_sizes(docs: DataFrame, path: str, text: str, frequent: int, sample_docs: int) -> dict[str, int]:
-    """The first tier: sizes of the commonest pieces of some documents."""
-    seen: Counts = Counts()
-    for row in docs.select(F.substring(F.col(text), 1, 20_000)).take(sample_docs):
-        seen.update((row[0] or "").split())
-    names = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:frequent] if not ODD_SPACE.search(p)]
-    return dict(zip(names, Counter(path, {}).encode_sizes(names)))
+    """The first tier: sizes of the commonest pieces of documents taken by hash."""
+    body = F.col(f"`{text}`")
+    some = docs.where(body.isNotNull()).select(body.alias("t"), F.xxhash64(body).alias("h")).orderBy("h", "t").limit(sample_docs)
+    pieces = some.select(F.explode(F.split("t", r"\s+")).alias("p")).where(f"p != '' and length(p) <= {CACHED_CHARS}")
+    found = pieces.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(frequent).collect()  # bounded by ``frequent``
+    names = [r.p for r in found if not ODD_SPACE.search(r.p) and r.p.split() == [r.p]]
+    return dict(zip(names, Counter(path, {}).encode_sizes(names))) if names else {}
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens", frequent: int = 30_000, sample_docs: int = 1_000) -> DataFrame:
@@ -110,8 +114,11 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, shared.value)
-        for batch in text_slices(batches, text):
-            sizes = counter.count(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*keep, out])
+        try:
+            for batch in text_slices(batches, text):
+                sizes = counter.count(batch.column(batch.schema.get_field_index(text)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*keep, out])
+        finally:
+            counter.misses.clear()  # a worker that has other work next holds none of it
 
     return given.mapInArrow(run, f"{fields}, `{out}` long")
