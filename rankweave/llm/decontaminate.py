@@ -15,9 +15,11 @@ they sift the documents' fingerprints where those are made, and are broadcast
 for the join; beyond that, all document fingerprints go into a shuffled join.
 
 Defined results: null and empty texts and items have no words and no hits;
-equal items each count; repeated document rows are judged each for itself; an
-items with null ids hit like others, and all of them are one null at the end of
-``items``.
+equal items each count, sorted by their ids as strings; repeated document rows
+are judged each for itself; a very long text is judged whole; an empty table
+gives an empty one, and an empty benchmark no hits; other columns are kept, but for
+the text and those named n_words, hits and items, which are replaced; items with
+null ids hit like others, and all of them are one null at the end of ``items``.
 """
 
 from __future__ import annotations

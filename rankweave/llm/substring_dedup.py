@@ -21,7 +21,9 @@ windows instead; the README has the figures.
 
 Defined results: null and empty texts have no words and lose none; texts with
 fewer words than a window keep all; repeated rows count as repeats of each
-other; other columns are not kept.
+other, so all of them lose their windows; a very long text is taken whole; an
+empty table gives an empty one; ids are taken as long (one that is not a number
+counts as null); other columns are not kept, so that none can clash.
 """
 
 from __future__ import annotations

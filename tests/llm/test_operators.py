@@ -191,6 +191,17 @@ def test_url_rules(spark):
         assert r.verdict == best.verdict if best else r.verdict in ("allow", "block")
 
 
+def test_url_rules_with_clashing_columns_and_long_urls(spark):
+    long = "http://q.net/" + "/".join(f"s{chr(97 + i)}" for i in range(25))
+    rows = [(i, long + f"/{i}", "x", "y", "z") for i in range(40)] + [(100, "http://a.org/" + "p/" * 20_000, "x", "y", "z"), (101, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _url string, u string, fixed string")
+    labelled = pages.where("page_id < 40").selectExpr("url", "'block' verdict").union(spark.createDataFrame([(f"http://r.net/x{chr(97 + i)}", "allow") for i in range(20)], "url string, verdict string"))
+    got = {r.page_id: r for r in url_rules.judge_urls(pages, [url_rules.Rule("allow", "org", "/")], labelled=labelled).collect()}
+    assert len(got) == 42 and got[3].asDict().keys() == {"page_id", "url", "_url", "u", "fixed", "host", "path", "rule", "verdict"}
+    assert (got[3].verdict, got[3]._url, got[3].u, got[3].fixed) == ("block", "x", "y", "z")
+    assert got[100].rule == "org/" and got[100].verdict == "allow" and got[101].verdict == "allow"
+
+
 def test_mined_rules_block_labelled_combinations(spark):
     rows = [(f"http://h{i}.net/win/{i}", "block" if i % 2 else "allow") for i in range(60)]
     rows = [(u.replace("/win/", "/free/win/") if v == "block" else u, v) for u, v in rows]
@@ -289,6 +300,32 @@ def test_secrets(spark, docs):
             assert r.clean.replace("<secret>", "") == "".join(c for i, c in enumerate(r.text) if i not in hidden)
 
 
+def test_many_secrets_in_one_text(spark):
+    t = " ".join(f"token=abcdefgh{i}" for i in range(3000)) + " é token = password=abcdefgh1234"
+    model = secrets.fit(spark.createDataFrame([], "s string"), spark.createDataFrame([], "s string"))
+    r = secrets.scan(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).withColumn("clean", secrets.redact(F.col("text"), F.col("spans"))).first()
+    assert [(s.start, s.rank, s.end) for s in r.base] == base_spans(t)
+    assert r.clean == " ".join(["<secret>"] * 3000) + " é <secret>"
+
+
+def test_redact_makes_one_mark_of_overlapping_spans(spark):
+    df = spark.createDataFrame([("0123456789", [(1, 0, 3), (1, 2, 6), (4, 1, 5), (6, 0, 7), (9, 0, 10)]), ("abc", []), (None, [])], "text string, spans array<struct<start:int,rank:int,end:int>>")
+    assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("spans"), "*")).collect()] == ["0**78*", "abc", None]
+
+
+def test_markov_models_of_the_corpus_find_planted_tokens(spark):
+    """Tokens of mixed case without a key's name, in a corpus whose known secrets are hex: recall, and no other span."""
+    rng = random.Random(4)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(i, prose(i, 40) + f' token = "{some("0123456789abcdef", 40)}" ' + prose(50 + i, 20)) for i in range(60)]
+    planted = {1000 + i: some("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", rng.choice([24, 32, 40])) for i in range(60)}
+    rows += [(i, f"{prose(i, 30)} {w} {prose(i + 1, 30)}") for i, w in planted.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.scan(df, secrets.fit(*secrets.labelled_samples(df))).collect()
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.rank == 3] for r in got}
+    assert sum(found[i] == [w] for i, w in planted.items()) >= 57 and not any(found[i] for i in range(60))
+
+
 def test_markov_ratio_finds_random_strings(spark):
     rng = random.Random(1)
     token = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
