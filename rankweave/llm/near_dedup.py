@@ -183,10 +183,11 @@ def _judge_centres(pairs: DataFrame, percent: int, prune: float) -> DataFrame:
 
 
 def _judge_blocks(pairs: DataFrame, percent: int, prune: float) -> DataFrame:
-    """Links between the members of two blocks: a forest for each pair of blocks.
+    """Links between the members of two blocks: a forest of components for each pair of blocks.
 
-    Each block is an array of (rep, sketch, members); more than one link between
-    the same two parts adds nothing.
+    Each block is an array of (rep, component, sketch, members); members of one
+    component aren't compared, and more than one link between the same two
+    components adds nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +196,14 @@ def _judge_blocks(pairs: DataFrame, percent: int, prune: float) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 one, two = row["one"], row["two"] or row["one"]
                 left, right = np.array([m["rep"] for m in one]), np.array([m["rep"] for m in two])
+                parts_a, parts_b = np.array([m["component"] for m in one]), np.array([m["component"] for m in two])
                 a = np.frombuffer(b"".join(m["sketch"] for m in one), np.uint16).reshape(len(one), -1)
                 b = np.frombuffer(b"".join(m["sketch"] for m in two), np.uint16).reshape(len(two), -1)
                 x, y = (g.ravel() for g in np.meshgrid(np.arange(len(one)), np.arange(len(two)), indexing="ij"))
                 if row["two"] is None:
                     x, y = x[left[x] < right[y]], y[left[x] < right[y]]
+                apart = parts_a[x] != parts_b[y]
+                x, y = x[apart], y[apart]
                 alive = surviving(a[x], b[y], percent / 100, prune)
                 sets_a, sets_b = [np.frombuffer(m["members"], np.uint64) for m in one], [np.frombuffer(m["members"], np.uint64) for m in two]
                 root: dict[int, int] = {}
@@ -212,7 +216,7 @@ def _judge_blocks(pairs: DataFrame, percent: int, prune: float) -> DataFrame:
 
                 links = []
                 for p, q in zip(x[alive].tolist(), y[alive].tolist()):
-                    u, v = find(int(left[p])), find(int(right[q]))
+                    u, v = find(int(parts_a[p])), find(int(parts_b[q]))
                     if u != v and linked(sets_a[p], sets_b[q], percent):
                         root[max(u, v)] = min(u, v)
                         links.append((int(left[p]), int(right[q])))
@@ -331,8 +335,9 @@ def _placed(stars: DataFrame, judged: DataFrame, labels: DataFrame) -> DataFrame
     """Stars with each member's verdict, if there is one, and whether it is in the centre's component."""
     of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
     out = stars.join(judged, ["centre", "rep"], "left").join(of("rep"), "rep", "left").join(of("centre"), "centre", "left")
-    same = F.coalesce("rep_component", "rep") == F.coalesce("centre_component", "centre")
-    return materialize(out.select("centre", "rep", "verdict", same.alias("same")), "placed")
+    own = F.coalesce("rep_component", "rep")
+    same = own == F.coalesce("centre_component", "centre")
+    return materialize(out.select("centre", "rep", "verdict", own.alias("component"), same.alias("same")), "placed")
 
 
 def _open_links(placed: DataFrame, body: DataFrame, percent: int, prune: float, block: int) -> DataFrame | None:
@@ -344,21 +349,21 @@ def _open_links(placed: DataFrame, body: DataFrame, percent: int, prune: float,
     both with 2, and 0 with 3.
     """
     kind = F.when(F.col("verdict") == "Y", 3).when(F.col("same"), 2).when(F.col("verdict") == "N", 0).otherwise(1)
-    kinds = placed.select("centre", "rep", kind.alias("kind"))
+    kinds = placed.select("centre", "rep", "component", kind.alias("kind"))
     sizes = kinds.groupBy("centre").agg(*[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)])
     open_stars = materialize(sizes.where("n0 + n1 > 1 or (n0 > 0 and n2 + n3 > 0) or (n1 > 0 and n2 > 0)"), "open-stars")
     if not open_stars.limit(1).count():
         return None
     members = kinds.join(open_stars, "centre")
     count = F.get(F.array("n0", "n1", "n2", "n3"), F.col("kind"))
-    dealt = members.where("kind < 3 or n0 > 0").select("centre", "rep", "kind", F.pmod(F.xxhash64("rep"), F.ceil(count / F.lit(block))).cast("int").alias("block"))
-    blocks = dealt.join(body, "rep").groupBy("centre", "kind", "block").agg(F.collect_list(F.struct("rep", "sketch", "members")).alias("rows"))  # about ``block`` rows each
+    dealt = members.where("kind < 3 or n0 > 0").select("centre", "rep", "component", "kind", F.pmod(F.xxhash64("rep"), F.ceil(count / F.lit(block))).cast("int").alias("block"))
+    blocks = dealt.join(body, "rep").groupBy("centre", "kind", "block").agg(F.collect_list(F.struct("rep", "component", "sketch", "members")).alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"))  # about ``block`` rows each
     blocks = materialize(blocks, "blocks")
     # Which blocks meet is settled by their numbers; the rows come by (centre, kind, block), so no star is one key.
-    one = blocks.select("centre", F.col("kind").alias("kind1"), F.col("block").alias("block1"))
-    two = blocks.select("centre", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
+    one = blocks.select("centre", F.col("kind").alias("kind1"), F.col("block").alias("block1"), F.col("least").alias("least1"), F.col("most").alias("most1"))
+    two = blocks.select("centre", F.col("kind").alias("kind2"), F.col("block").alias("block2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     meet = "(kind1 < 2 and kind2 < 2 and (kind1 < kind2 or kind1 = kind2 and block1 <= block2)) or (kind1 < 2 and kind2 = 2) or (kind1 = 0 and kind2 = 3)"
-    numbers = materialize(one.join(two, "centre").where(meet), "block-pairs")
+    numbers = materialize(one.join(two, "centre").where(meet).where("least(least1, least2) < greatest(most1, most2)").drop("least1", "least2", "most1", "most2"), "block-pairs")
     itself = (F.col("kind1") == F.col("kind2")) & (F.col("block1") == F.col("block2"))
     rows = lambda n: blocks.select("centre", F.col("kind").alias(f"kind{n}"), F.col("block").alias(f"block{n}"), F.col("rows").alias(f"rows{n}"))
     pairs = numbers.join(rows(1), ["centre", "kind1", "block1"]).join(rows(2), ["centre", "kind2", "block2"])
