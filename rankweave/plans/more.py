@@ -63,8 +63,8 @@ def _(m: Model) -> DataFrame:
 def _(m: Model) -> DataFrame:
     key = F.regexp_replace(F.substring_index(F.substring_index(F.lower("url"), "#", 1), "?", 1), r"^https?://(www\.)?|/+$", "")
     rows = m.table("pages").select("page_id", key.alias("k"))
-    other = rows.withColumnRenamed("page_id", "other")
-    return rows.join(other, "k").where("page_id < other").groupBy("page_id").agg(F.max("other").alias("other_id"))
+    last = rows.groupBy("k").agg(F.max("page_id").alias("other_id"))
+    return rows.join(last, "k").where("page_id < other_id").select("page_id", "other_id")
 
 
 @query("j20_key_resolution", ", a AS (SELECT area_id, slug, region_id FROM areas), w AS (SELECT * FROM (VALUES ('france-building', 1), ('machinery', 6), ('nowhere', 2)) t(slug, region_id)) SELECT w.slug, coalesce(min(x.area_id), min(y.area_id)) area_id FROM w LEFT JOIN a x ON x.slug = w.slug LEFT JOIN a y ON y.region_id = w.region_id AND y.slug LIKE '%' || w.slug GROUP BY 1")

@@ -475,9 +475,9 @@ def _(m: Model) -> DataFrame:
     return rows.withColumn("tier", F.when(F.col("n") > 0, 0).otherwise(1).cast("bigint")).orderBy("tier", F.desc("n"), "provider_id").limit(40).select("provider_id", "tier")
 
 
-@query("o11_seeded_sample", None)
+@query("o11_seeded_sample", "SELECT provider_id FROM providers ORDER BY md5('7:' || provider_id), provider_id LIMIT 10")
 def _(m: Model) -> DataFrame:
-    return m.providers().orderBy(F.rand(7)).limit(10).select("provider_id")
+    return m.providers().select("provider_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("provider_id").cast("string"))), "provider_id").limit(10)
 
 
 # Sets
