@@ -97,7 +97,9 @@ class Counter:
 def frequent_sizes(docs: DataFrame, path: str, text: str, frequent: int, sample_docs: int) -> dict[str, int]:
     """The first tier: sizes of the commonest pieces of documents taken by hash."""
     body = F.col(f"`{text}`")
-    some = docs.where(body.isNotNull()).select(body.alias("t"), F.xxhash64(body).alias("h")).orderBy("h", "t").limit(sample_docs)
+    share = min(1.0, 4 * sample_docs / max(1, docs.count()))  # so that few texts of a task are sorted at all
+    h = F.xxhash64(body)
+    some = docs.where(body.isNotNull() & (h <= F.lit(int(-(2**63) + share * (2**64 - 1025))))).select(body.alias("t"), h.alias("h")).orderBy("h", "t").limit(sample_docs)
     pieces = some.select(F.explode(F.split("t", r"\s+")).alias("p")).where(f"p != '' and length(p) <= {CACHED_CHARS}")
     found = pieces.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(frequent).collect()  # bounded by ``frequent``
     names = [r.p for r in found if not ODD_SPACE.search(r.p) and r.p.split() == [r.p]]
