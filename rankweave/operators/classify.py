@@ -84,7 +84,7 @@ def id_patterns(urls: DataFrame, site: str, url: str) -> DataFrame:
     keys = rows.select(site, F.explode(F.array_distinct(F.regexp_extract_all(url, F.lit(r"[?&]([A-Za-z_]+)=\d"), F.lit(1)))).alias("value")).groupBy(site, "value").agg(F.count("*").alias("n"))
     path = F.regexp_extract(url, "^[a-z]+://[^/]+(/[^?#]*)", 1)
     parts = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     paths = rows.select(site, F.explode(prefixes).alias("value")).groupBy(site, "value").agg(F.count("*").alias("n"))
     every = lambda df, kind, order: df.join(total, site).where("n = total").select(site, F.struct(F.lit(order).alias("order"), F.length("value").alias("size"), F.lit(kind).alias("kind"), "value").alias("x"))
     both = every(keys, "query", 1).union(every(paths, "path", 0))

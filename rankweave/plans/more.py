@@ -199,11 +199,6 @@ def _(m: Model) -> DataFrame:
     return classify.similar_hosts(m.table("pages").select(T.domain(F.col("url")).alias("host")), "host")
 
 
-@query("x45_id_pattern")
-def _(m: Model) -> DataFrame:
-    return classify.id_patterns(m.table("pages").select(T.domain(F.col("url")).alias("site"), "url"), "site", "url")
-
-
 @query("x51_merged_reading", "SELECT * FROM (VALUES ('ア・イ', 'アイ', 'ア・イ'), ('ア', 'ウ エ', 'ウエ'), ('ア', 'none', 'ア')) t(current, extracted, merged)")
 def _(m: Model) -> DataFrame:
     rows = _values(m, [("ア・イ", "アイ"), ("ア", "ウ エ"), ("ア", "none")], "current string, extracted string")

@@ -42,8 +42,38 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+def numbered(df: DataFrame, key: str, width: int = 1_000_000, out: str = "number") -> DataFrame:
+    """Rows numbered from 1 in the order of a unique whole-number key.
+
+    Keys are numbered within ranges of ``width``, and what lower ranges hold is
+    added; only the ranges, one row each, meet in one task.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(key) / width))
+    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", before.alias("_before"))
+    return inside.join(ranges, "_range").withColumn(out, (F.col("_before") + F.col("_n")).cast("bigint")).drop("_range", "_n", "_before")
+
+
+def paged(df: DataFrame, key: str, size: int = 1000) -> DataFrame:
+    """Rows with ``page_no`` from 0, pages of ``size`` rows in key order."""
+    return numbered(df, key).withColumn("page_no", F.floor((F.col("number") - 1) / size).cast("bigint")).drop("number")
+
+
+def write_page_cache(df: DataFrame, path: str, category: str = "category") -> None:
+    """Pages as gzipped Parquet, a folder for each category."""
+    df.write.mode("overwrite").partitionBy(category).option("compression", "gzip").parquet(path)
+
+
+def read_gzip_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(category, key, html) of files ``category/key.html.gz``; what is missing there has no row, so join from the left."""
+    files = spark.read.text(f"{path}/*/*.html.gz", wholetext=True)
+    name = F.col("_metadata.file_path")
+    part = lambda i: F.regexp_extract(name, r"([^/]+)/([^/]+)\.html\.gz$", i)
+    return files.select(part(1).alias("category"), part(2).alias("key"), F.col("value").alias("html"))
+
+
 def sitemap_rows(df: DataFrame, key: str, base: str, per_file: int = 5000, name: str = "name") -> DataFrame:
     """(key, file_no, entry): XML fragments, numbered into files of ``per_file`` rows by key order."""
-    number = F.row_number().over(Window.orderBy(key))
     entry = F.concat(F.lit(f"<url><loc>{base}"), F.col(key).cast("string"), F.lit("</loc><name>"), xml_escape(F.col(name)), F.lit("</name></url>"))
-    return df.select(key, F.ceil(number / per_file).cast("bigint").alias("file_no"), entry.alias("entry"))
+    return numbered(df, key).select(key, F.ceil(F.col("number") / per_file).cast("bigint").alias("file_no"), entry.alias("entry"))
