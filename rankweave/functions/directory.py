@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,14 +66,15 @@ def clean_extracted_name(c: Column) -> Column:
 
 def display_name(c: Column, suffixes: list[str]) -> Column:
     """Without noise in brackets, area suffixes and edge symbols; the raw name if nothing is left."""
-    out = F.regexp_replace(F.regexp_replace(c, r"【[^】]*】|［[^］]*］|\[[^\]]*\]", ""), f"({'|'.join(suffixes)})$", "")
+    ending = "|".join(re.escape(x) for x in suffixes)
+    out = F.regexp_replace(F.regexp_replace(c, r"【[^】]*】|［[^］]*］|\[[^\]]*\]", ""), f"({ending})$", "")
     out = F.regexp_replace(out, r"^[\s　★☆♪・~〜-]+|[\s　★☆♪・~〜-]+$", "")
     return F.coalesce(F.nullif(out, F.lit("")), c)
 
 
 def core_name(c: Column, words: list[str]) -> Column:
     """The content of brackets if any, else the name without listed words in front or at the end."""
-    bare = reduce(lambda x, w: F.trim(F.regexp_replace(F.regexp_replace(x, f"^{w}", ""), f"{w}$", "")), words, F.trim(c))
+    bare = reduce(lambda x, w: F.trim(F.regexp_replace(F.regexp_replace(x, f"^{w}", ""), f"{w}$", "")), map(re.escape, words), F.trim(c))
     return F.coalesce(capture(c, "[「『]([^」』]+)[」』]"), F.nullif(bare, F.lit("")), c)
 
 
@@ -96,6 +98,12 @@ def opening_hours(c: Column) -> tuple[Column, Column]:
     return capture(c, p, 1), capture(c, p, 2)
 
 
+def hours_and_reception(c: Column) -> tuple[Column, Column]:
+    """``12:00-5:00（受付：4:00）`` into the hours in front of the bracket and the reception in it; null without either."""
+    p = r"^([^(（]+)(?:[(（]受付[：:]([^)）]+)[)）])?"
+    return F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")), F.trim(capture(c, p, 2))
+
+
 def parent_keyword(name: Column, overrides: dict[str, str], siblings: Column) -> Column:
     """A parent area's keyword: an override, else a bracket's content, else the
     first of several names if no other parent shares the region, else the name."""
@@ -129,7 +137,17 @@ def first_named(sources: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.struct(F.trim(c).alias("name"), F.lit(s).alias("source"))) for s, c in sources])
 
 
+def spec_name(c: Column) -> dict[str, Column]:
+    """``はる146cmB.90(G)W.57H.85`` into name, height, bust, cup, waist and hip; any other name stays whole."""
+    joined = c.rlike(r"^\S+\d{2,3}cmB\.\d")
+    of = lambda p: F.when(joined, capture(c, p))
+    number = {"height": r"(\d{2,3})cm", "bust": r"B\.(\d{2,3})", "waist": r"W\.(\d{2,3})", "hip": r"H\.(\d{2,3})"}
+    return {"name": F.coalesce(of(r"^(.+?)\d{2,3}cm"), c), "cup": F.upper(of(r"B\.\d{2,3}\(([A-Ma-m])\)")), **{k: to_int(of(p)) for k, p in number.items()}}
+
+
 def attributes(c: Column) -> dict[str, Column]:
-    """Age and height from free text."""
+    """Age, height and the three sizes from free text."""
     first = lambda *ps: F.coalesce(*[to_int(capture(c, p)) for p in ps])
-    return {"age": first(r"(\d{2})\s*歳", r"(?i)age\s*[:：]?\s*(\d{2})"), "height": first(r"T\s*[:：]?\s*(\d{3})", r"(\d{3})\s*cm", r"身長\s*[:：]?\s*(\d{3})")}
+    body = r"\bB[:\s]*(\d{2,3})\D*?\bW[:\s]*(\d{2,3})\D*?\bH[:\s]*(\d{2,3})"
+    sizes = {name: to_int(capture(c, body, i)) for i, name in enumerate(("bust", "waist", "hip"), 1)}
+    return {"age": first(r"(\d{2})\s*歳", r"(?i)age\s*[:：]?\s*(\d{2})"), "height": first(r"T\s*[:：]?\s*(\d{3})", r"(\d{3})\s*cm", r"身長\s*[:：]?\s*(\d{3})"), **sizes}

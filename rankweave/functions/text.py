@@ -18,7 +18,7 @@ def contains_ignoring_case(c: Column, needle: str) -> Column:
 
 def none_of(c: Column, needles: list[str]) -> Column:
     """True where no needle occurs, in any case; null for null."""
-    return reduce(lambda a, b: a & b, [~c.ilike(f"%{n}%") for n in needles])
+    return reduce(lambda a, b: a & b, [~contains_ignoring_case(c, n) for n in needles])
 
 
 def long_enough_query(q: Column) -> Column:
@@ -68,9 +68,10 @@ def level(n: Column) -> Column:
     return reduce(lambda a, b: a + b, [(capped >= s).cast("int") for s in LEVEL_STARTS])
 
 
-def name_and_age(c: Column) -> tuple[Column, Column]:
-    """``name(19)`` into name and age; the age is 0 without one."""
-    return F.trim(F.regexp_replace(c, r"[(（]\d{1,2}[)）]\s*$", "")), F.coalesce(to_int(capture(c, r"[(（](\d{1,2})[)）]\s*$")), F.lit(0))
+def name_and_age(c: Column, known: Column | None = None) -> tuple[Column, Column]:
+    """``name(19)`` into name and age; a known age wins, and the age is 0 without any."""
+    ages = [F.nullif(known, F.lit(0))] if known is not None else []
+    return F.trim(F.regexp_replace(c, r"[(（]\d{1,2}[)）]\s*$", "")), F.coalesce(*ages, to_int(capture(c, r"[(（](\d{1,2})[)）]\s*$")), F.lit(0))
 
 
 def number_and_letter(c: Column) -> tuple[Column, Column]:

@@ -134,10 +134,8 @@ def cards(pages: DataFrame, key: str, url: str, html: str, element: str = "li")
     link, inner = F.regexp_extract("_card", ANCHOR, 1), F.regexp_extract("_card", ANCHOR, 2)
     text = plain(F.col("_card"))
     known = attributes(text)
-    body = r"(?i)\bB[:\s]*(\d{2,3})\D*?\bW[:\s]*(\d{2,3})\D*?\bH[:\s]*(\d{2,3})"
-    size = [to_int(capture(text, body, i)).alias(n) for i, n in enumerate(("bust", "waist", "hip"), 1)]
     out = rows.where(F.col("_card").rlike(ANCHOR)).select(
-        key, resolved(F.col("_url"), link).alias("link"), plain(inner).alias("name"), known["age"].alias("age"), known["height"].alias("height"), *size, image_of(F.col("_card"), F.col("_url")).alias("image")
+        key, resolved(F.col("_url"), link).alias("link"), plain(inner).alias("name"), *[c.alias(n) for n, c in known.items()], image_of(F.col("_card"), F.col("_url")).alias("image")
     )
     counted = [F.col("age").isNotNull(), F.col("height").isNotNull(), F.coalesce("bust", "waist", "hip").isNotNull(), F.col("image").isNotNull()]
     plausible = reduce(and_, [F.coalesce(F.col(c).between(*r), F.lit(True)) for c, r in PLAUSIBLE.items()])

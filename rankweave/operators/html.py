@@ -64,6 +64,12 @@ def _join(base: str | None, href: str | None) -> str | None:
         return None
 
 
+def page_title(html: Column) -> Column:
+    """The title, else the og:title; null without text in either."""
+    patterns = [r"(?is)<title[^>]*>(.*?)</title>", r'(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', r'(?is)<meta[^>]+content="([^"]*)"[^>]+property="og:title"']
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns])
+
+
 def page_number(url: Column) -> Column:
     """The number of a listing's page, from its path or query; null without one."""
     path, key = F.regexp_extract(url, r"/page/(\d+)", 1), F.regexp_extract(url, r"[?&](?:page|p|pg|paged)=(\d+)", 1)
@@ -71,8 +77,8 @@ def page_number(url: Column) -> Column:
 
 
 def image_sources(html: Column) -> Column:
-    """Distinct image addresses from src, data-src, linked files and CSS backgrounds."""
-    patterns = [r'(?i)<img[^>]+?\bsrc="([^"]+)"', r'(?i)\bdata-(?:src|original)="([^"]+)"', r'(?i)href="([^"]+\.(?:jpe?g|png|webp|gif))"', r"(?i)background(?:-image)?:\s*url\(['\"]?([^'\")]+)"]
+    """Distinct image addresses from src, data-src, srcset's first, linked files and CSS backgrounds."""
+    patterns = [r'(?i)<img[^>]+?\bsrc="([^"]+)"', r'(?i)\bdata-(?:src|original)="([^"]+)"', r'(?i)\bsrcset="\s*([^"\s,]+)', r'(?i)href="([^"]+\.(?:jpe?g|png|webp|gif))"', r"(?i)background(?:-image)?:\s*url\(['\"]?([^'\")]+)"]
     return F.array_distinct(F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns]))
 
 

@@ -261,7 +261,12 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
-@query("e02_visible_text")
+#: The shown text of the tables' pages in SQL: hidden elements and comments go, tags part runs, then entities.
+_SHOWN = """, p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\\b.*?</script>|<style\\b.*?</style>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', chr(10), 'g') x FROM pages),
+ s AS (SELECT page_id, html, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)), lambda v: trim(v)), lambda v: v <> ''), chr(10)) shown FROM p)"""
+
+
+@query("e02_visible_text", _SHOWN + " SELECT page_id, shown AS text FROM s")
 def _(m: Model) -> DataFrame:
     from rankweave.operators.html import visible_text
 
@@ -275,7 +280,7 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.explode(links(F.col("html"))).alias("href"))
 
 
-@query("e09_thin_pages")
+@query("e09_thin_pages", _SHOWN + """ SELECT page_id, length(shown) < 200 OR (regexp_matches(html, '(?i)<div[^>]+id="(app|root)"') AND length(shown) < 500) thin FROM s""")
 def _(m: Model) -> DataFrame:
     from rankweave.operators.html import visible_text
 

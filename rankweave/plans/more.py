@@ -17,7 +17,7 @@ def _values(m: Model, rows: list, schema: str = "v string") -> DataFrame:
     return m.spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
 
-@query("s07_delimited_lines")
+@query("s07_delimited_lines", "SELECT review_id, CAST(0 AS INT) line_no, strftime(created_at, '%Y/%m/%d') date, score, 'text, with comma' AS text FROM reviews")
 def _(m: Model) -> DataFrame:
     from rankweave.sources.sinks import parse_dated_lines
 
@@ -30,7 +30,7 @@ def _(m: Model) -> DataFrame:
     return m.table("documents").where(D.any_pattern(F.col("text"), ["^The", "^[0-9]+$", "lorem"])).select("doc_id")
 
 
-@query("f10_plausible_name")
+@query("f10_plausible_name", "SELECT p.provider_id FROM providers p JOIN venues v USING (venue_id) WHERE length(trim(p.name)) BETWEEN 1 AND 20 AND trim(p.name) NOT IN ('new', v.name) AND NOT contains(trim(p.name), 'staff') AND NOT (length(v.name) >= 3 AND contains(trim(p.name), v.name)) AND NOT regexp_matches(trim(p.name), 'https?:|/|^[0-9()（）\\\\s]+$')")
 def _(m: Model) -> DataFrame:
     rows = m.providers().join(m.venues().select("venue_id", F.col("name").alias("venue")), "venue_id")
     return rows.where(D.plausible_name(F.col("name"), F.col("venue"), ["new"], ["staff"])).select("provider_id")
@@ -218,7 +218,7 @@ def _(m: Model) -> DataFrame:
     return _values(m, ["22歳 T158", "AGE 30 165cm", "身長 150", "-"]).select("v", found["age"].alias("age"), found["height"].alias("height"))
 
 
-@query("r09_fingerprint")
+@query("r09_fingerprint", ", s AS (SELECT page_id, (contains(url, 'blog.')::INT * 2.0 + contains(html, '<article')::INT * 1.5) / 3.5 blog, (contains(url, 'www.')::INT * 2.0 + contains(html, 'price')::INT * 1.0) / 3.0 shop FROM pages) SELECT page_id, CASE WHEN blog >= shop THEN 'blog' ELSE 'shop' END \"system\", CAST(round(greatest(blog, shop), 6) AS DOUBLE) score FROM s WHERE round(greatest(blog, shop), 6) >= 0.5")
 def _(m: Model) -> DataFrame:
     rules = [("blog", "url", "blog.", 2.0), ("blog", "html", "<article", 1.5), ("shop", "url", "www.", 2.0), ("shop", "html", "price", 1.0)]
     return classify.fingerprint(m.table("pages"), "page_id", rules, threshold=0.5)
@@ -312,7 +312,7 @@ def _(m: Model) -> DataFrame:
     return m.reviews().select("review_id", F.when(F.col("status").isin("approved", "rejected"), F.lit(AS_OF).cast("timestamp_ntz")).alias("resolved_at"))
 
 
-@query("e04_absolute_urls")
+@query("e04_absolute_urls", ", a AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '<a[^>]+href=\"([^\"]+)\"', 1))) href FROM pages) SELECT page_id, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE href END link FROM a")
 def _(m: Model) -> DataFrame:
     rows = m.table("pages").select("page_id", "url", F.explode(html.links(F.col("html"))).alias("href"))
     return rows.select("page_id", html.absolute(F.col("url"), F.col("href")).alias("link"))
@@ -328,7 +328,7 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.explode(html.image_sources(F.col("html"))).alias("src"))
 
 
-@query("e08_prioritized_heading")
+@query("e08_prioritized_heading", "SELECT page_id, coalesce(nullif(h, ''), nullif(t, '')) heading, CASE WHEN h <> '' THEN 'h1' ELSE 'title' END source, CASE WHEN h <> '' THEN 0.85 ELSE 0.70 END::DOUBLE confidence FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) h, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')) t FROM pages) WHERE h <> '' OR t <> ''")
 def _(m: Model) -> DataFrame:
     return html.best_heading(m.table("pages"), "page_id", "html")
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators import maintain
+from rankweave.operators.html import page_title
 from rankweave.plans.registry import query
+from rankweave.sources import sinks
 from rankweave.sources.model import Model
 
 
@@ -89,3 +91,61 @@ def _(m: Model) -> DataFrame:
     near = F.slice(F.filter("first", lambda x: x["area_id"] != F.col("area_id")), 1, 5)
     named = m.table("nation").selectExpr("cast(n_nationkey as bigint) region_id", "n_name group_name")
     return areas.join(first, "region_id").join(named, "region_id").select("area_id", "group_name", F.array_join(F.transform(near, lambda x: x["slug"]), "|").alias("nearby"))
+
+
+@query("d20_subscriptions", ", e AS (SELECT DISTINCT event_id, user_id, event_type, ts FROM events WHERE event_type IN ('purchase', 'click')) SELECT user_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'active' ELSE 'ended' END status, count(*) FILTER (event_type = 'purchase') paid, count(*) n FROM e GROUP BY 1")
+def _(m: Model) -> DataFrame:
+    """A transaction counts once; a customer's latest one decides whether the subscription goes on."""
+    rows = m.table("events").where("event_type in ('purchase', 'click')").dropDuplicates(["event_id"])
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    return rows.groupBy("user_id").agg(F.when(last == "purchase", "active").otherwise("ended").alias("status"), F.count_if(F.col("event_type") == "purchase").alias("paid"), F.count("*").alias("n"))
+
+
+@query("d23_mark_read", ", c AS (SELECT user_id, max(ts) seen FROM events WHERE event_type = 'click' GROUP BY 1) SELECT e.event_id, coalesce(e.ts <= c.seen, false) \"read\" FROM events e LEFT JOIN c USING (user_id)")
+def _(m: Model) -> DataFrame:
+    """All of a user's messages up to the last click are read."""
+    seen = m.table("events").where("event_type = 'click'").groupBy("user_id").agg(F.max("ts").alias("seen"))
+    rows = m.table("events").select("event_id", "user_id", "ts").join(seen, "user_id", "left")
+    return rows.select("event_id", F.coalesce(F.col("ts") <= F.col("seen"), F.lit(False)).alias("read"))
+
+
+@query("d11_ordered_guards", ", a AS (SELECT provider_id, CASE WHEN size > 40 THEN trim(name) || ' ' || brand WHEN size > 20 THEN '' ELSE trim(name) END AS name, brand, size FROM providers), b AS (SELECT provider_id, CASE WHEN name = '' THEN brand ELSE name END AS name, CASE WHEN name = '' THEN NULL ELSE size END AS size FROM a) SELECT provider_id, regexp_replace(name, ' Brand#[0-9]+$', '') AS name, coalesce(size, 0) AS size FROM b")
+def _(m: Model) -> DataFrame:
+    """Three updates, each seeing what the one before left, and each only where its guard holds."""
+    rows = m.providers().select("provider_id", F.expr("case when size > 40 then concat(trim(name), ' ', brand) when size > 20 then '' else trim(name) end name"), "brand", "size")
+    empty = F.col("name") == ""
+    rows = rows.withColumns({"name": F.when(empty, F.col("brand")).otherwise(F.col("name")), "size": F.when(~empty, F.col("size"))})
+    rows = rows.withColumn("name", F.regexp_replace("name", " Brand#[0-9]+$", "")).withColumn("size", F.coalesce("size", F.lit(0)))
+    return rows.select("provider_id", "name", "size")
+
+
+@query("h05_adopted_sources", ", s AS (SELECT 0 o, 'ranked' source, a.slug, a.region_id FROM areas a WHERE a.area_id IN (SELECT area_id FROM venue_areas WHERE display_order <= 3) UNION ALL SELECT 1, 'listed', a.slug, a.region_id FROM areas a WHERE a.region_id IN (SELECT region_id FROM published) UNION ALL SELECT 2, 'region', slug, region_id FROM regions UNION ALL SELECT 3, 'all', slug, -1 FROM areas) SELECT slug, arg_min(source, o) source, arg_min(region_id, o) region_id, string_agg(source, ',' ORDER BY o) reasons FROM s GROUP BY 1")
+def _(m: Model) -> DataFrame:
+    """Four sources; a slug keeps the fields of the first that has it, and the names of all."""
+    areas = m.areas().select("area_id", "slug", "region_id")
+    ranked = areas.join(m.venue_areas().where("display_order <= 3").select("area_id"), "area_id", "left_semi")
+    listed = areas.join(m.published().select("region_id"), "region_id", "left_semi")
+    parts = [("ranked", ranked), ("listed", listed), ("region", m.regions()), ("all", areas.withColumn("region_id", F.lit(-1)))]
+    rows = [df.select(F.lit(i).alias("o"), F.lit(name).alias("source"), "slug", F.col("region_id").cast("bigint").alias("region_id")) for i, (name, df) in enumerate(parts)]
+    every = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    best = every.groupBy("slug").agg(F.min(F.struct("o", "source", "region_id")).alias("x"), F.array_sort(F.collect_set(F.struct("o", "source"))).alias("all"))  # four at most
+    return best.select("slug", "x.source", "x.region_id", F.array_join("all.source", ",").alias("reasons"))
+
+
+@query("h08_keyword_batches", ", v AS (SELECT a.area_id, upper(a.name) || '  ' keyword, count(p.venue_id) volume FROM areas a LEFT JOIN venue_areas p USING (area_id) GROUP BY 1, 2) SELECT a.area_id, a.name original, lower(replace(a.name, ' ', '')) cleaned, max(v.volume) volume, CAST(a.area_id // 20 AS BIGINT) batch FROM areas a LEFT JOIN v ON lower(replace(v.keyword, ' ', '')) = lower(replace(a.name, ' ', '')) GROUP BY 1, 2, 3, 5")
+def _(m: Model) -> DataFrame:
+    """Volumes meet keywords by their cleaned form; batches of 20 in the order of ids."""
+    clean = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
+    areas = m.areas().select("area_id", F.col("name").alias("original"), clean(F.col("name")).alias("cleaned"))
+    counted = m.areas().join(m.venue_areas().select("area_id", "venue_id"), "area_id", "left").groupBy("area_id", "name").agg(F.count("venue_id").alias("volume"))
+    volumes = counted.groupBy(clean(F.concat(F.upper("name"), F.lit("  "))).alias("cleaned")).agg(F.max("volume").alias("volume"))
+    return sinks.paged(areas, "area_id", 20).join(volumes, "cleaned", "left").select("area_id", "original", "cleaned", "volume", F.col("page_no").alias("batch"))
+
+
+@query("e01_titles", "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), lang) title FROM (SELECT *, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) lang FROM (SELECT page_id, CASE WHEN url LIKE '%.net/%' THEN regexp_replace(html, '(?is)<title>.*?</title>', '') ELSE html END html FROM pages))")
+def _(m: Model) -> DataFrame:
+    """The title, else og:title in either order of its attributes; hosts in net have the latter only."""
+    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    meta = F.concat(F.lit('<meta content="'), lang, F.lit('" property="og:title">'))
+    html = F.when(F.col("url").like("%.net/%"), F.regexp_replace("html", "(?is)<title>.*?</title>", meta)).otherwise(F.col("html"))
+    return m.table("pages").select("page_id", page_title(html).alias("title"))
