@@ -1,23 +1,29 @@
 """Substring dedup: remove words covered by word windows that occur twice or more.
 
-Exact over whole texts, in three passes with hashes of words:
+The reference is the corpus itself, whose automata have no bounded size, so its
+shards are not broadcast: Spark deals passages to shards, and each passage is
+streamed through the one automaton that can hold its repeats.
 
 1. Of each window's 16-word runs the least hash is its anchor, so equal windows
-   have equal anchors.  Anchors are about a tenth of the words; those that
-   occur once in the corpus cannot belong to a repeated window.
-2. Windows whose anchor occurs twice or more are counted by their own hash.
-3. Words covered by windows counted twice or more are removed.
-
-Counts are aggregated before they are shuffled and joined back, so neither a
-passage that very many texts share nor a text with thousands of copies gathers
-in one task.  What is removed depends on a text alone, so results are carried by
-text and joined back to all rows with that text.
-
-``SuffixAutomaton`` and ``remove_reference`` serve reference texts of bounded
-size: automata of reference shards are broadcast, documents streamed through
-them, and spans of their matching statistics removed.  For the whole corpus as
-reference that takes as many passes as there are shards, so self-dedup counts
-windows instead; the README has the figures.
+   have equal anchors.  Anchors are about a tenth of the words; windows whose
+   anchor occurs once in the corpus cannot be repeated.
+2. Consecutive windows of one anchor make a passage.  Equal passages are counted
+   before they are shuffled, and dealt to shards by anchor.
+3. A shard's passages become a suffix automaton whose states know how often
+   their runs occur.  Passages are streamed through it for matching statistics
+   (at each word, the longest run ending there that occurs twice or more), and
+   maximal spans of at least a window are removed.
+
+An anchor with very many different passages (a common phrase in ever other
+surroundings) would make one shard large.  Its windows are sifted once more by
+their own hash, and those left are dealt to shards by that hash, one window a
+passage; results are the same, whichever way a passage takes.
+
+What is removed depends on a text alone, so results are carried by text and
+joined back to all rows with that text.
+
+``remove_reference`` serves reference texts of bounded size: automata of
+reference shards are broadcast and all documents streamed through them.
 
 Defined results: null and empty texts have no words and lose none; texts with
 fewer words than a window keep all; repeated rows count as repeats of each
@@ -28,8 +34,9 @@ counts as null); other columns are not kept, so that none can clash.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -37,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import materialize, text_slices
+from rankweave.llm.common import discard, materialize, text_slices
 from rankweave.llm.wordhash import window_hashes, word_hashes
 
 ANCHOR = 16
@@ -54,30 +61,43 @@ def anchors(words: np.ndarray, window: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1) + np.arange(len(runs) - width + 1)
 
 
-def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
-    """A mask of the words that windows with these starts cover."""
+def covered(spans: Sequence[Sequence[int]], n: int) -> np.ndarray:
+    """A mask of the words that these spans (start, end) cover."""
     edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    bounds = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    np.add.at(edge, bounds[:, 0], 1)
+    np.add.at(edge, bounds[:, 1], -1)
     return np.cumsum(edge[:n]) > 0
 
 
+def _digest(passage: str) -> bytes:
+    return hashlib.blake2b(passage.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], names=list(columns))
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     body = F.col(f"`{text}`")
     return docs.select(F.xxhash64(body, F.length(body)).alias("key"), body.alias("text"))
 
 
-def _by_key(left: DataFrame, small: DataFrame, how: str, max_broadcast_mb: int = 8) -> DataFrame:
-    """Join with a table of (key, array of int), broadcast only if its counted size is small."""
-    size = small.agg(F.coalesce(F.sum(F.lit(24) + 4 * F.size(small.columns[1])), F.lit(0)).alias("b")).first().b
+def _by_key(left: DataFrame, small: DataFrame, how: str, item_bytes: int, max_broadcast_mb: int = 8) -> DataFrame:
+    """Join with a table of (key, array), broadcast only if its counted size is small."""
+    size = small.agg(F.coalesce(F.sum(F.lit(24) + item_bytes * F.size(small.columns[1])), F.lit(0)).alias("b")).first().b
     return left.join(F.broadcast(small) if size <= max_broadcast_mb << 20 else small, "key", how)
 
 
-def repeated_starts(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
-    """(key, starts): for each text that has any, the starts of its repeated windows."""
+def shared_passages(docs: DataFrame, window: int, text: str) -> DataFrame:
+    """(key, anchor, digest, starts, passage): passages of windows whose anchor occurs twice or more.
+
+    Each text has one row for each of its different passages, with all places where it starts.
+    """
     keyed = _keyed(docs.where(F.col(f"`{text}`").isNotNull()), text)
+    run_words = min(ANCHOR, window)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             keys, hashes, places = [], [], []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -85,47 +105,146 @@ def repeated_starts(docs: DataFrame, window: int = 35, text: str = "text") -> Da
                 at = np.unique(anchors(words, window))
                 if len(at):
                     keys.append(np.full(len(at), key, dtype=np.int64))
-                    hashes.append(window_hashes(words, min(ANCHOR, window))[at].view(np.int64))
+                    hashes.append(window_hashes(words, run_words)[at].view(np.int64))
                     places.append(at.astype(np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places)], names=["anchor", "key", "at"])
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            keys, hashes, places, weights = [], [], [], []
+            keys, runs, digests, starts, passages = [], [], [], [], []
             for key, t, shared in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = word_hashes(t)
-                starts = np.flatnonzero(np.isin(anchors(words, window), np.array(shared)))
-                values = window_hashes(words, window)[starts]
-                _, first_at, which, times = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
-                weight = np.minimum(times[which], 2)
-                again = np.ones(len(starts), dtype=bool)
-                again[first_at] = False
-                weight[again] = 0
-                keys.append(np.full(len(starts), key, dtype=np.int64))
-                hashes.append(values.view(np.int64))
-                places.append(starts.astype(np.int32))
-                weights.append(weight.astype(np.int8))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places, weights)], names=["hash", "key", "start", "weight"])
-
-    found = materialize(keyed.mapInArrow(first, "anchor long, key long, at int"), "anchors")
+                hashes, words = word_hashes(t), _WORDS.findall(t)
+                at = anchors(hashes, window)
+                edges = np.flatnonzero(np.diff(at)) + 1
+                first, last = np.concatenate(([0], edges)), np.concatenate((edges, [len(at)])) + window - 1
+                chosen = np.isin(at[first], np.array(shared))
+                values = window_hashes(hashes, run_words)[at[first[chosen]]].view(np.int64)
+                found: dict[str, list] = {}
+                for a, b, value in zip(first[chosen].tolist(), last[chosen].tolist(), values.tolist()):
+                    found.setdefault(" ".join(words[a:b]), [value]).append(a)
+                for passage, (value, *places) in found.items():
+                    keys.append(key)
+                    runs.append(value)
+                    digests.append(_digest(passage))
+                    starts.append(places)
+                    passages.append(passage)
+            yield _batch({"key": (keys, pa.int64()), "anchor": (runs, pa.int64()), "digest": (digests, pa.binary()), "starts": (starts, pa.list_(pa.int32())), "passage": (passages, pa.string())})
+
+    found = materialize(keyed.mapInArrow(find, "anchor long, key long, at int"), "anchors")
     shared = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-shared")
     spots = found.join(shared, "anchor").groupBy("key").agg(F.collect_set("at").alias("at"))  # bounded by a text's length
     spots = materialize(spots, "shared-anchors")
-    windows = materialize(_by_key(keyed, spots, "inner").select("key", "text", "at").mapInArrow(second, "hash long, key long, start int, weight byte"), "windows")
-    # A window that its own text repeats has weight 2 where it is first, and 0 further on:
-    # it needs no count, and a text of one word over and over has one row to count.
-    twice = materialize(windows.where("weight > 0").groupBy("hash").agg(F.sum("weight").alias("n")).where("n > 1").select("hash"), "windows-twice")
-    across = windows.where("weight = 1").join(twice, "hash").select("key", "start")
-    return across.union(windows.where("weight != 1").select("key", "start")).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    cuts = _by_key(keyed, spots, "inner", 4).select("key", "text", "at").mapInArrow(cut, "key long, anchor long, digest binary, starts array<int>, passage string")
+    passages = materialize(cuts, "passages")
+    discard(found, shared, spots)
+    return passages
+
 
+def count_in_shards(passages: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """(digest, spans): for (shard, digest, passage, n), the maximal spans of each passage that occur twice or more.
 
-def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
+    Passages of one ``shard`` value meet in one automaton; several values share one
+    until it has ``shard_words`` words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rows: list[tuple[bytes, list[str], int]]) -> pa.RecordBatch:
+            auto = SuffixAutomaton()
+            for _, words, n in rows:
+                auto.add(words, n)
+            auto.count()
+            digests, spans = [], []
+            for digest, words, _ in rows:
+                found = maximal_spans(auto.repeated(words), window)
+                if found:
+                    digests.append(digest)
+                    spans.append(found)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            return _batch({"digest": (digests, pa.binary()), "spans": ([[{"start": a, "end": b} for a, b in s] for s in spans], kind)})
+
+        rows, size, last = [], 0, None
+        for batch in batches:
+            for shard, digest, passage, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if size >= shard_words and shard != last:
+                    yield solve(rows)
+                    rows, size = [], 0
+                words = passage.split(" ")
+                rows.append((digest, words, n))
+                size, last = size + len(words), shard
+        if rows:
+            yield solve(rows)
+
+    dealt = passages.select("shard", "digest", "passage", "n").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "digest binary, spans array<struct<start:int,end:int>>")
+
+
+def repeated_spans(docs: DataFrame, window: int = 35, text: str = "text", shard_words: int = 20_000, hot_passages: int = 500) -> DataFrame:
+    """(key, spans): for each text that has any, spans (start, end) of words in repeated windows.
+
+    Anchors with more than ``hot_passages`` different passages are dealt by window.
+    """
+    passages = shared_passages(docs, window, text)
+    counted = passages.groupBy("anchor", "digest", "passage").agg(F.sum(F.size("starts")).alias("n"))
+    counted = materialize(counted, "passages-counted")
+    hot = materialize(counted.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot_passages).select("anchor"), "anchors-hot")
+    solved = count_in_shards(counted.join(hot, "anchor", "left_anti").withColumnRenamed("anchor", "shard"), window, shard_words)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "passage"):
+            hashes, parents, places, times = [], [], [], []
+            for digest, passage, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                values = window_hashes(word_hashes(passage), window).view(np.int64)
+                hashes.append(values)
+                parents.extend([digest] * len(values))
+                places.append(np.arange(len(values), dtype=np.int32))
+                times.append(np.full(len(values), n, dtype=np.int64))
+            if parents:
+                columns = [pa.array(np.concatenate(hashes)), pa.array(parents, pa.binary()), pa.array(np.concatenate(places)), pa.array(np.concatenate(times))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "parent", "at", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "passage"):
+            shards, digests, parts, parents, places, times = [], [], [], [], [], []
+            for parent, passage, n, spots in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = passage.split(" ")
+                for spot in spots:
+                    part = " ".join(words[spot["at"] : spot["at"] + window])
+                    shards.append(spot["shard"])
+                    digests.append(_digest(part))
+                    parts.append(part)
+                    parents.append(parent)
+                    places.append(spot["at"])
+                    times.append(n)
+            kinds = {"shard": (shards, pa.int64()), "digest": (digests, pa.binary()), "passage": (parts, pa.string()), "parent": (parents, pa.binary()), "at": (places, pa.int32()), "n": (times, pa.int64())}
+            yield _batch(kinds)
+
+    busy = counted.join(hot, "anchor", "left_semi").select(F.col("digest").alias("parent"), "passage", "n")
+    sifted = materialize(busy.select("parent", "passage", "n").mapInArrow(windows, "shard long, parent binary, at int, n long"), "hot-windows")
+    again = materialize(sifted.groupBy("shard").agg(F.sum("n").alias("n")).where("n > 1").select("shard"), "hot-windows-twice")
+    spots = sifted.join(again, "shard").groupBy("parent").agg(F.collect_list(F.struct("shard", "at")).alias("spots"))  # a passage's windows
+    parts = busy.join(spots, "parent").select("parent", "passage", "n", "spots")
+    parts = materialize(parts.mapInArrow(cut, "shard long, digest binary, passage string, parent binary, at int, n long"), "hot-passages")
+    once = parts.groupBy("shard", "digest", "passage").agg(F.sum("n").alias("n"))
+    inside = count_in_shards(once, window, shard_words).select("digest")
+    inside = parts.join(inside, "digest").groupBy("parent").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("end"))).alias("spans"))
+    solved = materialize(solved.union(inside.select(F.col("parent").alias("digest"), "spans")), "passages-solved")
+
+    placed = passages.select("key", "digest", "starts").join(solved, "digest")
+    placed = placed.select("key", F.explode("starts").alias("at"), "spans").select("key", "at", F.explode("spans").alias("s"))
+    spans = placed.select("key", F.struct((F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end")).alias("s"))
+    spans = materialize(spans.groupBy("key").agg(F.collect_set("s").alias("spans")), "repeated-spans")
+    discard(passages, counted, hot, sifted, again, parts, solved)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", shard_words: int = 20_000, hot_passages: int = 500) -> DataFrame:
     """(key, n_words, n_removed, kept): the text that is left, words joined by one space."""
-    starts = materialize(repeated_starts(docs, window, text), "repeated-windows")
+    spans = repeated_spans(docs, window, text, shard_words, hot_passages)
     body = F.col(f"`{text}`")
-    rows = _by_key(docs.select(F.xxhash64(body, F.length(body)).alias("key"), F.col(f"`{key}`").cast("long").alias("id"), body.alias("text")), starts, "left").select("id", "text", "starts")
+    rows = docs.select(F.xxhash64(body, F.length(body)).alias("key"), F.col(f"`{key}`").cast("long").alias("id"), body.alias("text"))
+    flat = spans.select("key", F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("spans"))
+    rows = _by_key(rows, flat, "left", 4).select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -134,7 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: s
                 words = _WORDS.findall(t or "")
                 n_words.append(len(words))
                 if places and words:
-                    gone = covered(np.array(places), window, len(words))
+                    gone = covered(places, len(words))
                     n_removed.append(int(gone.sum()))
                     kept.append(" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
                 else:
@@ -145,16 +264,53 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: s
     return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", key)
 
 
+def maximal_spans(sizes: Sequence[int], least: int) -> list[tuple[int, int]]:
+    """Spans (start, end) that cover all runs of at least ``least`` words, from their lengths by last word."""
+    out: list[tuple[int, int]] = []
+    for end, n in enumerate(sizes, 1):
+        if n >= least:
+            start = end - n
+            if out and start < out[-1][1]:
+                start = min(start, out.pop()[0])
+            out.append((start, end))
+    return out
+
+
 class SuffixAutomaton:
     """The suffix automaton of a reference shard: all runs of words of its texts."""
 
-    def __init__(self, texts: Sequence[Sequence[str]]) -> None:
+    def __init__(self, texts: Iterable[Sequence[str]] = ()) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
+        self.times: dict[int, int] = {}
+        self.twice: list[int] = []
         for words in texts:
-            last = 0
-            for w in words:
-                last = self._extend(last, w)
+            self.add(words)
+
+    def add(self, words: Sequence[str], n: int = 1) -> None:
+        """Take in a text that occurs ``n`` times."""
+        last = 0
+        for w in words:
+            last = self._extend(last, w)
+            self.times[last] = self.times.get(last, 0) + n
+
+    def count(self) -> None:
+        """For each state, the length of its longest suffix that occurs twice or more."""
+        times = [self.times.get(state, 0) for state in range(len(self.next))]
+        shortest_first = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for state in reversed(shortest_first):
+            times[self.link[state]] += times[state]
+        self.twice = [0] * len(self.next)
+        for state in shortest_first:
+            self.twice[state] = self.length[state] if times[state] > 1 else self.twice[self.link[state]]
+
+    def repeated(self, words: Sequence[str]) -> list[int]:
+        """For each word of a text taken in, the longest run ending there that occurs twice or more."""
+        state, out = 0, []
+        for w in words:
+            state = self.next[state][w]
+            out.append(self.twice[state])
+        return out
 
     def _extend(self, last: int, w: str) -> int:
         at = self.next[last].get(w)
@@ -204,11 +360,11 @@ class SuffixAutomaton:
         return out
 
 
-def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", shard_words: int = 200_000, max_words: int = 2_000_000) -> DataFrame:
+def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", shard_words: int = 100_000, max_words: int = 400_000) -> DataFrame:
     """(key, kept): documents without words in runs of ``window`` or more that a reference text has.
 
     The reference is collected in shards of about ``shard_words`` words; more
-    than ``max_words`` in all are refused, as their automata would not be small.
+    than ``max_words`` in all are refused, as a task's automata (about 1.1 KB a word) would not be small.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = reference.agg(F.coalesce(F.sum(F.size(F.split(body, r"\s+"))), F.lit(0)).alias("n")).first().n

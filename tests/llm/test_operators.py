@@ -210,7 +210,8 @@ def test_mined_rules_block_labelled_combinations(spark):
     assert {(r.url, r.verdict) for r in hit if r.verdict == "block"} == {("https://new.net/free/win/9", "block")}
 
 
-def test_substring_dedup(docs):
+@pytest.mark.parametrize("hot", [500, 0])
+def test_substring_dedup(docs, hot):
     counts = Counter()
     for _, t in TEXTS:
         w = words(t)
@@ -220,10 +221,43 @@ def test_substring_dedup(docs):
         w = words(t)
         gone = {j for s in range(len(w) - 34) if counts[tuple(w[s : s + 35])] > 1 for j in range(s, s + 35)}
         want[i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
-    got = substring_dedup.remove_repeats(docs).collect()
+    got = substring_dedup.remove_repeats(docs, shard_words=100, hot_passages=hot).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
 
 
+def test_substring_dedup_of_a_phrase_in_many_surroundings(spark):
+    rng = random.Random(5)
+    phrase = " ".join(f"p{i}" for i in range(20))
+    texts = [" ".join(rng.choices("abcdefgh", k=40) + [phrase] + rng.choices("abcdefgh", k=40)) for _ in range(60)]
+    texts += [texts[0][20:150], "x " * 300, "y " * 36, " ".join(rng.choices("ab", k=400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter()
+    for t in texts:
+        w = t.split()
+        counts.update(tuple(w[i : i + 24]) for i in range(len(w) - 23))
+    for hot in (500, 3):
+        for r in substring_dedup.remove_repeats(docs, window=24, shard_words=500, hot_passages=hot).collect():
+            w = texts[r.doc_id].split()
+            gone = {j for s in range(len(w) - 23) if counts[tuple(w[s : s + 24])] > 1 for j in range(s, s + 24)}
+            assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+
+
+def test_suffix_automaton_counts_runs():
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = [(rng.choices("ab", k=rng.randrange(1, 12)), rng.choice([1, 1, 2])) for _ in range(rng.randrange(1, 4))]
+        auto = substring_dedup.SuffixAutomaton()
+        runs = Counter()
+        for t, n in texts:
+            auto.add(t, n)
+            runs.update({r: n * m for r, m in Counter(tuple(t[a:b]) for a in range(len(t)) for b in range(a + 1, len(t) + 1)).items()})
+        auto.count()
+        for t, _ in texts:
+            want = [max((b - a for a in range(b) if runs[tuple(t[a:b])] > 1), default=0) for b in range(1, len(t) + 1)]
+            assert auto.repeated(t) == want
+    assert substring_dedup.maximal_spans([1, 2, 3, 4, 0, 1, 3, 0, 0, 3], 3) == [(0, 4), (4, 7), (7, 10)]
+
+
 def test_suffix_automaton_removes_reference_runs(spark, docs):
     auto = substring_dedup.SuffixAutomaton([["a", "b", "a", "b", "c"], ["b", "a"]])
     assert auto.matching(["b", "a", "b", "c", "x", "a", "b", "a", "a"]) == [1, 2, 3, 4, 0, 1, 2, 3, 1]
