@@ -163,6 +163,9 @@ def test_quality_ratio_rejects_junk(spark):
     df = spark.createDataFrame(good + junk, "doc_id long, text string, quality int")
     labels = df.where("doc_id % 2 = 0").select("doc_id", "quality").union(spark.createDataFrame([(None, 1), (4, None)], "doc_id long, quality int"))
     model = quality.fit(df, labels)
+    shuffled = quality.fit(df, labels, max_broadcast=0)
+    assert shuffled.threshold == model.threshold and sorted(shuffled.ratios.collect()) == sorted(model.ratios.collect())
+    assert quality.fit(df, labels, max_held=2).threshold != model.threshold  # what is not held back is counted
     kept = {r.doc_id for r in quality.judge(df, model).where("kept").collect()}
     assert kept == {i for i, _, _ in good}
 
