@@ -83,10 +83,9 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(body, F.length(body)).alias("key"), body.alias("text"))
 
 
-def _by_key(left: DataFrame, small: DataFrame, how: str, item_bytes: int, max_broadcast_mb: int = 8) -> DataFrame:
-    """Join with a table of (key, array), broadcast only if its counted size is small."""
-    size = small.agg(F.coalesce(F.sum(F.lit(24) + item_bytes * F.size(small.columns[1])), F.lit(0)).alias("b")).first().b
-    return left.join(F.broadcast(small) if size <= max_broadcast_mb << 20 else small, "key", how)
+def _meet(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join tables that both grow with the corpus: by sorting at every size, in a plan that Spark can split where keys are hot."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def shared_passages(docs: DataFrame, window: int, text: str) -> DataFrame:
@@ -133,9 +132,9 @@ def shared_passages(docs: DataFrame, window: int, text: str) -> DataFrame:
 
     found = materialize(keyed.mapInArrow(find, "anchor long, key long, at int"), "anchors")
     shared = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-shared")
-    spots = found.join(shared, "anchor").groupBy("key").agg(F.collect_set("at").alias("at"))  # bounded by a text's length
+    spots = _meet(found, shared, "anchor").groupBy("key").agg(F.collect_set("at").alias("at"))  # bounded by a text's length
     spots = materialize(spots, "shared-anchors")
-    cuts = _by_key(keyed, spots, "inner", 4).select("key", "text", "at").mapInArrow(cut, "key long, anchor long, digest binary, starts array<int>, passage string")
+    cuts = _meet(keyed, spots, "key").select("key", "text", "at").mapInArrow(cut, "key long, anchor long, digest binary, starts array<int>, passage string")
     passages = materialize(cuts, "passages")
     discard(found, shared, spots)
     return passages
@@ -222,15 +221,15 @@ def repeated_spans(docs: DataFrame, window: int = 35, text: str = "text", shard_
     busy = counted.join(hot, "anchor", "left_semi").select(F.col("digest").alias("parent"), "passage", "n")
     sifted = materialize(busy.select("parent", "passage", "n").mapInArrow(windows, "shard long, parent binary, at int, n long"), "hot-windows")
     again = materialize(sifted.groupBy("shard").agg(F.sum("n").alias("n")).where("n > 1").select("shard"), "hot-windows-twice")
-    spots = sifted.join(again, "shard").groupBy("parent").agg(F.collect_list(F.struct("shard", "at")).alias("spots"))  # a passage's windows
-    parts = busy.join(spots, "parent").select("parent", "passage", "n", "spots")
+    spots = _meet(sifted, again, "shard").groupBy("parent").agg(F.collect_list(F.struct("shard", "at")).alias("spots"))  # a passage's windows
+    parts = _meet(busy, spots, "parent").select("parent", "passage", "n", "spots")
     parts = materialize(parts.mapInArrow(cut, "shard long, digest binary, passage string, parent binary, at int, n long"), "hot-passages")
     once = parts.groupBy("shard", "digest", "passage").agg(F.sum("n").alias("n"))
     inside = count_in_shards(once, window, shard_words).select("digest")
-    inside = parts.join(inside, "digest").groupBy("parent").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("end"))).alias("spans"))
+    inside = _meet(parts, inside, "digest").groupBy("parent").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("end"))).alias("spans"))
     solved = materialize(solved.union(inside.select(F.col("parent").alias("digest"), "spans")), "passages-solved")
 
-    placed = passages.select("key", "digest", "starts").join(solved, "digest")
+    placed = _meet(passages.select("key", "digest", "starts"), solved, "digest")
     placed = placed.select("key", F.explode("starts").alias("at"), "spans").select("key", "at", F.explode("spans").alias("s"))
     spans = placed.select("key", F.struct((F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end")).alias("s"))
     spans = materialize(spans.groupBy("key").agg(F.collect_set("s").alias("spans")), "repeated-spans")
@@ -244,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: s
     body = F.col(f"`{text}`")
     rows = docs.select(F.xxhash64(body, F.length(body)).alias("key"), F.col(f"`{key}`").cast("long").alias("id"), body.alias("text"))
     flat = spans.select("key", F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("spans"))
-    rows = _by_key(rows, flat, "left", 4).select("id", "text", "spans")
+    rows = _meet(rows, flat, "key", "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
