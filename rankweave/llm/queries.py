@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, toxicity, url_rules
+from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, token_files, toxicity, url_rules
 from rankweave.llm.common import table
 from rankweave.llm.oracle import SQL  # noqa: F401  (registered with the queries)
 
@@ -106,6 +106,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_sequences(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    found = token_files.read_documents(spark, manifest)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -117,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_token_files": op11_token_files,
 }
