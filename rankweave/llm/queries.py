@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, token_files, toxicity, url_rules
+from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, token_files, toxicity, url_rules, variants
 from rankweave.llm.common import table
 from rankweave.llm.oracle import SQL  # noqa: F401  (registered with the queries)
 
@@ -113,6 +113,19 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def damaged(doc_id: Column, run: Column) -> Column:
+    """Fixed by op12's contract: the run, without one character where 97 divides the crc32 of id and run."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = variants.word_counts(docs, rewrite=damaged)
+    return variants.group_variants(counts, min_chars=5, min_count=3, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -125,4 +138,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
     "op11_token_files": op11_token_files,
+    "op12_spelling_variants": op12_spelling_variants,
 }
