@@ -60,4 +60,16 @@ SPELLING_VARIANTS = rf"""WITH RECURSIVE {_CRC_TABLE},
  roots AS (SELECT word, arg_max(reached, k) root FROM c GROUP BY 1)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots ON f.word = roots.word"""
 
-SQL = {"op1_minhash_near_dedup": NEAR_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_decontamination": DECONTAMINATION, "op12_spelling_variants": SPELLING_VARIANTS}
+CONVERSATION_TRIE = rf"""WITH {_CRC_TABLE},
+ o AS (SELECT conv_id, list({{'k': md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'w': len({_WORDS.format(text="text")})}} ORDER BY turn NULLS FIRST) s FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+ x AS (SELECT conv_id, s, hex(encode(CAST(conv_id AS VARCHAR))) x FROM o),
+ h AS (SELECT conv_id, s, {_CRC.format(hex="x")} % 4 h FROM x, crc_table),
+ c AS (SELECT a.conv_id, list_concat(CASE WHEN b.s IS NULL OR a.h = 0 THEN [] ELSE b.s[1:a.h] END, a.s[a.h + 1:]) s FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 20),
+ p AS (SELECT conv_id, d, len(s) n, CASE WHEN d > 0 THEN s[d].w ELSE 0 END w, array_to_string(list_transform(s[1:d], lambda t: t.k), '') k FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) d FROM c)),
+ n AS (SELECT k, d, min(conv_id) conv_id, count(*) n_convs, any_value(w) w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '')) ends_sha256 FROM p GROUP BY 1, 2),
+ kids AS (SELECT left(k, (d - 1) * 32) k, count(*) n_children FROM n WHERE d > 0 GROUP BY 1),
+ m AS (SELECT n.*, coalesce(n_children, 0) n_children FROM n LEFT JOIN kids ON n.k = kids.k),
+ up AS (SELECT left(k, e * 32) k, count(*) FILTER (n_children = 0) n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) saved_tokens FROM (SELECT k, n_children, n_convs, w, unnest(range(0, d + 1)) e FROM m) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, q.conv_id parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN up ON m.k = up.k LEFT JOIN n q ON q.d = m.d - 1 AND q.k = left(m.k, (m.d - 1) * 32)"""
+
+SQL = {"op1_minhash_near_dedup": NEAR_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op6_decontamination": DECONTAMINATION, "op12_spelling_variants": SPELLING_VARIANTS, "op13_conversation_trie": CONVERSATION_TRIE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, token_files, toxicity, url_rules, variants
+from rankweave.llm import bpe, conversation_trie, decontaminate, near_dedup, quality, secrets, shards, substring_dedup, token_counts, token_files, toxicity, url_rules, variants
 from rankweave.llm.common import table
 from rankweave.llm.oracle import SQL  # noqa: F401  (registered with the queries)
 
@@ -126,6 +126,20 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(counts, min_chars=5, min_count=3, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Fixed by op13's contract: conversations that begin with turns of the one their twenty share."""
+    kept = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    first = turns.where("conv_id % 20 = 0").select(F.col("conv_id").alias("first_id"), F.slice("turns", 1, 3).alias("first"))
+    both = turns.join(first, F.expr("conv_id - conv_id % 20 = first_id"), "left").withColumn("kept", kept)
+    begun = F.coalesce(F.slice("first", F.lit(1), F.col("kept")), F.expr("slice(turns, 1, 0)"))
+    return both.select("conv_id", F.concat(begun, F.slice("turns", F.col("kept") + 1, F.greatest(F.size("turns"), F.lit(1)))).alias("turns"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turn_arrays(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(rebuilt(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -139,4 +153,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_token_files": op11_token_files,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
