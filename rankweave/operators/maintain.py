@@ -34,6 +34,21 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep_if_null:
     return both.select(*[value(c).alias(c) for c in target.columns], action.alias("action"))
 
 
+def insert_or_link(known: DataFrame, coming: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """(id, outcome, target_id) for each coming row: where its key is known, the row is linked to
+    the key's smallest known id; else the key's smallest coming row is inserted, and its others
+    are repeats of that.  Rows with a null key match nothing known, and repeat each other."""
+    name = lambda df, to: df.select(*[F.col(k).alias(f"{to}{i}") for i, k in enumerate(keys)], F.col(id_).alias(f"{to}_id"))
+    same = lambda how: reduce(lambda x, y: x & y, how)
+    n = range(len(keys))
+    old = name(known, "k").groupBy(*[f"k{i}" for i in n]).agg(F.min("k_id").alias("known_id"))
+    first = name(coming, "f").groupBy(*[f"f{i}" for i in n]).agg(F.min("f_id").alias("first_id"))
+    judged = first.join(old, same([F.col(f"f{i}") == F.col(f"k{i}") for i in n]), "left")  # keys meet once, not rows
+    rows = name(coming, "c").join(judged, same([F.col(f"c{i}").eqNullSafe(F.col(f"f{i}")) for i in n]))
+    outcome = F.when(F.col("known_id").isNotNull(), "linked").when(F.col("c_id") == F.col("first_id"), "inserted").otherwise("repeated")
+    return rows.select(F.col("c_id").alias(id_), outcome.alias("outcome"), F.coalesce("known_id", "first_id").alias("target_id"))
+
+
 def retire_missing(active: DataFrame, snapshot: DataFrame, group: str, key: str) -> DataFrame:
     """Active rows that a group's latest snapshot lacks; groups without any snapshot row are left alone."""
     seen = snapshot.select(group).distinct()

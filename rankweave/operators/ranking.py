@@ -29,8 +29,8 @@ def venue_stats(reviews: DataFrame, providers: DataFrame) -> DataFrame:
     return counts.join(by_venue, "venue_id", "left").na.fill(0, ["review_count"])
 
 
-def ranked_venues(venues: DataFrame, stats: DataFrame, reviews: DataFrame, as_of: str, order: str = "display_order", limit: int = 200, prior: float = 74.0, weight: int = 5) -> DataFrame:
-    """Venues with a Bayesian score and a composite rank, best first.
+def scored_venues(venues: DataFrame, stats: DataFrame, reviews: DataFrame, as_of: str, prior: float = 74.0, weight: int = 5) -> DataFrame:
+    """Venues with a Bayesian score and a composite rank.
 
     The mean over all scored reviews is the prior (``prior`` without any).
     Rank: 0.45 unrounded Bayesian score, 0.35 review count up to 30, 0.10
@@ -43,8 +43,7 @@ def ranked_venues(venues: DataFrame, stats: DataFrame, reviews: DataFrame, as_of
     raw = (weight * mean + total) / (weight + n)
     rank = raw * 0.45 + F.least(n, F.lit(30)) / 30 * 100 * 0.35 + F.least(F.col("provider_count"), F.lit(50)) / 50 * 100 * 0.10 + recency(F.col("latest"), as_of) * 0.10
     zero = F.lit(0).cast("decimal(5,1)")
-    scored = joined.withColumns({"bayes_score": F.when(n == 0, zero).otherwise(raw.cast("decimal(5,1)")), "rank_score": F.when(n == 0, zero).otherwise(rank.cast("decimal(5,1)"))})
-    return scored.orderBy(F.desc("rank_score"), F.desc("review_count"), F.asc(order)).limit(limit)
+    return joined.withColumns({"bayes_score": F.when(n == 0, zero).otherwise(raw.cast("decimal(5,1)")), "rank_score": F.when(n == 0, zero).otherwise(rank.cast("decimal(5,1)"))})
 
 
 def top_providers(reviews: DataFrame, providers: DataFrame, limit: int = 50) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
 from rankweave.operators import hierarchy, linkage, maintain, ranking
+from rankweave.operators.ordered import floored_counters
 from rankweave.plans.registry import query
-from rankweave.sources.model import AS_OF, Model
+from rankweave.sources.model import AS_OF, SEGMENTS, Model
 
 _STATS = """, scored AS (SELECT * FROM {src} WHERE score IS NOT NULL),
  vs AS (SELECT p.venue_id, count(*) n, CAST(avg(s.score) AS DECIMAL(5,1)) avg_score, max(s.created_at) latest FROM scored s JOIN providers p USING (provider_id) GROUP BY 1),
@@ -22,21 +23,28 @@ _RANKED = """ SELECT venue_id, name, display_order, coalesce(n, 0) review_count,
  ORDER BY rank_score DESC, review_count DESC, display_order LIMIT 200"""
 
 
-def _ranked(m: Model, sparse: bool) -> DataFrame:
-    reviews = m.approved(sparse)
-    venues = m.venue_areas().where("area_id = 7").join(m.published(), "venue_id")
-    out = ranking.ranked_venues(venues, ranking.venue_stats(reviews, m.providers()), reviews, AS_OF)
-    return out.select("venue_id", "name", "display_order", "review_count", F.col("bayes_score").cast("double").alias("bayes_score"), F.col("rank_score").cast("double").alias("rank_score"))
+def _ranked(m: Model, area: int | None) -> DataFrame:
+    reviews = m.approved_scores()
+    places = m.venue_areas()
+    venues = (places if area is None else places.where(F.col("area_id") == area)).join(m.published(), "venue_id")
+    return ranking.scored_venues(venues, ranking.venue_stats(reviews, m.providers()), reviews, AS_OF)
+
+
+_SCORES = [F.col(c).cast("double").alias(c) for c in ("bayes_score", "rank_score")]
 
 
 @query("r01_ranked_venues", _STATS.format(src="approved") + _RANKED)
 def _(m: Model) -> DataFrame:
-    return _ranked(m, sparse=False)
+    best = _ranked(m, area=7).orderBy(F.desc("rank_score"), F.desc("review_count"), "display_order").limit(200)
+    return best.select("venue_id", "name", "display_order", "review_count", *_SCORES)
 
 
-@query("r01_ranked_venues_sparse", _STATS.format(src="sparse") + _RANKED)
+@query("r01_ranked_venues_sparse", _STATS.format(src="approved") + _RANKED.replace("SELECT venue_id", "SELECT area_id, venue_id", 1).replace(" WHERE area_id = 7", "").replace(" ORDER BY rank_score DESC, review_count DESC, display_order LIMIT 200", " QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY rank_score DESC, review_count DESC, display_order) <= 200"))
 def _(m: Model) -> DataFrame:
-    return _ranked(m, sparse=True)
+    """The best venues of every area."""
+    place = F.row_number().over(Window.partitionBy("area_id").orderBy(F.desc("rank_score"), F.desc("review_count"), "display_order"))
+    best = _ranked(m, area=None).withColumn("place", place).where("place <= 200")
+    return best.select("area_id", "venue_id", "name", "display_order", "review_count", *_SCORES)
 
 
 @query("r02_batch_stats", _STATS.format(src="approved") + " SELECT v.venue_id, coalesce(n, 0) review_count, coalesce(CAST(avg_score AS DOUBLE), 0) avg_score FROM published v LEFT JOIN vs USING (venue_id) WHERE v.venue_id IN (1, 2, 3, 5, 8, 13)")
@@ -130,16 +138,27 @@ def _(m: Model) -> DataFrame:
     return hierarchy.resolve_keywords(rows, "kw", "region_id", "lvl", "area_id").select("area_id", "kw", "outcome")
 
 
-@query("h06_count_attach", ", c AS (SELECT area_id, count(*) n FROM venue_areas WHERE area_id % 2 = 0 GROUP BY 1) SELECT area_id, coalesce(n, -1) n FROM areas LEFT JOIN c USING (area_id)")
+_AT_HOME = ", c AS (SELECT area_id, count(*) n FROM venue_areas JOIN areas a USING (area_id) JOIN venues v USING (venue_id) WHERE a.region_id = v.region_id GROUP BY 1)"
+
+
+def _at_home(m: Model) -> DataFrame:
+    """(area_id, n): how many of an area's venues are of its region."""
+    placed = m.venue_areas().join(m.areas().select("area_id", "region_id"), "area_id")
+    return placed.join(m.venues().select("venue_id", "region_id"), ["venue_id", "region_id"]).groupBy("area_id").agg(F.count("*").alias("n"))
+
+
+@query("h06_count_attach", _AT_HOME + " SELECT area_id, coalesce(n, -1) n FROM areas LEFT JOIN c USING (area_id) WHERE coalesce(n, -1) < 3")
 def _(m: Model) -> DataFrame:
-    counts = m.venue_areas().where("area_id % 2 = 0").groupBy("area_id").agg(F.count("*").alias("n"))
-    return m.areas().select("area_id").join(counts, "area_id", "left").na.fill(-1, ["n"])
+    return m.areas().select("area_id").join(_at_home(m), "area_id", "left").na.fill(-1, ["n"]).where("n < 3")
 
 
-@query("h07_two_condition_exclusion", ", c AS (SELECT area_id, count(*) n FROM venue_areas GROUP BY 1) SELECT area_id FROM areas LEFT JOIN c USING (area_id) WHERE NOT (coalesce(n, 0) < 30 AND area_id % 2 = 0)")
+@query("h07_two_condition_exclusion", _AT_HOME + ", q AS (SELECT CAST(c_nationkey * 5 + list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS BIGINT) area_id, count(*) volume FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= DATE '2001-07-25' GROUP BY 1) SELECT area_id, coalesce(n, 0) n, coalesce(volume, 0) volume FROM areas LEFT JOIN c USING (area_id) LEFT JOIN q USING (area_id) WHERE NOT (coalesce(n, 0) < 3 AND coalesce(volume, 0) = 0)")
 def _(m: Model) -> DataFrame:
-    counts = m.venue_areas().groupBy("area_id").agg(F.count("*").alias("n"))
-    return m.areas().join(counts, "area_id", "left").where(~((F.coalesce("n", F.lit(0)) < 30) & (F.col("area_id") % 2 == 0))).select("area_id")
+    k = F.expr("array_position(array('%s'), c_mktsegment) - 1" % "','".join(SEGMENTS))
+    asked = m.table("orders").where("o_orderpriority = '1-URGENT' and o_orderdate >= date '2001-07-25'").join(m.table("customer"), F.expr("o_custkey = c_custkey"))
+    volume = asked.groupBy((F.col("c_nationkey") * 5 + k).cast("bigint").alias("area_id")).agg(F.count("*").alias("volume"))
+    joined = m.areas().select("area_id").join(_at_home(m), "area_id", "left").join(volume, "area_id", "left").na.fill(0, ["n", "volume"])
+    return joined.where("not (n < 3 and volume = 0)")
 
 
 @query("h10_path_hierarchy", ", p AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/+$', '') path FROM pages), s AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') parts FROM p) SELECT path, CAST(len(parts) AS BIGINT) depth, list_extract(parts, -1) slug, list_extract(parts, -2) parent_slug FROM s WHERE len(parts) > 0")
@@ -172,10 +191,11 @@ def _(m: Model) -> DataFrame:
     return maintain.fail_streak(log, "user_id", ["ts", "event_id"], "ok")
 
 
-@query("d05_retire_missing", "SELECT provider_id FROM providers WHERE provider_id % 3 = 0 AND venue_id IN (SELECT venue_id FROM providers WHERE provider_id % 2 = 0) AND provider_id % 2 = 1")
+@query("d05_retire_missing", ", t AS (SELECT DISTINCT venue_id, provider_id FROM approved), n AS (SELECT DISTINCT venue_id, provider_id FROM reviews WHERE status = 'rejected' AND created_at >= TIMESTAMP '1993-01-01') SELECT venue_id, provider_id FROM t WHERE venue_id IN (SELECT venue_id FROM n) AND (venue_id, provider_id) NOT IN (SELECT (venue_id, provider_id) FROM n)")
 def _(m: Model) -> DataFrame:
-    rows = m.providers().select("provider_id", "venue_id")
-    return maintain.retire_missing(rows.where("provider_id % 3 = 0"), rows.where("provider_id % 2 = 0"), "venue_id", "provider_id").select("provider_id")
+    active = m.approved_scores().select("venue_id", "provider_id").distinct()
+    latest = m.reviews().where("status = 'rejected' and created_at >= timestamp '1993-01-01'").select("venue_id", "provider_id").distinct()
+    return maintain.retire_missing(active, latest, "venue_id", "provider_id").select("venue_id", "provider_id")
 
 
 @query("d06_counters", "SELECT user_id, count(*) FILTER (event_type = 'view') view_count, count(*) FILTER (event_type = 'purchase') purchase_count FROM events GROUP BY 1")
@@ -183,6 +203,15 @@ def _(m: Model) -> DataFrame:
     return maintain.counters(m.table("events"), "user_id", "event_type", ["view", "purchase"])
 
 
+@query(
+    "d06_floored_counters",
+    ", o AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 1 WHEN event_type IN ('error', 'view') THEN -1 END d FROM events), s AS (SELECT user_id, sum(coalesce(d, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) s, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) k FROM o) SELECT user_id, CAST(max(s) FILTER (k = 1) - least(min(s), 0) AS BIGINT) n FROM s GROUP BY 1",
+)
+def _(m: Model) -> DataFrame:
+    change = F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type").isin("error", "view"), -1)
+    return floored_counters(m.table("events").withColumn("d", change), "user_id", ["ts", "event_id"], "d")
+
+
 @query("d08_fan_out", ", f AS (SELECT DISTINCT a.user_id follower, b.user_id followed FROM events a JOIN events b ON a.user_id = (b.user_id + 1) % 150 WHERE a.event_type = 'signup' AND b.event_type = 'signup') SELECT follower recipient, event_id FROM events JOIN f ON user_id = followed WHERE event_type = 'purchase' AND follower <> user_id")
 def _(m: Model) -> DataFrame:
     signed = m.table("events").where("event_type = 'signup'").select("user_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import directory as D
 from rankweave.functions import text as T
 from rankweave.operators import classify, html, maintain, ranking
+from rankweave.operators.ordered import running_total
 from rankweave.plans.registry import query
 from rankweave.sources.model import AS_OF, Model
 from rankweave.streaming import jobs
@@ -96,6 +97,28 @@ def _(m: Model) -> DataFrame:
     return m.venue_areas().select("venue_id", "area_id", F.row_number().over(Window.partitionBy("area_id").orderBy(F.desc("venue_id"))).cast("bigint").alias("rank"))
 
 
+_PAGES = ", c AS (SELECT v.venue_id, 1 + count(p.provider_id) pages FROM venues v LEFT JOIN (SELECT * FROM providers WHERE status = 'active') p USING (venue_id) GROUP BY 1)"
+
+
+@query("w01_global_running_total", _PAGES + " SELECT venue_id, pages, CAST(sum(pages) OVER (ORDER BY venue_id) AS BIGINT) running FROM c")
+def _(m: Model) -> DataFrame:
+    active = m.providers().where("status = 'active'").groupBy("venue_id").agg(F.count("*").alias("n"))
+    pages = m.venues().select("venue_id").join(active, "venue_id", "left").select("venue_id", (1 + F.coalesce("n", F.lit(0))).alias("pages"))
+    return running_total(pages, ["venue_id"], "pages")
+
+
+@query("w01_running_quantity", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(l_quantity) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) running, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) number FROM lineitem")
+def _(m: Model) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return running_total(m.table("lineitem").select(*order, "l_quantity"), order, "l_quantity", number="number").drop("l_quantity")
+
+
+@query("w07_global_rank", "SELECT provider_id, n, row_number() OVER (ORDER BY mean DESC NULLS LAST, n DESC, provider_id) AS rank FROM (SELECT provider_id, avg(score) mean, count(*) n FROM approved GROUP BY 1)")
+def _(m: Model) -> DataFrame:
+    rows = m.approved_scores().groupBy("provider_id").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
+    return running_total(rows, [F.desc_nulls_last("mean"), F.desc("n"), "provider_id"], number="rank").select("provider_id", "n", "rank")
+
+
 @query("o02_composite_order", "SELECT venue_id, n, best FROM (SELECT venue_id, count(*) n, max(score) best FROM approved GROUP BY 1) ORDER BY best DESC NULLS LAST, n DESC, venue_id LIMIT 12")
 def _(m: Model) -> DataFrame:
     return m.approved().groupBy("venue_id").agg(F.count("*").alias("n"), F.max("score").alias("best")).orderBy(F.desc_nulls_last("best"), F.desc("n"), "venue_id").limit(12)
@@ -272,16 +295,21 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.coalesce(T.capture(F.trim(F.regexp_extract("html", "(?is)<title[^>]*>([^|<-]+)", 1)), "(?s)(.+)"), F.lit("none")).alias("name"))
 
 
-@query("d02_insert_or_link", ", s AS (SELECT venue_id, name FROM venues WHERE venue_id % 2 = 0), t AS (SELECT name FROM venues WHERE venue_id <= 5) SELECT venue_id, name IN (SELECT name FROM t) linked FROM s")
+@query(
+    "d02_insert_or_link",
+    ", t AS (SELECT provider_id, member_id, min(review_id) id FROM approved WHERE member_id IS NOT NULL GROUP BY 1, 2), s AS (SELECT provider_id, member_id, review_id, min(review_id) OVER (PARTITION BY provider_id, member_id) first_id FROM reviews WHERE status = 'pending' AND member_id IS NOT NULL) SELECT review_id, CASE WHEN t.id IS NOT NULL THEN 'linked' WHEN review_id = first_id THEN 'inserted' ELSE 'repeated' END outcome, coalesce(t.id, first_id) target_id FROM s LEFT JOIN t USING (provider_id, member_id)",
+)
 def _(m: Model) -> DataFrame:
-    known = m.venues().where("venue_id <= 5").select("name").withColumn("hit", F.lit(True))
-    return m.venues().where("venue_id % 2 = 0").join(known, "name", "left").select("venue_id", F.coalesce("hit", F.lit(False)).alias("linked"))
+    rows = m.reviews().where("member_id is not null")
+    keys = ["provider_id", "member_id"]
+    known, coming = (rows.where(F.col("status") == s).select(*keys, "review_id") for s in ("approved", "pending"))
+    return maintain.insert_or_link(known, coming, keys, "review_id")
 
 
-@query("d07_recompute", "SELECT provider_id, count(*) n, CAST(CAST(avg(score) AS DECIMAL(5,1)) AS DOUBLE) avg_score FROM approved WHERE score IS NOT NULL AND provider_id IN (SELECT provider_id FROM sparse) GROUP BY 1")
+@query("d07_recompute", "SELECT provider_id, count(*) n, CAST(CAST(avg(score) AS DECIMAL(5,1)) AS DOUBLE) avg_score FROM approved WHERE score IS NOT NULL AND provider_id IN (SELECT provider_id FROM reviews WHERE status = 'pending' AND created_at >= TIMESTAMP '1998-01-01') GROUP BY 1")
 def _(m: Model) -> DataFrame:
-    touched = m.approved(sparse=True).select("provider_id").distinct()
-    base = m.approved().where("score is not null").join(touched, "provider_id", "left_semi")
+    touched = m.reviews().where("status = 'pending' and created_at >= timestamp '1998-01-01'").select("provider_id").distinct()
+    base = m.approved_scores().where("score is not null").join(touched, "provider_id", "left_semi")
     return base.groupBy("provider_id").agg(F.count("*").alias("n"), F.avg("score").cast("decimal(5,1)").cast("double").alias("avg_score"))
 
 
@@ -302,9 +330,10 @@ def _(m: Model) -> DataFrame:
     return m.providers().select("provider_id", F.coalesce(F.when(F.col("provider_id") % 2 == 0, F.col("brand")), F.concat(F.lit("provider-"), "provider_id")).alias("slug"))
 
 
-@query("d21_resume", "SELECT venue_id FROM venues WHERE venue_id NOT IN (SELECT venue_id FROM sparse)")
+@query("d21_resume", "SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')")
 def _(m: Model) -> DataFrame:
-    return m.venues().join(m.approved(sparse=True).select("venue_id"), "venue_id", "left_anti").select("venue_id")
+    done = m.table("lineitem").where("l_returnflag = 'N'").select("l_orderkey")
+    return m.table("orders").join(done, F.expr("o_orderkey = l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("order_id"))
 
 
 @query("d23_status_transition", "SELECT review_id, CASE WHEN status IN ('approved', 'rejected') THEN TIMESTAMP '2001-11-05' END resolved_at FROM reviews")

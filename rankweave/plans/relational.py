@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.ranking import dominant, js_round, shares
+from rankweave.operators.ordered import running_total
 from rankweave.plans.registry import query
 from rankweave.sources.model import Model
 
@@ -203,19 +204,20 @@ def _(m: Model) -> DataFrame:
     return m.venues().join(F.broadcast(wanted), "venue_id").select("pos", "venue_id", "name").orderBy("pos")
 
 
-@query("j13_list_join", "SELECT r.region_id, CAST(l.pos AS BIGINT) pos, n.region_id near_id FROM regions r, (VALUES (0, 'FRANCE'), (1, 'NOWHERE'), (2, 'CHINA')) l(pos, name) JOIN regions n ON n.name = l.name WHERE r.region_id < 3")
+@query("j13_list_join", ", l AS (SELECT a.region_id, b.name, row_number() OVER (PARTITION BY a.region_id ORDER BY b.name) - 1 pos FROM regions a JOIN regions b ON a.grp = b.grp) SELECT l.region_id, CAST(pos AS BIGINT) pos, n.region_id near_id FROM l JOIN regions n ON n.name = l.name WHERE pos < 3")
 def _(m: Model) -> DataFrame:
-    listed = m.regions().where("region_id < 3").select("region_id", F.posexplode(F.split(F.lit("FRANCE|NOWHERE|CHINA"), r"\|")).alias("pos", "name"))
+    texts = m.regions().groupBy("grp").agg(F.array_join(F.slice(F.sort_array(F.collect_list("name")), 1, 3), "|").alias("near"))
+    listed = m.regions().join(texts, "grp").select("region_id", F.posexplode(F.split("near", r"\|")).alias("pos", "name"))
     names = m.regions().select(F.col("region_id").alias("near_id"), "name")
     return listed.join(F.broadcast(names), "name").select("region_id", F.col("pos").cast("bigint").alias("pos"), "near_id")
 
 
-@query("j14_ranked_then_rest", ", ranked AS (SELECT venue_id, row_number() OVER (ORDER BY n DESC, venue_id) rk FROM (SELECT venue_id, count(*) n FROM sparse GROUP BY 1 ORDER BY n DESC, venue_id LIMIT 10)) SELECT venue_id, row_number() OVER (ORDER BY rk NULLS LAST, venue_id) AS rank FROM published LEFT JOIN ranked USING (venue_id)")
+@query("j14_ranked_then_rest", ", ranked AS (SELECT venue_id, row_number() OVER (ORDER BY n DESC, venue_id) rk FROM (SELECT venue_id, count(*) n FROM approved GROUP BY 1 ORDER BY n DESC, venue_id LIMIT 10)) SELECT venue_id, row_number() OVER (ORDER BY rk NULLS LAST, venue_id) AS rank FROM published LEFT JOIN ranked USING (venue_id)")
 def _(m: Model) -> DataFrame:
-    top = m.approved(sparse=True).groupBy("venue_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue_id").limit(10)
+    top = m.approved().groupBy("venue_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue_id").limit(10)
     ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "venue_id")))  # ten rows
     joined = m.published().select("venue_id").join(F.broadcast(ranked), "venue_id", "left")
-    return joined.select("venue_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("rk"), "venue_id")).cast("bigint").alias("rank"))
+    return running_total(joined, [F.asc_nulls_last("rk"), "venue_id"], number="rank").select("venue_id", "rank")
 
 
 @query("j15_self_join", "SELECT a.provider_id, b.provider_id other_id FROM providers a JOIN providers b ON a.name = b.name AND a.provider_id <> b.provider_id")
@@ -236,9 +238,9 @@ def _(m: Model) -> DataFrame:
     return m.providers().join(venues, "venue_id", "left_semi").select("provider_id")
 
 
-@query("j23_coverage", ", a AS (SELECT DISTINCT venue_id FROM venue_areas WHERE area_id = 7), b AS (SELECT DISTINCT venue_id FROM sparse) SELECT count(b.venue_id) covered, count(*) - count(b.venue_id) gap, round(100.0 * count(b.venue_id) / count(*), 1) pct FROM a LEFT JOIN b USING (venue_id)")
+@query("j23_coverage", ", a AS (SELECT DISTINCT venue_id FROM venue_areas WHERE area_id = 7), b AS (SELECT DISTINCT venue_id FROM approved) SELECT count(b.venue_id) covered, count(*) - count(b.venue_id) gap, round(100.0 * count(b.venue_id) / count(*), 1) pct FROM a LEFT JOIN b USING (venue_id)")
 def _(m: Model) -> DataFrame:
-    a, b = m.venue_areas().where("area_id = 7").select("venue_id").distinct(), m.approved(sparse=True).select("venue_id").distinct()
+    a, b = m.venue_areas().where("area_id = 7").select("venue_id").distinct(), m.approved().select("venue_id").distinct()
     joined = a.join(b.withColumn("hit", F.lit(1)), "venue_id", "left")
     return joined.agg(F.count("hit").alias("covered"), (F.count("*") - F.count("hit")).alias("gap"), F.round(100.0 * F.count("hit") / F.count("*"), 1).alias("pct"))
 
@@ -321,9 +323,9 @@ def _(m: Model) -> DataFrame:
     return shares(rows, [], "level_id", of_all=True)
 
 
-@query("a14_average_default", "SELECT member_id, CAST(round(coalesce(avg(p1), 3), 1) AS DOUBLE) p1 FROM (SELECT m.member_id, r.p1 FROM members m LEFT JOIN sparse r ON m.member_id = r.member_id) GROUP BY 1")
+@query("a14_average_default", "SELECT member_id, CAST(round(coalesce(avg(p1), 3), 1) AS DOUBLE) p1 FROM (SELECT m.member_id, r.p1 FROM members m LEFT JOIN approved r ON m.member_id = r.member_id) GROUP BY 1")
 def _(m: Model) -> DataFrame:
-    joined = m.members().select("member_id").join(m.approved(sparse=True).select("member_id", "p1"), "member_id", "left")
+    joined = m.members().select("member_id").join(m.approved().select("member_id", "p1"), "member_id", "left")
     return joined.groupBy("member_id").agg(F.round(F.coalesce(F.avg("p1"), F.lit(3.0)), 1).alias("p1"))
 
 
@@ -409,9 +411,9 @@ def _(m: Model) -> DataFrame:
     return identity_numbers(m.providers(), "name").select("provider_id", "person_id")
 
 
-@query("w04_top_k_per_group", "SELECT venue_id, provider_id, rn FROM (SELECT venue_id, provider_id, row_number() OVER (PARTITION BY venue_id ORDER BY n DESC, provider_id) rn FROM (SELECT p.venue_id, p.provider_id, count(r.review_id) n FROM providers p LEFT JOIN sparse r USING (provider_id) GROUP BY 1, 2)) WHERE rn <= 10")
+@query("w04_top_k_per_group", "SELECT venue_id, provider_id, rn FROM (SELECT venue_id, provider_id, row_number() OVER (PARTITION BY venue_id ORDER BY n DESC, provider_id) rn FROM (SELECT p.venue_id, p.provider_id, count(r.review_id) n FROM providers p LEFT JOIN approved r USING (provider_id) GROUP BY 1, 2)) WHERE rn <= 10")
 def _(m: Model) -> DataFrame:
-    counts = m.approved(sparse=True).groupBy("provider_id").agg(F.count("*").alias("n"))
+    counts = m.approved().groupBy("provider_id").agg(F.count("*").alias("n"))
     joined = m.providers().select("venue_id", "provider_id").join(counts, "provider_id", "left").na.fill(0, ["n"])
     order = Window.partitionBy("venue_id").orderBy(F.desc("n"), "provider_id")
     return joined.withColumn("rn", F.row_number().over(order).cast("bigint")).where("rn <= 10").select("venue_id", "provider_id", "rn")
@@ -428,10 +430,10 @@ def _(m: Model) -> DataFrame:
     return m.approved().withColumn("rn", F.row_number().over(latest)).where("rn = 1").select("venue_id", "review_id")
 
 
-@query("w08_siblings", "SELECT region_id, area_id, (SELECT string_agg(slug, '|' ORDER BY slug) FROM (SELECT b.slug FROM areas b WHERE b.region_id = a.region_id AND b.area_id <> a.area_id ORDER BY b.slug LIMIT 3)) siblings FROM areas a WHERE region_id < 5")
+@query("w08_siblings", "SELECT region_id, area_id, (SELECT string_agg(slug, '|' ORDER BY slug) FROM (SELECT b.slug FROM areas b WHERE b.region_id = a.region_id AND b.area_id <> a.area_id ORDER BY b.slug LIMIT 5)) siblings FROM areas a")
 def _(m: Model) -> DataFrame:
-    listed = m.areas().where("region_id < 5").withColumn("all", F.sort_array(F.collect_list(F.struct("slug", "area_id")).over(Window.partitionBy("region_id"))))
-    others = F.slice(F.filter("all", lambda x: x["area_id"] != F.col("area_id")), 1, 3)
+    listed = m.areas().withColumn("all", F.sort_array(F.collect_list(F.struct("slug", "area_id")).over(Window.partitionBy("region_id"))))
+    others = F.slice(F.filter("all", lambda x: x["area_id"] != F.col("area_id")), 1, 5)
     return listed.select("region_id", "area_id", F.array_join(F.transform(others, lambda x: x["slug"]), "|").alias("siblings"))
 
 
@@ -455,9 +457,9 @@ def _(m: Model) -> DataFrame:
     return m.reviews().orderBy(F.asc_nulls_first("score"), "review_id").limit(25).select("review_id")
 
 
-@query("o04_boolean_first", "SELECT v.venue_id FROM venues v LEFT JOIN (SELECT DISTINCT venue_id, true has FROM sparse) r USING (venue_id) ORDER BY coalesce(has, false) DESC, venue_id LIMIT 15")
+@query("o04_boolean_first", "SELECT v.venue_id FROM venues v LEFT JOIN (SELECT DISTINCT venue_id, true has FROM approved) r USING (venue_id) ORDER BY coalesce(has, false) DESC, venue_id LIMIT 15")
 def _(m: Model) -> DataFrame:
-    has = m.approved(sparse=True).select("venue_id").distinct().withColumn("has", F.lit(True))
+    has = m.approved().select("venue_id").distinct().withColumn("has", F.lit(True))
     return m.venues().join(has, "venue_id", "left").orderBy(F.coalesce("has", F.lit(False)).desc(), "venue_id").limit(15).select("venue_id")
 
 
@@ -467,9 +469,9 @@ def _(m: Model) -> DataFrame:
     return m.venues().orderBy(priority, "venue_id").limit(30).select("venue_id")
 
 
-@query("o10_priority_fill", ", n AS (SELECT p.provider_id, count(r.review_id) n FROM providers p LEFT JOIN sparse r USING (provider_id) WHERE p.provider_id NOT IN (1, 2, 3) GROUP BY 1) SELECT provider_id, CAST(CASE WHEN n > 0 THEN 0 ELSE 1 END AS BIGINT) tier FROM n ORDER BY tier, n DESC, provider_id LIMIT 40")
+@query("o10_priority_fill", ", n AS (SELECT p.provider_id, count(r.review_id) n FROM providers p LEFT JOIN approved r USING (provider_id) WHERE p.provider_id NOT IN (1, 2, 3) GROUP BY 1) SELECT provider_id, CAST(CASE WHEN n > 0 THEN 0 ELSE 1 END AS BIGINT) tier FROM n ORDER BY tier, n DESC, provider_id LIMIT 40")
 def _(m: Model) -> DataFrame:
-    counts = m.approved(sparse=True).groupBy("provider_id").agg(F.count("*").alias("n"))
+    counts = m.approved().groupBy("provider_id").agg(F.count("*").alias("n"))
     done = m.spark.createDataFrame([(1,), (2,), (3,)], "provider_id long")
     rows = m.providers().select("provider_id").join(F.broadcast(done), "provider_id", "left_anti").join(counts, "provider_id", "left").na.fill(0, ["n"])
     return rows.withColumn("tier", F.when(F.col("n") > 0, 0).otherwise(1).cast("bigint")).orderBy("tier", F.desc("n"), "provider_id").limit(40).select("provider_id", "tier")
@@ -483,9 +485,9 @@ def _(m: Model) -> DataFrame:
 # Sets
 
 
-@query("u01_union_distinct", "SELECT venue_id FROM published UNION SELECT venue_id FROM sparse")
+@query("u01_union_distinct", "SELECT venue_id FROM published UNION SELECT venue_id FROM approved")
 def _(m: Model) -> DataFrame:
-    return m.published().select("venue_id").union(m.approved(sparse=True).select("venue_id")).distinct()
+    return m.published().select("venue_id").union(m.approved().select("venue_id")).distinct()
 
 
 @query("u02_union_all", "SELECT user_id FROM events WHERE event_type = 'signup' UNION ALL SELECT user_id FROM events WHERE event_type = 'purchase'")
@@ -494,9 +496,9 @@ def _(m: Model) -> DataFrame:
     return of("signup").unionByName(of("purchase"))
 
 
-@query("u04_difference", "SELECT member_id FROM members EXCEPT SELECT member_id FROM sparse")
+@query("u04_difference", "SELECT member_id FROM members EXCEPT SELECT member_id FROM approved")
 def _(m: Model) -> DataFrame:
-    return m.members().select("member_id").subtract(m.approved(sparse=True).select("member_id"))
+    return m.members().select("member_id").subtract(m.approved().select("member_id"))
 
 
 @query("u05_keep_first", "SELECT min(doc_id) doc_id FROM documents GROUP BY text")

@@ -14,6 +14,22 @@ AS_OF = "2001-11-05 00:00:00"
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+#: What a review has from its line alone.
+SCORED = [
+    "l_partkey provider_id",
+    "l_suppkey venue_id",
+    "case when l_tax = 0 then null else cast(l_quantity * 2 as int) end score",
+    "cast(1 + (l_partkey + l_linenumber) % 8 as int) type_id",
+    "cast(1 + l_partkey % 5 as int) body_id",
+    "cast(1 + l_suppkey % 3 as int) level_id",
+    "cast(1 + l_orderkey % 5 as int) p1",
+    "cast(1 + l_partkey % 5 as int) p2",
+    "cast(1 + l_suppkey % 5 as int) p3",
+    "case l_returnflag when 'N' then 'approved' when 'A' then 'pending' else 'rejected' end status",
+    "l_shipdate created_at",
+]
+
+
 class Model:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -57,28 +73,22 @@ class Model:
     def members(self) -> DataFrame:
         return self.table("customer").selectExpr("c_custkey member_id", "c_name nickname", "c_acctbal balance", "c_mktsegment segment")
 
-    def reviews(self, sparse: bool = False) -> DataFrame:
-        lines = self.table("lineitem")
-        lines = lines.where("l_orderkey % 50 = 0") if sparse else lines
+    def reviews(self, lines: DataFrame | None = None) -> DataFrame:
+        lines = self.table("lineitem") if lines is None else lines
         return lines.join(self.table("orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).selectExpr(
             "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) review_id",
             "case when o_custkey % 10 = 0 then null else o_custkey end member_id",
-            "l_partkey provider_id",
-            "l_suppkey venue_id",
-            "case when l_tax = 0 then null else cast(l_quantity * 2 as int) end score",
-            "cast(1 + (l_partkey + l_linenumber) % 8 as int) type_id",
-            "cast(1 + l_partkey % 5 as int) body_id",
-            "cast(1 + l_suppkey % 3 as int) level_id",
-            "cast(1 + l_orderkey % 5 as int) p1",
-            "cast(1 + l_partkey % 5 as int) p2",
-            "cast(1 + l_suppkey % 5 as int) p3",
             "cast(1 + o_custkey % 5 as int) p4",
-            "case l_returnflag when 'N' then 'approved' when 'A' then 'pending' else 'rejected' end status",
-            "l_shipdate created_at",
+            *SCORED,
         )
 
-    def approved(self, sparse: bool = False) -> DataFrame:
-        return self.reviews(sparse).where("status = 'approved'")
+    def approved(self) -> DataFrame:
+        """Approved reviews; the filter reaches the scan."""
+        return self.reviews(self.table("lineitem").where("l_returnflag = 'N'"))
+
+    def approved_scores(self) -> DataFrame:
+        """Approved reviews without what only their orders know: id, member and ``p4``."""
+        return self.table("lineitem").where("l_returnflag = 'N'").selectExpr(*SCORED)
 
 
 _REVIEW = """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey review_id,
@@ -101,7 +111,6 @@ CTES = {
     "members": "SELECT c_custkey member_id, c_name nickname, c_acctbal balance, c_mktsegment segment FROM customer",
     "reviews": _REVIEW,
     "approved": "SELECT * FROM reviews WHERE status = 'approved'",
-    "sparse": "SELECT * FROM approved WHERE CAST(split_part(review_id, '-', 1) AS BIGINT) % 50 = 0",
 }
 
 
