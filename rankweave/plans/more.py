@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import directory as D
 from rankweave.functions import text as T
 from rankweave.operators import classify, html, maintain, ranking
+from rankweave.operators.components import merge_parents
 from rankweave.operators.ordered import running_total
 from rankweave.plans.registry import query
 from rankweave.sources.model import AS_OF, Model
@@ -290,6 +291,28 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").groupBy(F.regexp_replace("url", "[?#].*$", "").alias("u")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("merged")).select("page_id", "merged")
 
 
+@query(
+    "h09_merge_by_chained_keys",
+    """, k AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^(www|m)\\.', '') site, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title, html FROM pages),
+ e AS (SELECT page_id, 's' || site x FROM k WHERE site <> '' UNION ALL SELECT page_id, 't' || title FROM k WHERE title <> ''),
+ f AS (SELECT e.page_id a, g.first b FROM e JOIN (SELECT x, min(page_id) AS first FROM e GROUP BY 1) g ON e.x = g.x),
+ w AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
+ r AS (SELECT page_id a, page_id AS seen FROM k UNION SELECT r.a, w.b FROM r JOIN w ON r.seen = w.a),
+ c AS (SELECT a, min(seen) page_id FROM r GROUP BY 1),
+ l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)) href FROM pages)
+SELECT c.page_id, count(DISTINCT a) merged, count(href) links, count(DISTINCT href) targets FROM c LEFT JOIN l ON l.page_id = a GROUP BY 1""",
+)
+def _(m: Model) -> DataFrame:
+    """Pages of one site or of one title, by chains of both, become one; their links move along."""
+    pages = m.table("pages")
+    site = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), r"^(www|m)\.", "")
+    records = pages.select("page_id", site.alias("site"), F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?i)<a [^>]*href="([^"]*)"'), 1)).alias("href"))
+    kept, moved = merge_parents(records, links, "page_id", ["site", "title"], "page_id")
+    counts = moved.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("targets"))
+    return kept.join(counts, "page_id", "left").na.fill(0, ["links", "targets"])
+
+
 @query("h11_name_from_title", "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^|<-]+)', 1)), ''), 'none') AS name FROM pages")
 def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.coalesce(T.capture(F.trim(F.regexp_extract("html", "(?is)<title[^>]*>([^|<-]+)", 1)), "(?s)(.+)"), F.lit("none")).alias("name"))

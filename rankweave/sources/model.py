@@ -116,4 +116,4 @@ CTES = {
 
 def with_entities(body: str) -> str:
     """SQL with the entities in front; ``body`` may begin with further CTEs (``, name AS (...)``)."""
-    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items()) + "\n" + body
