@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import materialize
 
 #: Words in a shard, and characters; a longer word has a shard of its own.
-SHARD_WORDS, SHARD_CHARS = 50_000, 1_000_000
+SHARD_WORDS, SHARD_CHARS = 200_000, 4_000_000
 #: Bytes of shards that are broadcast at once.
 ROUND_BYTES = 32_000_000
 #: Words that a task takes in a round.
@@ -41,9 +41,6 @@ TASK_WORDS = 20_000
 #: Fixed value: the letters of a word.
 RUN = "[^A-Za-z\\u00C0-\\u00FF]+"
 
-#: States of the automaton after d characters: the word's first d characters, and one error with d - 1, d or d + 1 of them.
-EXACT, LONGER, SAME, SHORTER = 8, 4, 2, 1
-
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", rewrite: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(word, n): lower-cased runs of letters and how often they stand in all texts.
@@ -90,40 +87,51 @@ class Trie:
     def neighbours(self, word: str) -> Iterator[tuple[str, int]]:
         """The trie's words at distance one of ``word``, each once, with their counts.
 
-        A way through the trie leaves the word at one place ``at`` by one label, as late as it can;
-        the automaton's states say which of the three edits the labels after it still allow.
+        The automaton has one state without an error, which follows the word itself, and three
+        with one: a character too many, another one, or one left out.  From each node that the
+        word leads to, labels that leave it open the three; as the word is left as late as it
+        can be, no neighbour is met twice, and each state then allows a single label at a node.
         """
         labels, first, counts, end = self.labels, self.first, self.counts, len(word)
-        stack = [(0, 0, EXACT, 0, "")]
-        while stack:
-            node, d, state, at, edit = stack.pop()
-            if state == EXACT:
-                if d + 1 == end and counts[node]:
-                    yield word[:d], counts[node]  # the last character left out
-                here, after = word[d : d + 1], word[d + 1 : d + 2]
-                for child in range(first[node], first[node + 1]):
-                    c = labels[child]
-                    if c == here:
-                        stack.append((child, d + 1, EXACT, 0, ""))
-                    else:
-                        stack.append((child, d + 1, (LONGER | SAME if here else LONGER) | (SHORTER if c == after else 0), d, c))
-                continue
-            if counts[node]:
-                if state & LONGER and d == end + 1:
-                    yield word[:at] + edit + word[at:], counts[node]
-                elif state & SAME and d == end:
-                    yield word[:at] + edit + word[at + 1 :], counts[node]
-                elif state & SHORTER and d == end - 1:
-                    yield word[:at] + word[at + 1 :], counts[node]
-            nexts: dict[str, int] = {}
-            for bit, place in ((LONGER, d - 1), (SAME, d), (SHORTER, d + 1)):
-                if state & bit and place < end:
-                    c = word[place]
-                    nexts[c] = nexts.get(c, 0) | bit
-            for c, left in nexts.items():
-                child = labels.find(c, first[node], first[node + 1])
-                if child >= 0:
-                    stack.append((child, d + 1, left, at, edit))
+        find = labels.find
+
+        def rest(node: int, i: int) -> int:
+            """The node that the characters from ``i`` on lead to."""
+            while i < end and node >= 0:
+                node = find(word[i], first[node], first[node + 1])
+                i += 1
+            return node
+
+        node, d = 0, 0
+        while node >= 0:
+            low, high = first[node], first[node + 1]
+            if d == end:
+                for child in range(low, high):
+                    if counts[child]:
+                        yield word + labels[child], counts[child]
+                return
+            here, after = word[d], word[d + 1 : d + 2]
+            same = -1
+            for child in range(low, high):
+                c = labels[child]
+                if c == here:
+                    same = child
+                    continue
+                below, above = first[child], first[child + 1]
+                if below < above:
+                    to = find(here, below, above)  # one character too many
+                    if to >= 0 and (to := rest(to, d + 1)) >= 0 and counts[to]:
+                        yield word[:d] + c + word[d:], counts[to]
+                    to = find(after, below, above) if after else child  # another character
+                else:
+                    to = -1 if after else child
+                if to >= 0 and (to := rest(to, d + 2)) >= 0 and counts[to]:
+                    yield word[:d] + c + word[d + 1 :], counts[to]
+            if after != here:  # one character left out
+                to = find(after, low, high) if after else node
+                if to >= 0 and (to := rest(to, d + 2)) >= 0 and counts[to]:
+                    yield word[:d] + word[d + 1 :], counts[to]
+            node, d = same, d + 1
 
     def pack(self) -> tuple[str, bytes, bytes]:
         return self.labels, self.first.tobytes(), self.counts.tobytes()
