@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
-from rankweave.operators import hierarchy, linkage, maintain, ranking
+from rankweave.operators import hierarchy, ledger, linkage, maintain, ranking
 from rankweave.operators.ordered import floored_counters
 from rankweave.plans.registry import query
 from rankweave.sources.model import AS_OF, SEGMENTS, Model
+from rankweave.streaming import keyed
 
 _STATS = """, scored AS (SELECT * FROM {src} WHERE score IS NOT NULL),
  vs AS (SELECT p.venue_id, count(*) n, CAST(avg(s.score) AS DECIMAL(5,1)) avg_score, max(s.created_at) latest FROM scored s JOIN providers p USING (provider_id) GROUP BY 1),
@@ -245,6 +246,46 @@ def _(m: Model) -> DataFrame:
     return maintain.spend_in_order(requests, credits, "user_id", ["ts", "event_id"], "item").select("event_id", "granted")
 
 
+_LEDGER = """, p AS (SELECT user_id, event_id, event_type, ts, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events),
+ o AS (SELECT user_id, event_id id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, k % 20 item, epoch_us(ts) t,
+  CASE WHEN event_type = 'signup' THEN 'grant' WHEN event_type = 'error' THEN 'tier' WHEN event_type = 'view' AND k % 7 = 0 THEN 'keep' ELSE 'unlock' END kind,
+  CASE WHEN event_type = 'signup' THEN 2 WHEN event_type = 'error' AND k < 20 THEN 1 ELSE 0 END credits FROM p),
+ l AS (SELECT user_id, CAST(0 AS BIGINT) i, CAST(0 AS BIGINT) c, CAST(NULL AS BIGINT) u, false paid, CAST([] AS BIGINT[]) opened, CAST([] AS BIGINT[]) kept, CAST(NULL AS BIGINT) id, CAST(NULL AS VARCHAR) reason FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT user_id, i,
+   CASE WHEN kind = 'grant' THEN c + credits WHEN reason = 'expired' THEN 0 WHEN reason = 'spent' THEN c - 1 ELSE c END,
+   CASE WHEN kind = 'grant' THEN t + 604800000000 WHEN reason = 'expired' THEN NULL ELSE u END,
+   CASE WHEN kind = 'tier' THEN credits > 0 ELSE paid END,
+   CASE WHEN reason = 'spent' AND NOT list_contains(opened, item) THEN list_append(opened, item) ELSE opened END,
+   CASE WHEN kind = 'keep' AND NOT list_contains(kept, item) THEN list_append(kept, item) ELSE kept END, id, reason
+  FROM (SELECT o.user_id, o.i, o.id, o.item, o.t, o.kind, o.credits, l.c, l.u, l.paid, l.opened, l.kept,
+   CASE WHEN o.kind <> 'unlock' THEN NULL WHEN l.paid THEN 'tier' WHEN list_contains(l.kept, o.item) THEN 'kept' WHEN list_contains(l.opened, o.item) AND coalesce(l.u > o.t, false) THEN 'open'
+    WHEN NOT coalesce(l.u >= o.t, false) THEN 'expired' WHEN l.c > 0 THEN 'spent' ELSE 'empty' END reason FROM l JOIN o ON o.user_id = l.user_id AND o.i = l.i + 1))
+ SELECT user_id, id, reason NOT IN ('expired', 'empty') granted, reason, c credits FROM l WHERE reason IS NOT NULL"""
+
+
+def ledger_events(events: DataFrame) -> DataFrame:
+    """Events as what a ledger of credits takes: grants, tiers, items kept for good, and requests."""
+    rows = events.withColumn("k", F.from_json("props", "k bigint")["k"])
+    kind = F.when(F.col("event_type") == "signup", "grant").when(F.col("event_type") == "error", "tier").when((F.col("event_type") == "view") & (F.col("k") % 7 == 0), "keep").otherwise("unlock")
+    credits = F.when(F.col("event_type") == "signup", 2).when((F.col("event_type") == "error") & (F.col("k") < 20), 1).otherwise(0)
+    return rows.select("user_id", F.col("event_id").alias("id"), kind.alias("kind"), (F.col("k") % 20).alias("item"), credits.cast("long").alias("credits"), F.col("ts").alias("at"))
+
+
+@query("d15_credit_ledger", _LEDGER)
+def _(m: Model) -> DataFrame:
+    rows = ledger_events(m.table("events")).withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))
+    return ledger.fold_in_order(rows, "user_id", ["at", "id"], ledger.Unlocks())
+
+
+@query(
+    "t06_expired_credits",
+    ", g AS (SELECT user_id, event_id, epoch_us(ts) // 1000 ms, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events WHERE event_type = 'signup'), n AS (SELECT *, CASE WHEN ms > lag(ms) OVER w + 172800000 THEN 1 ELSE 0 END new FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) run FROM n) SELECT user_id AS user, min(ms) first_ms, max(ms) + 172800000 ended_ms, CAST(sum(k) AS BIGINT) credits FROM r GROUP BY user_id, run",
+)
+def _(m: Model) -> DataFrame:
+    grants = m.table("events").where("event_type = 'signup'").withColumn("credits", F.from_json("props", "k bigint")["k"])
+    return keyed.ended_sessions(grants, "user_id", "event_id", "credits", "ts", days=2)
+
+
 @query("d16_batch_increment", "SELECT venue_id, count(i) views FROM venues LEFT JOIN (VALUES (1), (2), (2), (5), (999999)) t(i) ON venue_id = i GROUP BY 1")
 def _(m: Model) -> DataFrame:
     seen = m.spark.createDataFrame([([1, 2, 2, 5, 999999],)], "ids array<bigint>").select(F.explode("ids").alias("venue_id")).groupBy("venue_id").agg(F.count("*").alias("views"))
