@@ -120,7 +120,7 @@ def _shared_turns(a: bytes, b: bytes) -> int:
     return low
 
 
-def sweep(part: int, rows: Iterator[tuple[int, bytes, list[int]]]) -> Iterator[dict]:
+def sweep(part: int, rows: Iterator[tuple[int, bytes, list[int]]], piece_ids: int = PIECE) -> Iterator[dict]:
     """Nodes that begin and end among sorted rows, parts of those that may not, and pieces of ids."""
     stack: list[Node] = []
     before: bytes | None = None
@@ -164,7 +164,7 @@ def sweep(part: int, rows: Iterator[tuple[int, bytes, list[int]]]) -> Iterator[d
         top = stack[-1]
         top.meet(conv, 1)
         top.pending.append(conv)
-        if len(top.pending) == PIECE:
+        if len(top.pending) == piece_ids:
             yield piece(top)
         before = key
     for node in stack:
@@ -211,7 +211,7 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, piece_ids: int = PIECE) -> DataFrame:
     """The nodes of (conv_id, turns), as ``turn_arrays`` makes them.
 
     (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256), all
@@ -219,6 +219,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     smallest of its parent (null for the root), how many begin so, how many turns follow next, the
     childless nodes of the subtree, (n_convs - 1) times the words of the last turn summed over the
     subtree, and the SHA-256 of the ids of conversations that end there.
+    ``piece_ids`` ids at most of a node that may go on are handed over at a time.
     """
     key = F.unhex(F.array_join(F.transform("turns", lambda t: t["digest"]), ""))
     rows = conversations.select("conv_id", key.alias("key"), F.transform("turns", lambda t: t["words"]).alias("words"))
@@ -227,7 +228,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = ((c, k, w) for b in batches for c, k, w in zip(*(b.column(n).to_pylist() for n in ("conv_id", "key", "words"))))
-        yield from _batches(sweep(TaskContext.get().partitionId(), given))
+        yield from _batches(sweep(TaskContext.get().partitionId(), given, piece_ids))
 
     def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def by_part() -> Iterator[tuple[int, list[dict]]]:

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA), con.sql(SQL[name])
     names = sorted(want.columns)
@@ -22,4 +22,4 @@ def test_same_rows_as_sql(spark, name):
 
 def test_every_operator_is_registered_once():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
