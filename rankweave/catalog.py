@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.plans import analytics, extraction, fields, more, relational, scalars, upkeep  # noqa: F401  (they register queries)
+from rankweave.plans import analytics, extraction, fields, files, more, relational, scalars, upkeep  # noqa: F401  (they register queries)
 from rankweave.plans.registry import QUERIES, SQL
 
 

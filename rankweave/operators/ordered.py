@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,3 +125,41 @@ def floored_counters(ops: DataFrame, key: str, order: list[str], delta: str, out
     runs = ranges.mapInArrow(fold, schema).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "total", "least"))).alias("runs"))  # at most a run for each task
     count = F.aggregate("runs", F.lit(0).cast("long"), lambda x, r: r["total"] + F.greatest(x, -F.least(r["least"], F.lit(0))))
     return runs.select(F.col("key").alias(key), count.alias(out))
+
+
+def byte_cuts(rows: DataFrame, order: Order, size: str, max_bytes: int, out: str = "file_no") -> DataFrame:
+    """Add the number, from 1, of the file that each row goes to when files are filled in order.
+
+    A row begins a new file if the file so far and it would hold more than
+    ``max_bytes``; a longer row has a file of its own.  Where the file that a row
+    begins would end is a search in the running sizes, made in bins of ``max_bytes``
+    with no more rows than fit into a file; which rows begin files is found by
+    pointers that double their reach, in as many rounds as the logarithm of the
+    number of files.  A null size counts as 0.
+    """
+    placed = materialize(running_total(rows, order, size, out="__end", number="__n"), "placed")
+    sized = F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0))
+    points = placed.select(F.col("__n").alias("n"), (F.col("__end") - sized).alias("start"), F.col("__end").alias("end"))
+    bin_of = lambda c: F.floor(c / F.lit(max_bytes))
+    # the last row whose end is not beyond start + max_bytes: of the next bin, or else of the start's own
+    limits = points.select((bin_of(F.col("start")) + 1).alias("bin"), (F.col("start") + max_bytes).alias("at"), F.lit(None).cast("long").alias("row"), F.col("n").alias("asks"))
+    ends = points.select(bin_of(F.col("end")).alias("bin"), F.col("end").alias("at"), F.col("n").alias("row"), F.lit(None).cast("long").alias("asks"))
+    seen = F.max("row").over(Window.partitionBy("bin").orderBy("at", F.col("asks").isNotNull()).rangeBetween(Window.unboundedPreceding, 0))
+    found = limits.unionByName(ends).withColumn("fits", seen).where("asks is not null").select(F.col("asks").alias("n"), "fits")
+    lasts = points.groupBy(bin_of(F.col("end")).alias("bin")).agg(F.max("n").alias("last"))
+    asked = points.join(found, "n").join(lasts, bin_of(F.col("start")) == F.col("bin"), "left")
+    nexts = materialize(asked.select("n", "start", (1 + F.greatest("n", F.coalesce("fits", "last", "n"))).alias("next")), "nexts")
+    jumps, begins = nexts.select("n", F.col("next").alias("to")), nexts.where("n = 1").select("n")
+    count = begins.count()
+    while count:
+        more = begins.union(begins.join(jumps, "n").select(F.col("to").alias("n"))).distinct()
+        begins = materialize(more.join(nexts.select("n"), "n", "left_semi"), "begins")
+        if (now := begins.count()) == count:
+            break
+        count = now
+        jumps = materialize(jumps.join(jumps.select(F.col("n").alias("to"), F.col("to").alias("far")), "to").select("n", F.col("far").alias("to")), "jumps")
+    files = running_total(begins.join(nexts, "n"), ["n"], number=out)
+    # a file's rows begin in its first row's bin or in the one after
+    spread = files.select(F.explode(F.array(bin_of(F.col("start")), bin_of(F.col("start")) + 1)).alias("bin"), F.col("n").alias("first"), "next", out)
+    place = points.select("n", bin_of(F.col("start")).alias("bin")).join(spread, "bin").where("n >= first and n < next").select(F.col("n").alias("__n"), out)
+    return placed.join(place, "__n").drop("__n", "__end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"spark.checkpoint.dir is unset: executors of {master} share no folder with the driver")
         found = f"file://{tempfile.mkdtemp(prefix='rankweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)  # a URI that readers outside Spark understand, too
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -61,3 +61,23 @@ def test_floored_counters(spark, parts):
 def test_removal_before_addition_counts_one(spark):
     df = spark.createDataFrame([("a", 1, -1), ("a", 2, 1), ("b", 1, 1), ("b", 2, -1), ("b", 3, -1), ("b", 4, 1)], "k string, at long, d long")
     assert {r.k: r.n for r in ordered.floored_counters(df, "k", ["at"], "d").collect()} == {"a": 1, "b": 1}
+
+
+def files_in_order(sizes, most):
+    out, held, no = [], 0, 0
+    for s in sizes:
+        if not no or held + (s or 0) > most:
+            no, held = no + 1, 0
+        out.append(no)
+        held += s or 0
+    return out
+
+
+@pytest.mark.parametrize("sizes", ["mixed", "equal", "large", "none"])
+def test_byte_cuts_equal_the_sequential_rule(spark, parts, sizes):
+    rng = random.Random(8)
+    given = {"mixed": [rng.choice([0, 1, 3, 10, 40, 99, 100, 101, 250, None]) for _ in range(400)], "equal": [10] * 200, "large": [500] * 20, "none": []}[sizes]
+    df = spark.createDataFrame(list(enumerate(given)), "k long, size int").repartition(4)
+    got = ordered.byte_cuts(df, ["k"], "size", 100)
+    assert got.columns == ["k", "size", "file_no"]
+    assert [r.file_no for r in sorted(got.collect(), key=lambda r: r.k)] == files_in_order(given, 100)
