@@ -137,10 +137,15 @@ def cards(pages: DataFrame, key: str, url: str, html: str, element: str = "li")
     out = rows.where(F.col("_card").rlike(ANCHOR)).select(
         key, resolved(F.col("_url"), link).alias("link"), plain(inner).alias("name"), *[c.alias(n) for n, c in known.items()], image_of(F.col("_card"), F.col("_url")).alias("image")
     )
+    return out.withColumn("valid", plausible_card())
+
+
+def plausible_card() -> Column:
+    """Whether a card's columns have a name, two of age, height, sizes and image, no number out of range, and no other number equal to the age."""
     counted = [F.col("age").isNotNull(), F.col("height").isNotNull(), F.coalesce("bust", "waist", "hip").isNotNull(), F.col("image").isNotNull()]
     plausible = reduce(and_, [F.coalesce(F.col(c).between(*r), F.lit(True)) for c, r in PLAUSIBLE.items()])
     mixed_up = reduce(or_, [F.coalesce(F.col("age") == F.col(c), F.lit(False)) for c in PLAUSIBLE if c != "age"])
-    return out.withColumn("valid", (F.col("name") != "") & plausible & ~mixed_up & (reduce(add, [c.cast("int") for c in counted]) >= 2))
+    return (F.col("name") != "") & plausible & ~mixed_up & (reduce(add, [c.cast("int") for c in counted]) >= 2)
 
 
 def _element(selector: str) -> str:

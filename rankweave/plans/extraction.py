@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators import cards, classify
+from rankweave.operators import cards, classify, dom
 from rankweave.plans.registry import query
 from rankweave.sources import sinks
 from rankweave.sources.model import Model
@@ -102,6 +102,64 @@ def _(m: Model) -> DataFrame:
     return listings(m).select("venue_id", "part", *[c.alias(n) for n, c in cards.ruled_fields(F.col("html"), rules).items()])
 
 
+_NESTED = """concat('<div class="row"><div class="cell"><a href="/item/', provider_id, '"><span>', name, '</span></a><div class="data"><div><img src="/icon.png"><img class="photo" data-src="/img/', provider_id,
+ '.jpg"></div><p class="spec">AGE ', age, ' T', 140 + size, ' B', 70 + size, ' W', 94 - size, ' H', 72 + size, '</p></div></div><div class="foot"><p class="spec">AGE 99</p></div></div>')"""
+
+
+def nested_listings(m: Model) -> DataFrame:
+    """(venue_id, part, url, html): cards of nested elements of one name, up to a thousand a page."""
+    cells = F.array_sort(F.collect_list(F.struct("provider_id", F.expr(_NESTED).alias("card"))))
+    pages = _listed(m).groupBy("venue_id", "part").agg(cells.alias("p"))
+    html = F.concat(F.lit('<html><body><div><a href="/">top</a></div><div class="list">'), F.array_join("p.card", ""), F.lit("</div></body></html>"))
+    return pages.select("venue_id", "part", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/list")).alias("url"), html.alias("html"))
+
+
+@query("e17_enclosing_cards", _LISTED + f" SELECT venue_id, part, site || '/item/' || provider_id link, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, age, 140 + size height, 70 + size bust, 94 - size waist, 72 + size hip, site || '/img/' || provider_id || '.jpg' image, {_VALID} valid FROM l")
+def _(m: Model) -> DataFrame:
+    pages = nested_listings(m).withColumn("page", F.struct("venue_id", "part"))
+    found = dom.enclosing_cards(pages, "page", "url", "html")
+    return found.where("link like '%/item/%'").select("page.venue_id", "page.part", *[c for c in found.columns if c != "page"])
+
+
+@query("e12_nested_fields", _LISTED + " SELECT venue_id, part, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, age, 72 + size hip, '/img/' || provider_id || '.jpg' photo, 99 foot FROM l QUALIFY row_number() OVER (PARTITION BY venue_id, part ORDER BY provider_id) = 1")
+def _(m: Model) -> DataFrame:
+    pages = nested_listings(m).withColumn("page", F.struct("venue_id", "part"))
+    rules = {
+        "name": {"selector": "div.list div.cell > a"},
+        "age": {"selector": ".row > .cell p.spec", "regex": r"AGE (\d+)", "number": True},
+        "hip": {"selector": ".row > .cell p.spec", "regex": r"H(\d+)", "number": True},
+        "foot": {"selector": ".row > .foot > .spec", "regex": r"(\d+)", "number": True},
+        "photo": {"selector": ".data > div > img.photo", "attr": "data-src"},
+    }
+    found = dom.first_values(pages, "page", "html", rules)
+    return found.select("page.venue_id", "page.part", *rules)
+
+
+_PROFILE = """concat('<html><body><div class="top"><h1 class="', if(provider_id % 5 = 0, 'title', 'name'), '">', name, '</h1></div><div class="profile ', if(provider_id % 5 = 0, 'old', 'new'), '"><div><p class="',
+ if(provider_id % 5 = 0, 'text', 'spec'), '">AGE ', age, ' T', 140 + size, ' <b>B', 70 + size, '</b></p></div></div></body></html>')"""
+_SAMPLES = "(SELECT count(*) FILTER (provider_id % 5 <> 0) FROM providers WHERE provider_id % 2 = 0)"
+
+
+def _profiles(m: Model) -> tuple[DataFrame, DataFrame]:
+    """A page of its own for each provider, and the fields of every second one as known values."""
+    rows = m.providers()
+    fields = F.explode(F.create_map(F.lit("name"), "name", F.lit("age"), F.col("age").cast("string"), F.lit("height"), (F.col("size") + 140).cast("string"), F.lit("bust"), (F.col("size") + 70).cast("string"))).alias("field", "value")
+    return rows.select("provider_id", F.expr(_PROFILE).alias("html")), rows.where("provider_id % 2 = 0").select("provider_id", fields)
+
+
+@query("r11_mined_rules", f"SELECT * FROM (VALUES ('name', 'div.top > h1.name', NULL), ('age', 'div > p.spec', 'AGE\s*(\d+)'), ('height', 'div > p.spec', 'T\s*(\d+)'), ('bust', 'p.spec > b', '(\d+)')) r(field, selector, regex), (SELECT {_SAMPLES} votes)")
+def _(m: Model) -> DataFrame:
+    return dom.mined_rules(*_profiles(m), "provider_id", "html")
+
+
+@query("r11_fields_by_mined_rules", "SELECT provider_id, CASE WHEN provider_id % 5 <> 0 THEN name END AS name, CASE WHEN provider_id % 5 <> 0 THEN age END age, CASE WHEN provider_id % 5 <> 0 THEN 140 + size END height, CASE WHEN provider_id % 5 <> 0 THEN 70 + size END bust FROM providers WHERE provider_id % 2 = 1")
+def _(m: Model) -> DataFrame:
+    """Rules mined from one half of the pages, applied to the other."""
+    pages, known = _profiles(m)
+    rules = {r.field: {"selector": r.selector, "regex": r.regex, "number": r.field != "name"} for r in dom.mined_rules(pages, known, "provider_id", "html").collect()}  # a row for each field
+    return dom.first_values(pages.where("provider_id % 2 = 1"), "provider_id", "html", rules).select("provider_id", "name", "age", "height", "bust")
+
+
 @query("e15_record_links", _LINKS + " SELECT DISTINCT page_id, site || href link, false direct FROM a WHERE regexp_matches(regexp_extract(href, '^[^?#]*'), '^/t[^/]*/*$') AND NOT regexp_matches(site || href, '[?&](page|p)=[0-9]+|/page/[0-9]+')")
 def _(m: Model) -> DataFrame:
     found = cards.detail_links(m.table("pages"), "page_id", "url", "html", [r"^/t[^/]*$", r"/item/\d+"], ["/blog", "/news"])
