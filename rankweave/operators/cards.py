@@ -224,6 +224,55 @@ def expanded_urls(seeds: DataFrame, links: DataFrame, url: str) -> DataFrame:
     return new.join(patterns, "site").where(fits).select("site", "url")
 
 
+#: Paths and files of a site that hold no records.
+NO_RECORDS = [
+    "/category/", "/tag/", "/author/", "/wp-admin/", "/wp-content/", "/wp-login/", "/wp-json/", "/wp-includes/", "/page/", "/feed/", "/comments/", "/trackback/", "/xmlrpc", "/sitemap", "/cdn-cgi/",
+    "/cart/", "/checkout/", "/attachment/", "/reservation", "/contact", "/access", "/privacy", "/terms", "/inquiry", "/recruit", "/faq", "/blog/", "/news/", "/diary/", "/diary_detail/",
+]
+NO_RECORD_FILES = [
+    "main.html", "rate.html", "menu.html", "price.html", "access.html", "about.html", "contact.html", "top.html", "home.html", "info.html", "system.html", "concept.html", "recruit.html", "privacy.html",
+    "itemlist.html", "scheduleal.html", "scheduleall.html", "schedule.html", "reservation.html", "reserve.html", "map.html", "faq.html", "news.html", "index.html", "sitemap.html", "terms.html", "blog.html",
+    "link.html", "enquete.html", "kinsi.html", "sch.html",
+]
+
+
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"\?([^#]*)", 1)
+
+
+def seed_patterns(seeds: DataFrame, site: str, url: str) -> DataFrame:
+    """(site, kind, value): what links to further records of a site look like, by the addresses of known ones.
+
+    ``query``: the first key of any seed's query.  ``path``: the longest beginning of whole
+    segments that all seeds' paths share.  ``internal``: a site whose seeds have neither.
+    """
+    rows = seeds.select(F.col(site).alias("site"), F.col(url).alias("url")).distinct()
+    queries = rows.where(query_of(F.col("url")) != "").select("site", F.lit("query").alias("kind"), F.substring_index(query_of(F.col("url")), "=", 1).alias("value")).distinct()
+    paths = rows.select("site", "url", F.split(path(F.col("url")), "/").alias("parts")).where("size(parts) > 1")
+    total = paths.groupBy("site").agg(F.count("*").alias("total"))
+    begins = paths.select("site", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("parts")), lambda k: F.array_join(F.slice("parts", 1, k), "/"))).alias("depth", "value"))
+    shared = begins.groupBy("site", "value").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).join(total, "site").where("n = total")
+    longest = shared.groupBy("site").agg(F.max_by("value", "depth").alias("value")).select("site", F.lit("path").alias("kind"), F.concat("value", F.lit("/")).alias("value"))
+    known = queries.unionByName(longest)
+    others = rows.select("site").distinct().join(known, "site", "left_anti").select("site", F.lit("internal").alias("kind"), F.lit("").alias("value"))
+    return known.unionByName(others)
+
+
+def urls_like_seeds(seeds: DataFrame, links: DataFrame, url: str) -> DataFrame:
+    """(site, url): links of a seed's site that fit one of its patterns and are no seeds, files or further pages of a list.
+
+    On sites without a pattern every link to a path fits, but for those of ``NO_RECORDS``.
+    """
+    with_site = lambda df: df.select(host(F.col(url)).alias("site"), F.col(url).alias("url")).where("site <> ''").distinct()
+    known = with_site(seeds)
+    where, whole = F.lower(path(F.col("url"))), F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    usable = ~F.col("url").rlike(STATIC) & ~whole.rlike(r"/page/\d+(?:/|$)") & ~F.substring_index(where, "/", -1).isin(NO_RECORD_FILES)
+    new = with_site(links).where(usable).join(known, ["site", "url"], "left_anti")
+    nothing = reduce(or_, [where.startswith(p) for p in NO_RECORDS], where == "")
+    fits = F.when(F.col("kind") == "query", query_of(F.col("url")).startswith(F.concat("value", F.lit("=")))).when(F.col("kind") == "path", whole.startswith(F.col("value"))).otherwise(~nothing)
+    return new.join(seed_patterns(known, "site", "url"), "site").where(fits).select("site", "url").distinct()
+
+
 def charset(content_type: Column, body: Column) -> Column:
     """A body's character set: its header, but for the default ISO-8859-1; else the meta tag in its first
     2,048 bytes; else utf-8 if it is valid as such; else windows-1252."""

@@ -67,12 +67,12 @@ def merged_by_keys(records: DataFrame, id_: str, keys: list[str]) -> DataFrame:
     return records.select(id_).distinct().join(found, id_, "left").withColumn("merged_into", F.coalesce("merged_into", F.col(id_)))
 
 
-def merge_parents(parents: DataFrame, children: DataFrame, id_: str, keys: list[str], parent: str) -> tuple[DataFrame, DataFrame]:
-    """(kept id, merged) with how many records each became of, and the children with their parents replaced.
+def merge_parents(parents: DataFrame, children: DataFrame, id_: str, keys: list[str], parent: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each record became (id, merged_into), how many became each (id, merged), and the children with their parents replaced.
 
     Children of no known parent stay as they are.
     """
     into = materialize(merged_by_keys(parents, id_, keys), "merged")
     kept = into.groupBy(F.col("merged_into").alias(id_)).agg(F.count("*").alias("merged"))
     moved = children.join(into.select(F.col(id_).alias("_old"), "merged_into"), F.col(parent) == F.col("_old"), "left")
-    return kept, moved.withColumn(parent, F.coalesce("merged_into", parent)).drop("_old", "merged_into")
+    return into, kept, moved.withColumn(parent, F.coalesce("merged_into", parent)).drop("_old", "merged_into")

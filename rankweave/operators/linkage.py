@@ -38,6 +38,26 @@ def waterfall(left: DataFrame, right: DataFrame, passes: list[tuple[str, list[st
     return reduce(DataFrame.unionByName, found)
 
 
+def three_pass_links(left: DataFrame, right: DataFrame, left_id: str, right_id: str, grams: int = 2) -> DataFrame:
+    """(left_id, right_id, method): by ``url``, else by ``domain`` and ``name``, else by ``venue`` and ``name``.
+
+    All four are normalised columns of both sides; a null links nothing.  Venues are
+    the same if their names are equal; a venue that equals none on the right goes with
+    those that hold its name or that it holds (of ``grams`` characters or more).  Of several
+    the least right id is taken.  Venue names meet each other once, not once for each row.
+    """
+    first = waterfall(left, right, [("url", ["url"]), ("domain_name", ["domain", "name"])], left_id, right_id)
+    rest = left.join(first.select(left_id), left_id, "left_anti").where("venue is not null and name is not null")
+    ours, theirs = (df.where("venue is not null").select(F.col("venue").alias(c), F.col("venue").alias("v")).distinct() for df, c in ((rest, "our"), (right, "their")))
+    equal = ours.join(theirs, "v").select("our", "their")
+    other = link_contained(ours.join(equal, "our", "left_anti"), theirs, "v", "our", "their", grams).select("our", F.col("their_linked").alias("their"))
+    venues = equal.unionByName(other)
+    target = right.where("name is not null").groupBy(F.col("venue").alias("their"), "name").agg(F.min(right_id).alias(right_id))
+    placed = venues.join(target, "their").groupBy("our", "name").agg(F.min(right_id).alias(right_id))
+    last = rest.join(placed.withColumnRenamed("our", "venue"), ["venue", "name"]).select(left_id, right_id, F.lit("venue_name").alias("method"))
+    return first.unionByName(last)
+
+
 def link_contained(left: DataFrame, right: DataFrame, name: str, left_id: str, right_id: str, grams: int = 2) -> DataFrame:
     """(left_id, right_id) where either name contains the other; names of ``grams`` characters or more.
 

@@ -62,6 +62,58 @@ def facet_search(reviews: DataFrame, facets: dict[str, list[int]], min_score: in
     return kept if min_score is None else kept.where(F.col("avg_score") >= min_score)
 
 
+#: Orders of a provider search; the id settles ties.
+SORTS = {
+    "newest": [],
+    "name": [("name", False)],
+    "rating": [("avg_score", True), ("review_count", True)],
+    "reviews": [("review_count", True), ("avg_score", True)],
+}
+
+
+def search_providers(
+    providers: DataFrame,
+    reviews: DataFrame,
+    facets: dict[str, list[int]] | None = None,
+    min_score: int | None = None,
+    with_stats: bool = False,
+    venues: DataFrame | None = None,
+    ids: list[int] | None = None,
+    keyword: str | None = None,
+    sort: str = "newest",
+    limit: int = 50,
+    offset: int = 0,
+) -> DataFrame:
+    """A page of active providers with their review statistics.
+
+    ``facets`` are met by any of a provider's reviews each, and all of them; ``min_score``
+    is for the rounded average.  Either, or ``with_stats``, leaves only reviewed providers.
+    ``venues`` (venue_id) keeps those of an area, ``keyword`` those whose name holds it in
+    any case, ``_`` and ``%`` taken literally.  At most 50 rows, newest (largest id) first
+    within equals.
+    """
+    found = providers.where("status = 'active'")
+    if keyword:
+        found = found.where(F.contains(F.lower("name"), F.lit(keyword.lower())))
+    if ids:
+        found = found.where(F.col("provider_id").isin(ids))
+    if venues is not None:
+        found = found.join(venues.select("venue_id").distinct(), "venue_id", "left_semi")
+    filtered = bool(facets) or min_score is not None or with_stats
+    if filtered or sort in ("rating", "reviews"):
+        stats = facet_search(reviews, facets or {}, min_score)
+        found = found.join(stats, "provider_id", "inner" if filtered else "left")
+    order = [F.desc_nulls_last(c) if down else F.asc(c) for c, down in SORTS[sort]]
+    return found.orderBy(*order, F.desc("provider_id")).offset(max(offset, 0)).limit(min(limit, 50))
+
+
+def area_venues(venue_areas: DataFrame, areas: DataFrame, regions: DataFrame, region_slug: str, area: str | None = None) -> DataFrame:
+    """(venue_id) of a region, or of its area of that name."""
+    wanted = areas.join(regions.where(F.col("slug") == region_slug).select("region_id"), "region_id", "left_semi")
+    wanted = wanted.where(F.col("name") == area) if area else wanted
+    return venue_areas.join(wanted.select("area_id"), "area_id", "left_semi").select("venue_id").distinct()
+
+
 def dominant(rows: DataFrame, key: str, category: str) -> DataFrame:
     """(key, category): the commonest category of each key, ties to the least."""
     counts = rows.where(F.col(category).isNotNull()).groupBy(key, category).agg(F.count("*").alias("n"))

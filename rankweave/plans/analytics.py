@@ -66,6 +66,31 @@ def _(m: Model) -> DataFrame:
     return found.join(m.providers().where("status = 'active'"), "provider_id", "left_semi").select("provider_id", "review_count", "avg_score")
 
 
+_FOUND = ", s AS (SELECT provider_id, count(*) review_count, CAST(floor(sum(coalesce(score, 0)) / count(*) + 0.5) AS BIGINT) avg_score, bool_or(type_id IN (1, 2, 3)) a, bool_or(level_id IN (2, 3)) b FROM approved GROUP BY 1)"
+
+
+@query(
+    "r04_search_in_region",
+    _FOUND + " SELECT provider_id, name, age, review_count, avg_score FROM providers JOIN s USING (provider_id) WHERE status = 'active' AND a AND b AND avg_score >= 40 AND contains(lower(name), 'r') AND venue_id IN (SELECT venue_id FROM venue_areas JOIN areas USING (area_id) JOIN regions r ON areas.region_id = r.region_id WHERE r.slug = 'nation_7') ORDER BY avg_score DESC, review_count DESC, provider_id DESC LIMIT 40 OFFSET 3",
+)
+def _(m: Model) -> DataFrame:
+    """Facets, least score, region, keyword, sort and page at once."""
+    venues = ranking.area_venues(m.venue_areas(), m.areas(), m.regions(), "nation_7")
+    page = ranking.search_providers(m.providers(), m.approved_scores(), {"type_id": [1, 2, 3], "level_id": [2, 3]}, min_score=40, venues=venues, keyword="R", sort="rating", limit=40, offset=3)
+    return page.select("provider_id", "name", "age", "review_count", "avg_score")
+
+
+@query("r04_search_in_area", "SELECT provider_id, name FROM providers WHERE status = 'active' AND venue_id IN (SELECT venue_id FROM venue_areas JOIN areas USING (area_id) JOIN regions r ON areas.region_id = r.region_id WHERE r.slug = 'nation_3' AND areas.name = 'NATION_3 BUILDING') ORDER BY name, provider_id DESC LIMIT 50 OFFSET 10")
+def _(m: Model) -> DataFrame:
+    venues = ranking.area_venues(m.venue_areas(), m.areas(), m.regions(), "nation_3", "NATION_3 BUILDING")
+    return ranking.search_providers(m.providers(), m.approved_scores(), venues=venues, sort="name", limit=500, offset=10).select("provider_id", "name")
+
+
+@query("r04_newest_with_stats", _FOUND + " SELECT provider_id, review_count, avg_score FROM providers JOIN s USING (provider_id) WHERE status = 'active' ORDER BY provider_id DESC LIMIT 50")
+def _(m: Model) -> DataFrame:
+    return ranking.search_providers(m.providers(), m.approved_scores(), with_stats=True).select("provider_id", "review_count", "avg_score")
+
+
 _RECOMMEND = """, known AS (SELECT * FROM approved WHERE member_id IS NOT NULL),
  last AS (SELECT member_id, provider_id, coalesce(score, 0) score FROM known QUALIFY row_number() OVER (PARTITION BY member_id, provider_id ORDER BY created_at DESC, review_id DESC) = 1),
  enough AS (SELECT member_id FROM known GROUP BY 1 HAVING count(*) >= 2),
@@ -116,6 +141,33 @@ def _(m: Model) -> DataFrame:
     return linkage.waterfall(left, right, [("name", ["name"]), ("brand_age", ["brand", "age"])], "provider_id", "other_id")
 
 
+_TWO_LISTS = """, l AS (SELECT DISTINCT l_suppkey * 1000000 + l_partkey entry_id, CASE WHEN l_partkey % 3 = 0 THEN 'v' || l_suppkey || '.example/item/' || l_partkey END url, CASE WHEN l_suppkey % 2 = 0 THEN 'v' || l_suppkey || '.example' END AS domain,
+  'Shop ' || l_suppkey || CASE WHEN l_suppkey % 5 = 0 THEN ' annex' ELSE '' END venue, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A'),
+ r AS (SELECT provider_id, CASE WHEN venue_id IS NOT NULL THEN 'v' || venue_id || '.example/item/' || provider_id END url, 'v' || venue_id || '.example' AS domain, 'Shop ' || venue_id venue, name FROM providers),
+ a AS (SELECT entry_id, min(provider_id) provider_id FROM l JOIN r USING (url) GROUP BY 1),
+ b AS (SELECT entry_id, min(provider_id) provider_id FROM l JOIN r ON l.domain = r.domain AND l.name = r.name WHERE entry_id NOT IN (SELECT entry_id FROM a) GROUP BY 1),
+ o AS (SELECT DISTINCT venue FROM l), t AS (SELECT DISTINCT venue FROM r WHERE venue IS NOT NULL),
+ v AS (SELECT o.venue ours, t.venue theirs FROM o JOIN t ON o.venue = t.venue OR (o.venue NOT IN (SELECT venue FROM t) AND (contains(o.venue, t.venue) OR contains(t.venue, o.venue)))),
+ c AS (SELECT entry_id, min(provider_id) provider_id FROM l JOIN v ON l.venue = v.ours JOIN r ON r.venue = v.theirs AND r.name = l.name WHERE entry_id NOT IN (SELECT entry_id FROM a UNION ALL SELECT entry_id FROM b) GROUP BY 1)
+ SELECT *, 'url' AS method FROM a UNION ALL SELECT *, 'domain_name' FROM b UNION ALL SELECT *, 'venue_name' FROM c"""
+
+
+@query("j17_three_pass_waterfall", _TWO_LISTS)
+def _(m: Model) -> DataFrame:
+    """Pending reviews' pairs as one list, providers as the other: by address, by domain and name, by venue and name."""
+    lines = m.table("lineitem").where("l_returnflag = 'A'").select("l_suppkey", "l_partkey").distinct()
+    left = lines.join(m.table("part").select("p_partkey", "p_name"), F.expr("l_partkey = p_partkey")).selectExpr(
+        "l_suppkey * 1000000 + l_partkey entry_id",
+        "case when l_partkey % 3 = 0 then concat('HTTP://www.v', l_suppkey, '.example/item/', l_partkey, '/') end raw_url",
+        "case when l_suppkey % 2 = 0 then concat('https://www.v', l_suppkey, '.example') end raw_domain",
+        "concat('Shop ', l_suppkey, if(l_suppkey % 5 = 0, ' annex', '')) venue",
+        "p_name name",
+    )
+    right = m.providers().selectExpr("provider_id", "concat('https://v', venue_id, '.example/item/', provider_id) raw_url", "concat('https://v', venue_id, '.example') raw_domain", "concat('Shop ', venue_id) venue", "name")
+    left, right = (df.withColumns({"url": T.normalize_url(F.col("raw_url")), "domain": T.domain(F.col("raw_domain"))}) for df in (left, right))
+    return linkage.three_pass_links(left, right, "entry_id", "provider_id", grams=5)
+
+
 @query("j19_containment", ", v AS (SELECT venue_id, ltrim(split_part(name, '#', 2), '0') AS name FROM venues) SELECT a.venue_id, b.venue_id other_id FROM v a, v b WHERE (contains(a.name, b.name) OR contains(b.name, a.name)) AND length(a.name) >= 1 AND length(b.name) >= 1")
 def _(m: Model) -> DataFrame:
     v = m.venues().select("venue_id", F.ltrim(F.split_part("name", F.lit("#"), F.lit(2)), F.lit("0")).alias("name"))

@@ -79,6 +79,31 @@ def _(m: Model) -> DataFrame:
     return cards.expanded_urls(pages.select("url"), cards.page_links(pages, "page_id", "url", "html").select(F.col("link").alias("url")), "url")
 
 
+#: What a site's seeds have in common, in SQL.
+_SEEDED = """, u AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) site, url, regexp_extract(url, '[?]([^#]*)', 1) query, string_split(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '/') parts FROM pages),
+ q AS (SELECT DISTINCT site, 'query' kind, split_part(query, '=', 1) AS value FROM u WHERE query <> ''),
+ g AS (SELECT site, array_to_string(parts[1:k], '/') b, k FROM (SELECT site, parts, unnest(range(2, len(parts) + 1)) k FROM u)),
+ n AS (SELECT site, count(*) total FROM u WHERE len(parts) > 1 GROUP BY 1),
+ h AS (SELECT site, 'path' kind, arg_max(b, k) || '/' AS value FROM (SELECT site, b, max(k) k, count(*) c FROM g GROUP BY 1, 2) JOIN n USING (site) WHERE c = total GROUP BY 1),
+ y AS (SELECT * FROM q UNION ALL SELECT * FROM h), x AS (SELECT * FROM y UNION ALL SELECT DISTINCT site, 'internal', '' FROM u WHERE site NOT IN (SELECT site FROM y))"""
+
+
+@query("x45_seed_patterns", _SEEDED + " SELECT site, kind, value FROM x")
+def _(m: Model) -> DataFrame:
+    return cards.seed_patterns(m.table("pages").select(cards.host(F.col("url")).alias("site"), "url"), "site", "url")
+
+
+@query(
+    "e06_urls_like_seeds",
+    _LINKS + _SEEDED + """, t AS (SELECT DISTINCT regexp_extract(site, '://(.*)$', 1) site, site || href url, regexp_extract(href, '^[^?#]*') p, regexp_extract(href, '[?]([^#]*)', 1) query FROM a)
+ SELECT DISTINCT t.site, t.url FROM t JOIN x USING (site) WHERE t.url NOT IN (SELECT url FROM pages) AND NOT regexp_matches(t.url, '(?i)[.](css|js|png|jpe?g|gif|svg|ico|webp|pdf|zip|mp4|woff2?)([?].*)?$') AND NOT regexp_matches(p, '/page/[0-9]+(/|$)')
+ AND CASE kind WHEN 'query' THEN starts_with(t.query, value || '=') WHEN 'path' THEN starts_with(p, value) ELSE rtrim(p, '/') <> '' AND NOT regexp_matches(lower(rtrim(p, '/')), '^/(xmlrpc|sitemap|reservation|contact|access|privacy|terms|inquiry|recruit|faq)') END""",
+)
+def _(m: Model) -> DataFrame:
+    pages = m.table("pages")
+    return cards.urls_like_seeds(pages.select("url"), cards.page_links(pages, "page_id", "url", "html").select(F.col("link").alias("url")), "url")
+
+
 @query("e03_page_links", _LINKS + " SELECT page_id, min(pos) pos, site || href link, arg_min(trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), pos) AS label FROM a GROUP BY page_id, site, href")
 def _(m: Model) -> DataFrame:
     """Links with same host and their labels."""

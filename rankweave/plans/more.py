@@ -69,9 +69,9 @@ def _(m: Model) -> DataFrame:
     return rows.join(last, "k").where("page_id < other_id").select("page_id", "other_id")
 
 
-@query("j20_key_resolution", ", a AS (SELECT area_id, slug, region_id FROM areas), w AS (SELECT * FROM (VALUES ('france-building', 1), ('machinery', 6), ('nowhere', 2)) t(slug, region_id)) SELECT w.slug, coalesce(min(x.area_id), min(y.area_id)) area_id FROM w LEFT JOIN a x ON x.slug = w.slug LEFT JOIN a y ON y.region_id = w.region_id AND y.slug LIKE '%' || w.slug GROUP BY 1")
+@query("j20_key_resolution", ", a AS (SELECT area_id, slug, region_id FROM areas), w AS (SELECT * FROM (VALUES ('nation_6-building', 1), ('machinery', 6), ('nowhere', 2)) t(slug, region_id)) SELECT w.slug, coalesce(min(x.area_id), min(y.area_id)) area_id FROM w LEFT JOIN a x ON x.slug = w.slug LEFT JOIN a y ON y.region_id = w.region_id AND y.slug LIKE '%' || w.slug GROUP BY 1")
 def _(m: Model) -> DataFrame:
-    wanted = _values(m, [("france-building", 1), ("machinery", 6), ("nowhere", 2)], "slug string, region_id long")
+    wanted = _values(m, [("nation_6-building", 1), ("machinery", 6), ("nowhere", 2)], "slug string, region_id long")
     areas = m.areas().select("area_id", F.col("slug").alias("a_slug"), F.col("region_id").alias("a_region"))
     exact = wanted.join(areas, F.col("slug") == F.col("a_slug")).groupBy("slug").agg(F.min("area_id").alias("exact"))
     ending = wanted.join(areas, (F.col("region_id") == F.col("a_region")) & F.col("a_slug").endswith(F.col("slug"))).groupBy("slug").agg(F.min("area_id").alias("ending"))
@@ -130,9 +130,9 @@ def _(m: Model) -> DataFrame:
     return m.members().orderBy(F.desc("balance"), "member_id").offset(50).limit(25).select("member_id")
 
 
-@query("o07_curated_order", "SELECT CAST(pos AS BIGINT) pos, area_id FROM (VALUES (0, 'france-building'), (1, 'nowhere'), (2, 'china-machinery')) t(pos, slug) JOIN areas USING (slug)")
+@query("o07_curated_order", "SELECT CAST(pos AS BIGINT) pos, area_id FROM (VALUES (0, 'nation_6-building'), (1, 'nowhere'), (2, 'nation_18-machinery')) t(pos, slug) JOIN areas USING (slug)")
 def _(m: Model) -> DataFrame:
-    listed = _values(m, [(0, "france-building"), (1, "nowhere"), (2, "china-machinery")], "pos long, slug string")
+    listed = _values(m, [(0, "nation_6-building"), (1, "nowhere"), (2, "nation_18-machinery")], "pos long, slug string")
     return m.areas().join(F.broadcast(listed), "slug").select("pos", "area_id").orderBy("pos")
 
 
@@ -299,8 +299,9 @@ def _(m: Model) -> DataFrame:
  w AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
  r AS (SELECT page_id a, page_id AS seen FROM k UNION SELECT r.a, w.b FROM r JOIN w ON r.seen = w.a),
  c AS (SELECT a, min(seen) page_id FROM r GROUP BY 1),
- l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)) href FROM pages)
-SELECT c.page_id, count(DISTINCT a) merged, count(href) links, count(DISTINCT href) targets FROM c LEFT JOIN l ON l.page_id = a GROUP BY 1""",
+ l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)) href FROM pages),
+ g AS (SELECT c.page_id, count(DISTINCT a) merged, count(href) links, count(DISTINCT href) targets FROM c LEFT JOIN l ON l.page_id = a GROUP BY 1)
+SELECT a page_id, c.page_id merged_into, merged, links, targets FROM c JOIN g ON c.page_id = g.page_id""",
 )
 def _(m: Model) -> DataFrame:
     """Pages of one site or of one title, by chains of both, become one; their links move along."""
@@ -308,9 +309,10 @@ def _(m: Model) -> DataFrame:
     site = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), r"^(www|m)\.", "")
     records = pages.select("page_id", site.alias("site"), F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?i)<a [^>]*href="([^"]*)"'), 1)).alias("href"))
-    kept, moved = merge_parents(records, links, "page_id", ["site", "title"], "page_id")
+    into, kept, moved = merge_parents(records, links, "page_id", ["site", "title"], "page_id")
     counts = moved.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("targets"))
-    return kept.join(counts, "page_id", "left").na.fill(0, ["links", "targets"])
+    merged = kept.join(counts, "page_id", "left").na.fill(0, ["links", "targets"]).withColumnRenamed("page_id", "merged_into")
+    return into.join(merged, "merged_into").select("page_id", "merged_into", "merged", "links", "targets")
 
 
 @query("h11_name_from_title", "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^|<-]+)', 1)), ''), 'none') AS name FROM pages")

@@ -88,3 +88,12 @@ def test_gzip_pages_and_page_cache(spark, tmp_path):
 def test_numbers_cross_ranges(spark):
     got = sinks.numbered(spark.range(0, 100, 7), "id", width=10).orderBy("id").collect()
     assert [r.number for r in got] == list(range(1, 16))
+
+
+def test_urls_like_seeds(spark):
+    seeds = ["https://a.example/?castid=5", "https://a.example/?castid=7&x=1", "https://b.example/girls/1/p.html", "https://b.example/girls/2/p.html", "https://c.example/ann", "https://c.example/bea"]
+    links = ["https://a.example/?castid=9", "https://a.example/?page=2", "https://a.example/girls/1", "https://b.example/girls/3/p.html", "https://b.example/girls/page/2/", "https://b.example/shop", "https://c.example/cleo", "https://c.example/blog/1", "https://c.example/schedule.html", "https://c.example/", "https://c.example/ann", "https://c.example/x.css", "https://d.example/1"]
+    frame = lambda urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    kinds = cards.seed_patterns(frame(seeds).withColumn("site", cards.host(F.col("url"))), "site", "url")
+    assert sorted(map(tuple, kinds.collect())) == [("a.example", "query", "castid"), ("b.example", "path", "/girls/"), ("c.example", "internal", "")]
+    assert sorted(r.url for r in cards.urls_like_seeds(frame(seeds), frame(links), "url").collect()) == ["https://a.example/?castid=9", "https://b.example/girls/3/p.html", "https://c.example/cleo"]

@@ -48,6 +48,6 @@ def test_merge_by_chained_keys(spark):
     into = {r.id: r.merged_into for r in merged_by_keys(parents, "id", ["url", "source", "name"]).collect()}
     assert into == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
     children = spark.createDataFrame([(10, 3), (11, 5), (12, 99), (13, None), (14, 6)], "child long, parent long")
-    kept, moved = merge_parents(parents, children, "id", ["url", "source", "name"], "parent")
+    _, kept, moved = merge_parents(parents, children, "id", ["url", "source", "name"], "parent")
     assert {r.id: r.merged for r in kept.collect()} == {1: 3, 4: 2, 6: 1, 7: 1}
     assert {r.child: r.parent for r in moved.collect()} == {10: 1, 11: 4, 12: 99, 13: None, 14: 6}
