@@ -44,10 +44,22 @@ def path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
 
 
+def _folded(url: Column) -> Column:
+    """A URL whose path has no ``.`` and ``..`` any more; ``..`` at the top goes."""
+    start = origin(url)
+    rest = F.substring(url, F.length(start) + 1, F.length(url))
+    whole = F.regexp_extract(rest, "^[^?#]*", 0)
+    parts = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/")
+    at_end = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p))))
+    path_ = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(at_end & (F.size(kept) > 0), "/").otherwise(""))
+    return F.concat(start, path_, F.substring(rest, F.length(whole) + 1, F.length(rest)))
+
+
 def resolved(base: Column, href: Column) -> Column:
-    """A link seen from its page; ``.`` and ``..`` in it stay as they are."""
+    """A link seen from its page, with ``.`` and ``..`` folded."""
     bare, file = F.substring_index(base, "#", 1), F.substring_index(F.substring_index(base, "#", 1), "?", 1)
-    return (
+    joined = (
         F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), href))
         .when(href.startswith("/"), F.concat(origin(base), href))
@@ -55,6 +67,7 @@ def resolved(base: Column, href: Column) -> Column:
         .when(href.startswith("?"), F.concat(file, href))
         .otherwise(F.concat(origin(base), F.coalesce(capture(F.substring(file, F.length(origin(base)) + 1, F.length(file)), "^(.*/)"), F.lit("/")), href))
     )
+    return F.when(joined.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?\.\.?(?:[/?#]|$)"), _folded(joined)).otherwise(joined)
 
 
 def plain(html: Column) -> Column:

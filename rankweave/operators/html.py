@@ -2,48 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Elements whose content is not shown.
-HIDDEN = {"script", "style", "noscript", "template", "svg", "iframe"}
-
+HIDDEN = "script|style|noscript|template|svg|iframe"
+#: Characters by name; ``&amp;`` comes last, so that nothing is decoded twice.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "yen": "¥", "euro": "€", "pound": "£", "cent": "¢", "times": "×", "deg": "°", "para": "¶", "sect": "§", "amp": "&",
+}
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
 
-    def handle_starttag(self, tag, attrs) -> None:
-        self.depth += tag in HIDDEN
+def unescaped(text: Column) -> Column:
+    """Text with its character references decoded: numbers, and the names of ``ENTITIES``; others stay as they are."""
 
-    def handle_endtag(self, tag) -> None:
-        self.depth -= tag in HIDDEN and self.depth > 0
+    def numbered(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", 1)
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("int")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        known = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.concat(sign, F.regexp_replace(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", ""))).otherwise(F.concat(F.lit("&#"), piece))
 
-    def handle_data(self, data) -> None:
-        if not self.depth:
-            self.parts.append(data)
+    pieces = F.split(text, "&#")
+    out = F.when(F.size(pieces) > 1, F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), numbered)), "")).otherwise(text)
+    for name, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
 
 
-def text_of(html: str | None) -> str:
-    """The shown text, one non-empty line for each run."""
-    parser = _Visible()
-    parser.feed(html or "")
-    parser.close()
-    lines = (line.strip() for part in parser.parts for line in part.split("\n"))
-    return "\n".join(line for line in lines if line)
+def visible_text(html: Column) -> Column:
+    """The shown text, one line for each run that is not blank; empty for null.
 
-
-@F.pandas_udf(T.StringType())
-def visible_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for html in batches:
-        yield html.map(text_of)
+    Comments, declarations and hidden elements go, and tags part runs.
+    """
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<!--.*?(?:-->|$)|<[!?][^>]*>|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|$)", "\n")
+    runs = F.split(F.regexp_replace(shown, "</?[a-zA-Z][^>]*>", "\n"), "\n")
+    lines = F.transform(runs, lambda r: F.regexp_replace(unescaped(r), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    return F.array_join(F.filter(lines, lambda r: r != ""), "\n")
 
 
 def links(html: Column) -> Column:
@@ -51,19 +47,6 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit('<a[^>]+href="([^"]+)"'), F.lit(1)))
 
 
-@F.pandas_udf(T.StringType())
-def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Links resolved against their page's URL."""
-    return pd.Series([_join(b, h) for b, h in zip(base, href)])
-
-
-def _join(base: str | None, href: str | None) -> str | None:
-    try:
-        return urljoin(base or "", href or "")
-    except ValueError:
-        return None
-
-
 def page_title(html: Column) -> Column:
     """The title, else the og:title; null without text in either."""
     patterns = [r"(?is)<title[^>]*>(.*?)</title>", r'(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', r'(?is)<meta[^>]+content="([^"]*)"[^>]+property="og:title"']

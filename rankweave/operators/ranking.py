@@ -153,6 +153,27 @@ def shares(rows: DataFrame, keys: list[str], category: str, of_all: bool = False
     return counts.withColumn("pct", js_round(100 * F.col("n") / total)).where(F.col(category).isNotNull())
 
 
+def provider_profiles(reviews: DataFrame) -> DataFrame:
+    """What reviews agree on for each provider: type, body and level of most reviews (the smallest of
+    equals) with their shares in percent, all levels, and the means of the four parameters.
+
+    Reviews are counted once by (provider, type, body, level), and everything else comes from these
+    counts, so that rows are shuffled once.
+    """
+    kinds, params = ["type_id", "body_id", "level_id"], ["p1", "p2", "p3", "p4"]
+    sums = [x for p in params for x in (F.sum(p).alias(f"{p}_sum"), F.count(p).alias(f"{p}_n"))]
+    counted = reviews.groupBy("provider_id", *kinds).agg(F.count("*").alias("n"), *sums)
+    by_provider = Window.partitionBy("provider_id")
+    for k in kinds:  # how many reviews of the provider have the value
+        counted = counted.withColumn(f"{k}_n", F.sum("n").over(Window.partitionBy("provider_id", k)))
+    counted = counted.withColumn("total", F.sum("n").over(by_provider))
+    best = [F.min_by(F.struct(k, f"{k}_n"), F.struct(-F.col(f"{k}_n"), k)).alias(k) for k in kinds]
+    means = [F.round(F.sum(f"{p}_sum") / F.sum(f"{p}_n"), 1).alias(p) for p in params]
+    out = counted.groupBy("provider_id").agg(F.max("total").alias("n"), F.sort_array(F.collect_set("level_id")).alias("levels"), *best, *means)
+    named = [x for k in kinds for x in (F.col(f"{k}.{k}").alias(k), js_round(100 * F.col(f"{k}.{k}_n") / F.col("n")).alias(f"{k[:-3]}_pct"))]
+    return out.select("provider_id", "n", *named, "levels", *params)
+
+
 def compatibility(reviews: DataFrame, member: int, providers: list[int]) -> DataFrame:
     """Compatibility of a member with providers: (provider_id, score, label).
 

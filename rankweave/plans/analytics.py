@@ -123,6 +123,19 @@ def _(m: Model) -> DataFrame:
     return ranking.shares(m.approved(), ["provider_id"], "type_id")
 
 
+def _consensus(c: str) -> str:
+    """The value that most reviews of a provider agree on, and their share, in SQL."""
+    return f"SELECT provider_id, {c}, CAST(floor(100 * n / total + 0.5) AS BIGINT) pct FROM (SELECT provider_id, {c}, count(*) n, sum(count(*)) OVER (PARTITION BY provider_id) total FROM approved GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY n DESC, {c}) = 1"
+
+
+@query(
+    "r08_full_profile",
+    f", t AS ({_consensus('type_id')}), b AS ({_consensus('body_id')}), v AS ({_consensus('level_id')}), a AS (SELECT provider_id, count(*) n, round(avg(p1), 1) p1, round(avg(p2), 1) p2, round(avg(p3), 1) p3, round(avg(p4), 1) p4, list_sort(list(DISTINCT level_id)) levels FROM approved GROUP BY 1) SELECT provider_id, n, type_id, t.pct type_pct, body_id, b.pct body_pct, level_id, v.pct level_pct, array_to_string(levels, ',') levels, p1, p2, p3, p4 FROM a JOIN t USING (provider_id) JOIN b USING (provider_id) JOIN v USING (provider_id)",
+)
+def _(m: Model) -> DataFrame:
+    return ranking.provider_profiles(m.approved()).withColumn("levels", F.array_join(F.col("levels").cast("array<string>"), ","))
+
+
 @query("r12_confidence_gate", ", c AS (SELECT user_id, s / CAST(s + 2 * f AS DOUBLE) c FROM (SELECT user_id, count(*) FILTER (event_type <> 'error') s, count(*) FILTER (event_type = 'error') f FROM events GROUP BY 1)) SELECT CASE WHEN c >= 0.7 THEN 'rules' WHEN c >= 0.4 THEN 'sample' ELSE 'relearn' END gate, count(*) n FROM c GROUP BY 1")
 def _(m: Model) -> DataFrame:
     s, f = F.count_if(F.col("event_type") != "error"), F.count_if(F.col("event_type") == "error")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators import cards, classify, dom
+from rankweave.operators import cards, classify, dom, html
 from rankweave.plans.registry import query
 from rankweave.sources import sinks
 from rankweave.sources.model import Model
@@ -43,9 +43,9 @@ def listings(m: Model) -> DataFrame:
     """(venue_id, part, url, html, script): at most a thousand cards a page."""
     pieces = F.array_sort(F.collect_list(F.struct("provider_id", F.expr(_CARD).alias("card"), F.expr(_OBJECT).alias("object"))))
     pages = _listed(m).groupBy("venue_id", "part").agg(pieces.alias("p"))
-    html = F.concat(F.lit('<html><body><ul class="list">'), F.array_join("p.card", ""), F.lit("</ul></body></html>"))
+    page = F.concat(F.lit('<html><body><ul class="list">'), F.array_join("p.card", ""), F.lit("</ul></body></html>"))
     script = F.concat(F.lit('var shop = {title: "[a", items: ['), F.array_join("p.object", ", "), F.lit("], more: []};"))
-    return pages.select("venue_id", "part", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/list")).alias("url"), html.alias("html"), script.alias("script"))
+    return pages.select("venue_id", "part", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/list")).alias("url"), page.alias("html"), script.alias("script"))
 
 
 @query("s10_paged_scan", "SELECT (row_number() OVER (ORDER BY provider_id) - 1) // 1000 page_no, provider_id FROM providers")
@@ -135,8 +135,8 @@ def nested_listings(m: Model) -> DataFrame:
     """(venue_id, part, url, html): cards of nested elements of one name, up to a thousand a page."""
     cells = F.array_sort(F.collect_list(F.struct("provider_id", F.expr(_NESTED).alias("card"))))
     pages = _listed(m).groupBy("venue_id", "part").agg(cells.alias("p"))
-    html = F.concat(F.lit('<html><body><div><a href="/">top</a></div><div class="list">'), F.array_join("p.card", ""), F.lit("</div></body></html>"))
-    return pages.select("venue_id", "part", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/list")).alias("url"), html.alias("html"))
+    page = F.concat(F.lit('<html><body><div><a href="/">top</a></div><div class="list">'), F.array_join("p.card", ""), F.lit("</div></body></html>"))
+    return pages.select("venue_id", "part", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/list")).alias("url"), page.alias("html"))
 
 
 @query("e17_enclosing_cards", _LISTED + f" SELECT venue_id, part, site || '/item/' || provider_id link, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, age, 140 + size height, 70 + size bust, 94 - size waist, 72 + size hip, site || '/img/' || provider_id || '.jpg' image, {_VALID} valid FROM l")
@@ -160,6 +160,17 @@ def _(m: Model) -> DataFrame:
     return found.select("page.venue_id", "page.part", *rules)
 
 
+@query("e07_listing_images", _LISTED + " SELECT DISTINCT venue_id, part, '/img/' || provider_id || '.jpg' src FROM l UNION SELECT DISTINCT venue_id, part, '/icon.png' FROM l")
+def _(m: Model) -> DataFrame:
+    return nested_listings(m).select("venue_id", "part", F.explode(html.image_sources(F.col("html"))).alias("src"))
+
+
+@query("r10_listing_portraits", _LISTED + """ SELECT venue_id, part, '<img class="photo" data-src="/img/' || provider_id || '.jpg">' tag, 3 score FROM l QUALIFY row_number() OVER (PARTITION BY venue_id, part ORDER BY provider_id) <= 5""")
+def _(m: Model) -> DataFrame:
+    pages = nested_listings(m).withColumn("page", F.struct("venue_id", "part"))
+    return classify.image_candidates(pages, "page", "html").select("page.venue_id", "page.part", "tag", "score")
+
+
 _PROFILE = """concat('<html><body><div class="top"><h1 class="', if(provider_id % 5 = 0, 'title', 'name'), '">', name, '</h1></div><div class="profile ', if(provider_id % 5 = 0, 'old', 'new'), '"><div><p class="',
  if(provider_id % 5 = 0, 'text', 'spec'), '">AGE ', age, ' T', 140 + size, ' <b>B', 70 + size, '</b></p></div></div></body></html>')"""
 _SAMPLES = "(SELECT count(*) FILTER (provider_id % 5 <> 0) FROM providers WHERE provider_id % 2 = 0)"

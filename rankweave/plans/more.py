@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import directory as D
 from rankweave.functions import text as T
-from rankweave.operators import classify, html, maintain, ranking
+from rankweave.operators import cards, classify, html, maintain, ranking
 from rankweave.operators.components import merge_parents
 from rankweave.operators.ordered import running_total
 from rankweave.plans.registry import query
@@ -369,7 +369,7 @@ def _(m: Model) -> DataFrame:
 @query("e04_absolute_urls", ", a AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '<a[^>]+href=\"([^\"]+)\"', 1))) href FROM pages) SELECT page_id, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE href END link FROM a")
 def _(m: Model) -> DataFrame:
     rows = m.table("pages").select("page_id", "url", F.explode(html.links(F.col("html"))).alias("href"))
-    return rows.select("page_id", html.absolute(F.col("url"), F.col("href")).alias("link"))
+    return rows.select("page_id", cards.resolved(F.col("url"), F.col("href")).alias("link"))
 
 
 @query("e05_pagination", "SELECT DISTINCT page_id, CAST(regexp_extract(url, '[?&](?:page|p|pg|paged)=([0-9]+)', 1) AS BIGINT) no FROM pages WHERE regexp_matches(url, '[?&](page|p|pg|paged)=([2-9]|[1-9][0-9]+)(&|#|$)')")

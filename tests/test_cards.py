@@ -97,3 +97,26 @@ def test_urls_like_seeds(spark):
     kinds = cards.seed_patterns(frame(seeds).withColumn("site", cards.host(F.col("url"))), "site", "url")
     assert sorted(map(tuple, kinds.collect())) == [("a.example", "query", "castid"), ("b.example", "path", "/girls/"), ("c.example", "internal", "")]
     assert sorted(r.url for r in cards.urls_like_seeds(frame(seeds), frame(links), "url").collect()) == ["https://a.example/?castid=9", "https://b.example/girls/3/p.html", "https://c.example/cleo"]
+
+
+def test_links_are_resolved_like_a_browser_does(spark):
+    from urllib.parse import urljoin
+
+    base = "https://a.example/x/y/z.html?q=1"
+    hrefs = ["../b", "../../../../b", "./", ".", "..", "../..", "c/../d/./e?f=../g", "/p/../q", "a..b/c", "http://o.example/1/../2", "?k=../1", "d/..", "//h.example/./i"]
+    df = spark.createDataFrame([(base, h) for h in hrefs], "b string, h string")
+    got = {r.h: r.u for r in df.select("h", cards.resolved(F.col("b"), F.col("h")).alias("u")).collect()}
+    whole = {"http://o.example/1/../2": "http://o.example/2", "//h.example/./i": "https://h.example/i"}  # these, too, as browsers do
+    assert got == {h: whole.get(h) or urljoin(base, h) for h in hrefs}
+
+
+def test_visible_text(spark):
+    from rankweave.operators import html
+
+    pages = {
+        "<p>a &amp;lt; b</p><!-- <p>no</p> --><SCRIPT>x < y</SCRIPT >c<svg><p>d</p></svg>": "a &lt; b\nc",
+        "  one\n two <b>three</b>&nbsp;<br/>&#65;&#x3042;&#x1F600; &#0; &unknown; &": "one\ntwo\nthree\nAあ😀 &#0; &unknown; &",
+        "<style>never closed": "", "a < b > c": "a < b > c", "<!DOCTYPE html><?xml?>t": "t", "": "",
+    }
+    df = spark.createDataFrame([(h,) for h in pages] + [(None,)], "h string")
+    assert {r.h: r.t for r in df.select("h", html.visible_text(F.col("h")).alias("t")).collect()} == pages | {None: ""}
