@@ -20,7 +20,7 @@ def unescaped(text: Column) -> Column:
     def numbered(piece: Column) -> Column:
         digits = F.regexp_extract(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", 1)
         code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("int")
-        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         known = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(known, F.concat(sign, F.regexp_replace(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", ""))).otherwise(F.concat(F.lit("&#"), piece))
 
