@@ -31,13 +31,13 @@ def _ranked(m: Model, area: int | None) -> DataFrame:
     return ranking.scored_venues(venues, ranking.venue_stats(reviews, m.providers()), reviews, AS_OF)
 
 
-_SCORES = [F.col(c).cast("double").alias(c) for c in ("bayes_score", "rank_score")]
+_SCORES = [f"cast({c} as double) {c}" for c in ("bayes_score", "rank_score")]
 
 
 @query("r01_ranked_venues", _STATS.format(src="approved") + _RANKED)
 def _(m: Model) -> DataFrame:
     best = _ranked(m, area=7).orderBy(F.desc("rank_score"), F.desc("review_count"), "display_order").limit(200)
-    return best.select("venue_id", "name", "display_order", "review_count", *_SCORES)
+    return best.selectExpr("venue_id", "name", "display_order", "review_count", *_SCORES)
 
 
 @query("r01_ranked_venues_sparse", _STATS.format(src="approved") + _RANKED.replace("SELECT venue_id", "SELECT area_id, venue_id", 1).replace(" WHERE area_id = 7", "").replace(" ORDER BY rank_score DESC, review_count DESC, display_order LIMIT 200", " QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY rank_score DESC, review_count DESC, display_order) <= 200"))
@@ -45,7 +45,7 @@ def _(m: Model) -> DataFrame:
     """The best venues of every area."""
     place = F.row_number().over(Window.partitionBy("area_id").orderBy(F.desc("rank_score"), F.desc("review_count"), "display_order"))
     best = _ranked(m, area=None).withColumn("place", place).where("place <= 200")
-    return best.select("area_id", "venue_id", "name", "display_order", "review_count", *_SCORES)
+    return best.selectExpr("area_id", "venue_id", "name", "display_order", "review_count", *_SCORES)
 
 
 @query("r02_batch_stats", _STATS.format(src="approved") + " SELECT v.venue_id, coalesce(n, 0) review_count, coalesce(CAST(avg_score AS DOUBLE), 0) avg_score FROM published v LEFT JOIN vs USING (venue_id) WHERE v.venue_id IN (1, 2, 3, 5, 8, 13)")
