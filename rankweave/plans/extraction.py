@@ -183,7 +183,7 @@ def _profiles(m: Model) -> tuple[DataFrame, DataFrame]:
     return rows.select("provider_id", F.expr(_PROFILE).alias("html")), rows.where("provider_id % 2 = 0").select("provider_id", fields)
 
 
-@query("r11_mined_rules", f"SELECT * FROM (VALUES ('name', 'div.top > h1.name', NULL), ('age', 'div > p.spec', 'AGE\s*(\d+)'), ('height', 'div > p.spec', 'T\s*(\d+)'), ('bust', 'p.spec > b', '(\d+)')) r(field, selector, regex), (SELECT {_SAMPLES} votes)")
+@query("r11_mined_rules", rf"SELECT * FROM (VALUES ('name', 'div.top > h1.name', NULL), ('age', 'div > p.spec', 'AGE\s*(\d+)'), ('height', 'div > p.spec', 'T\s*(\d+)'), ('bust', 'p.spec > b', '(\d+)')) r(field, selector, regex), (SELECT {_SAMPLES} votes)")
 def _(m: Model) -> DataFrame:
     return dom.mined_rules(*_profiles(m), "provider_id", "html")
 

@@ -15,6 +15,21 @@ from rankweave.sources.model import AS_OF, Model
 from rankweave.streaming import jobs
 
 
+def _formed(m: Model, *forms: str) -> DataFrame:
+    """(provider_id, v or v1, v2, ...): texts of each provider's columns, by expressions that DuckDB knows, too."""
+    names = ["v"] if len(forms) == 1 else [f"v{i}" for i in range(1, len(forms) + 1)]
+    return m.providers().select("provider_id", *[F.expr(f).alias(n) for f, n in zip(forms, names)])
+
+
+_AGENTS = "CASE provider_id % 5 WHEN 0 THEN concat('Mozilla/5.0 (', brand, ')') WHEN 1 THEN concat(name, 'Bot/2') WHEN 2 THEN '' WHEN 3 THEN concat('curl/', size) ELSE ' ' END"
+_SHOPS = "CASE provider_id % 3 WHEN 0 THEN concat('東京「', name, '」本店') WHEN 1 THEN concat('東京 ', name, ' 店') ELSE name END"
+_TITLES = "CASE provider_id % 4 WHEN 0 THEN concat('Home | ', split_part(name, ' ', 2)) WHEN 1 THEN concat(split_part(name, ' ', 2), ' - top') WHEN 2 THEN concat(split_part(name, ' ', 2), ' | Home') ELSE '-' END"
+_HALF = "concat(translate(concat('', provider_id), '0123456789', 'ｱｲｳｴｵｶｷｸｹｺ'), 'ｶﾞｰﾊﾟ', brand)"
+_PARENTS = "CASE provider_id % 3 WHEN 0 THEN concat(brand, '・', name) WHEN 1 THEN concat(brand, '（', name, '）') ELSE '広島・福山' END"
+_SIDES = "CASE provider_id % 4 WHEN 0 THEN concat('東', substr(name, 1, 3), '駅') WHEN 1 THEN concat(substr(name, 1, 3), '駅') WHEN 2 THEN concat('西', name, '口') ELSE concat('新', size, '口') END"
+_READINGS = "CASE provider_id % 3 WHEN 0 THEN concat(brand, 'x') WHEN 1 THEN concat(brand, ' ', size) ELSE 'none' END"
+
+
 def _values(m: Model, rows: list, schema: str = "v string") -> DataFrame:
     return m.spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
@@ -56,9 +71,9 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").where(D.same_host_page(F.col("url"), "ththrhe.example.com")).select("page_id")
 
 
-@query("f21_agent_blacklist", "SELECT coalesce(v, 'none') v, coalesce(trim(v), '') = '' OR regexp_matches(v, '(?i)bot|curl|spider') blocked FROM (VALUES ('Mozilla/5.0'), ('GoogleBot/2'), (''), ('curl/8')) t(v)")
+@query("f21_agent_blacklist", f"SELECT provider_id, v, trim(v) = '' OR regexp_matches(v, '(?i)bot|curl|spider') blocked FROM (SELECT provider_id, {_AGENTS} v FROM providers)")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["Mozilla/5.0", "GoogleBot/2", "", "curl/8"]).select("v", D.blocked_agent(F.col("v"), ["bot", "curl", "spider"]).alias("blocked"))
+    return _formed(m, _AGENTS).select("provider_id", "v", D.blocked_agent(F.col("v"), ["bot", "curl", "spider"]).alias("blocked"))
 
 
 @query("j16_normalized_link", ", k AS (SELECT page_id, regexp_replace(split_part(split_part(lower(url), '#', 1), '?', 1), '^https?://(www\\.)?|/+$', '', 'g') k FROM pages) SELECT a.page_id, max(b.page_id) other_id FROM k a JOIN k b USING (k) WHERE a.page_id < b.page_id GROUP BY 1")
@@ -175,9 +190,9 @@ def _(m: Model) -> DataFrame:
     return _values(m, ["【new】Rose 東京店", "★Lily★", "【x】"]).select("v", D.display_name(F.col("v"), ["東京店", "大阪店"]).alias("name"))
 
 
-@query("x26_core_name", "SELECT * FROM (VALUES ('東京「Rose」本店', 'Rose'), ('東京 Lily 店', 'Lily')) t(v, name)")
+@query("x26_core_name", f"SELECT provider_id, {_SHOPS} v, name FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["東京「Rose」本店", "東京 Lily 店"]).select("v", D.core_name(F.col("v"), ["東京", "店"]).alias("name"))
+    return _formed(m, _SHOPS).select("provider_id", "v", D.core_name(F.col("v"), ["東京", "店"]).alias("name"))
 
 
 @query("x27_bracketed_reading", "SELECT * FROM (VALUES ('Rose（ローズ）', 'ローズ'), ('Lily(リリー)', 'リリー'), ('Iris', NULL)) t(v, reading)")
@@ -185,15 +200,15 @@ def _(m: Model) -> DataFrame:
     return _values(m, ["Rose（ローズ）", "Lily(リリー)", "Iris"]).select("v", D.bracketed_reading(F.col("v")).alias("reading"))
 
 
-@query("x28_titled_reading", "SELECT * FROM (VALUES ('Home | Rose', 'Rose', 'bar'), ('Lily - top', 'Lily', 'dash'), ('none', NULL, NULL)) t(v, reading, pattern)")
+@query("x28_titled_reading", f"SELECT provider_id, {_TITLES} v, CASE WHEN provider_id % 4 < 3 THEN split_part(name, ' ', 2) END reading, CASE provider_id % 4 WHEN 0 THEN 'bar' WHEN 1 THEN 'dash' WHEN 2 THEN 'first' END pattern FROM providers")
 def _(m: Model) -> DataFrame:
     found = D.titled_reading(F.col("v"), [("first", r"^(\w+) \|"), ("bar", r"\| (\w+)$"), ("dash", r"^(\w+) -")], ["Home"])
-    return _values(m, ["Home | Rose", "Lily - top", "none"]).select("v", found["value"].alias("reading"), found["pattern"].alias("pattern"))
+    return _formed(m, _TITLES).select("provider_id", "v", found["value"].alias("reading"), found["pattern"].alias("pattern"))
 
 
-@query("x29_full_width_kana", "SELECT * FROM (VALUES ('ｶﾞｰﾙ', 'ガール'), ('ﾊﾟﾋﾟ', 'パピ'), ('abc', 'abc')) t(v, kana)")
+@query("x29_full_width_kana", f"SELECT provider_id, {_HALF} v, concat(translate(concat('', provider_id), '0123456789', 'アイウエオカキクケコ'), 'ガーパ', brand) kana FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["ｶﾞｰﾙ", "ﾊﾟﾋﾟ", "abc"]).select("v", D.full_width_kana(F.col("v")).alias("kana"))
+    return _formed(m, _HALF).select("provider_id", "v", D.full_width_kana(F.col("v")).alias("kana"))
 
 
 @query("x32_opening_hours", "SELECT * FROM (VALUES ('10:00~24:00', '10:00', '24:00'), ('12:00〜翌5:00 (last 4:00)', '12:00', '5:00'), ('?', NULL, NULL)) t(v, opens, closes)")
@@ -202,14 +217,16 @@ def _(m: Model) -> DataFrame:
     return _values(m, ["10:00~24:00", "12:00〜翌5:00 (last 4:00)", "?"]).select("v", opens.alias("opens"), closes.alias("closes"))
 
 
-@query("x34_parent_keyword", "SELECT * FROM (VALUES ('奈良・生駒', '奈良'), ('札幌（すすきの）', 'すすきの'), ('広島・福山', '広島市')) t(v, keyword)")
+@query("x34_parent_keyword", f"SELECT provider_id, {_PARENTS} v, CASE provider_id % 3 WHEN 0 THEN CASE WHEN provider_id % 2 = 0 THEN brand ELSE concat(brand, '・', name) END WHEN 1 THEN name ELSE '広島市' END keyword FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["奈良・生駒", "札幌（すすきの）", "広島・福山"]).select("v", D.parent_keyword(F.col("v"), {"広島・福山": "広島市"}, F.lit(1)).alias("keyword"))
+    """Every second provider has no sibling in its region."""
+    siblings = F.col("provider_id") % 2 + 1
+    return _formed(m, _PARENTS).select("provider_id", "v", D.parent_keyword(F.col("v"), {"広島・福山": "広島市"}, siblings).alias("keyword"))
 
 
-@query("x36_direction_station", "SELECT * FROM (VALUES ('東新宿駅', true), ('渋谷', false)) t(v, side)")
+@query("x36_direction_station", f"SELECT provider_id, {_SIDES} v, provider_id % 4 IN (0, 3) OR provider_id % 4 = 2 AND length(name) <= 4 side FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["東新宿駅", "渋谷"]).select("v", D.direction_station(F.col("v")).alias("side"))
+    return _formed(m, _SIDES).select("provider_id", "v", D.direction_station(F.col("v")).alias("side"))
 
 
 @query("x39_json_repair", "SELECT * FROM (VALUES (1, 3), (2, 4), (3, NULL)) t(id, n)")
@@ -223,10 +240,9 @@ def _(m: Model) -> DataFrame:
     return classify.similar_hosts(m.table("pages").select(T.domain(F.col("url")).alias("host")), "host")
 
 
-@query("x51_merged_reading", "SELECT * FROM (VALUES ('ア・イ', 'アイ', 'ア・イ'), ('ア', 'ウ エ', 'ウエ'), ('ア', 'none', 'ア')) t(current, extracted, merged)")
+@query("x51_merged_reading", f"SELECT provider_id, concat(brand, '・x') v1, {_READINGS} v2, CASE WHEN provider_id % 3 = 1 THEN concat(brand, size) ELSE concat(brand, '・x') END merged FROM providers")
 def _(m: Model) -> DataFrame:
-    rows = _values(m, [("ア・イ", "アイ"), ("ア", "ウ エ"), ("ア", "none")], "current string, extracted string")
-    return rows.select("current", "extracted", D.merged_reading(F.col("current"), F.col("extracted"), "none").alias("merged"))
+    return _formed(m, "concat(brand, '・x')", _READINGS).select("provider_id", "v1", "v2", D.merged_reading(F.col("v1"), F.col("v2"), "none").alias("merged"))
 
 
 @query("x52_name_sources", "SELECT CASE WHEN provider_id % 3 = 0 THEN 'first' WHEN provider_id % 3 = 1 THEN 'second' ELSE 'rule' END source, count(*) n FROM providers GROUP BY 1")

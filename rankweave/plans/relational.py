@@ -104,11 +104,13 @@ def _(m: Model) -> DataFrame:
     return m.table("events").where(F.col("props").isNull() | (F.get_json_object("props", "$.k").cast("int") == 0)).select("event_id")
 
 
-@query("f16_min_query_length", "SELECT q, length(q) >= CASE WHEN regexp_matches(q, '[^\\x00-\\x7F]') THEN 2 ELSE 3 END AS runs FROM (VALUES ('あ'), ('あい'), ('ab'), ('abc')) t(q)")
+@query("f16_min_query_length", "SELECT doc_id, q, length(q) >= CASE WHEN regexp_matches(q, '[^\\x00-\\x7F]') THEN 2 ELSE 3 END AS runs FROM (SELECT doc_id, substr(text, 1, CAST(1 + doc_id % 4 AS INT)) q FROM documents)")
 def _(m: Model) -> DataFrame:
+    """Searches by the first one to four characters of each document."""
     from rankweave.functions.text import long_enough_query
 
-    return m.spark.createDataFrame([("あ",), ("あい",), ("ab",), ("abc",)], "q string").select("q", long_enough_query(F.col("q")).alias("runs"))
+    asked = m.table("documents").selectExpr("doc_id", "substr(text, 1, cast(1 + doc_id % 4 as int)) q")
+    return asked.select("doc_id", "q", long_enough_query(F.col("q")).alias("runs"))
 
 
 @query("f17_substring", "SELECT provider_id FROM providers WHERE contains(name, '7') OR contains(brand, '#3')")

@@ -11,6 +11,27 @@ from rankweave.plans.registry import query
 from rankweave.sources.model import AS_OF, Model
 
 
+def _formed(m: Model, form: str, *keep: str) -> DataFrame:
+    """(provider_id, kept columns, v): a text of each provider's columns, by an expression that DuckDB knows, too."""
+    return m.providers().select("provider_id", *keep, F.expr(form).alias("v"))
+
+
+def _from(form: str) -> str:
+    return f"FROM (SELECT *, {form} v FROM providers) t"
+
+
+_NUMBERS = "CASE provider_id % 4 WHEN 0 THEN concat('', size * 3) WHEN 1 THEN concat('-', size) WHEN 2 THEN concat('', size) ELSE name END"
+_AGES = "CASE provider_id % 3 WHEN 0 THEN concat('', age - 5) WHEN 1 THEN concat('', age + 10) ELSE brand END"
+_LETTERS = "CASE WHEN provider_id % 9 = 0 THEN '' ELSE substr('ABCDEFGHIJ', CAST(1 + size % 10 AS INT), 1) END"
+_PEOPLE = "CASE provider_id % 3 WHEN 0 THEN concat(name, '  (new)') WHEN 1 THEN concat(' ', name, '　', brand, ' ') ELSE concat(brand, '（', size, '）') END"
+_PRICES = "CASE provider_id % 4 WHEN 0 THEN concat(size, ',000円/', size + 40, '分') WHEN 1 THEN concat(size + 30, ' 分') WHEN 2 THEN concat('¥', size) ELSE concat(size * 100, '円') END"
+_STATIONS = "CASE provider_id % 3 WHEN 0 THEN concat(name, '駅') WHEN 1 THEN concat(name, '駅・', brand) ELSE concat(name, '駅（', brand, '）') END"
+_LISTS = "CASE provider_id % 3 WHEN 0 THEN concat(name, ', ', brand, ',,', size) WHEN 1 THEN concat(' ,', ',') ELSE brand END"
+_DAYS = "CASE provider_id % 4 WHEN 0 THEN concat('20', 10 + size % 15, '/0', 1 + size % 9, '/', 10 + size % 19) WHEN 1 THEN concat('20', 10 + size % 15, '-0', 1 + size % 9, '-', 10 + size % 19) WHEN 2 THEN concat('2024-1', size % 10, '-15') ELSE name END"
+_SIZES = "CASE provider_id % 3 WHEN 0 THEN concat(70 + size, '(', substr('ABCDEFG', CAST(1 + size % 7 AS INT), 1), ')-', 94 - size, '-', 72 + size) WHEN 1 THEN concat(70 + size, '-', 94 - size, '-', 72 + size) ELSE name END"
+_FILES = "CASE provider_id % 4 WHEN 0 THEN concat('/', provider_id, '.PNG') WHEN 1 THEN concat('/', provider_id, '.jpg?x=', size) WHEN 2 THEN concat('/', provider_id) ELSE concat('/', provider_id, '.Jpg#a') END"
+
+
 def _values(m: Model, rows: list, name: str = "v") -> DataFrame:
     return m.spark.createDataFrame([(r,) for r in rows], f"{name} string")
 
@@ -55,14 +76,14 @@ def _(m: Model) -> DataFrame:
     return m.providers().select("provider_id", F.round(F.log2(s + 1), 6).alias("log_size"), F.ceil(s / 7.0).cast("bigint").alias("pages"), F.abs(s - 25).alias("off"))
 
 
-@query("x08_clamp", "SELECT v, CASE WHEN TRY_CAST(v AS INT) IS NOT NULL THEN least(greatest(TRY_CAST(v AS INT), 0), 100) END clamped FROM (VALUES ('120'), ('-4'), ('55'), ('x')) t(v)")
+@query("x08_clamp", "SELECT provider_id, v, CASE WHEN TRY_CAST(v AS INT) IS NOT NULL THEN least(greatest(TRY_CAST(v AS INT), 0), 100) END clamped " + _from(_NUMBERS))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["120", "-4", "55", "x"]).select("v", T.clamp(F.col("v"), 0, 100).alias("clamped"))
+    return _formed(m, _NUMBERS).select("provider_id", "v", T.clamp(F.col("v"), 0, 100).alias("clamped"))
 
 
-@query("x10_bounded_int", "SELECT v, CASE WHEN TRY_CAST(v AS INT) BETWEEN 18 AND 70 THEN TRY_CAST(v AS INT) END bounded FROM (VALUES ('17'), ('18'), ('70'), ('x')) t(v)")
+@query("x10_bounded_int", "SELECT provider_id, v, CASE WHEN TRY_CAST(v AS INT) BETWEEN 18 AND 70 THEN TRY_CAST(v AS INT) END bounded " + _from(_AGES))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["17", "18", "70", "x"]).select("v", T.bounded_int(F.col("v"), 18, 70).alias("bounded"))
+    return _formed(m, _AGES).select("provider_id", "v", T.bounded_int(F.col("v"), 18, 70).alias("bounded"))
 
 
 @query("x11_step_bucket", "SELECT provider_id, CASE WHEN age <= 54 THEN 1 WHEN age <= 58 THEN 2 WHEN age <= 63 THEN 3 WHEN age <= 68 THEN 4 ELSE 5 END step FROM providers")
@@ -70,9 +91,9 @@ def _(m: Model) -> DataFrame:
     return m.providers().select("provider_id", T.waist_step(F.col("age")).alias("step"))
 
 
-@query("x12_letter_bucket", "SELECT v, CASE WHEN v = '' THEN NULL WHEN v >= 'H' THEN 5 WHEN v >= 'G' THEN 4 WHEN v >= 'E' THEN 3 WHEN v >= 'C' THEN 2 ELSE 1 END step FROM (VALUES ('A'), ('C'), ('E'), ('G'), ('H'), ('')) t(v)")
+@query("x12_letter_bucket", "SELECT provider_id, v, CASE WHEN v = '' THEN NULL WHEN v >= 'H' THEN 5 WHEN v >= 'G' THEN 4 WHEN v >= 'E' THEN 3 WHEN v >= 'C' THEN 2 ELSE 1 END step " + _from(_LETTERS))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["A", "C", "E", "G", "H", ""]).select("v", T.letter_step(F.col("v")).alias("step"))
+    return _formed(m, _LETTERS).select("provider_id", "v", T.letter_step(F.col("v")).alias("step"))
 
 
 @query("x13_levels", "SELECT member_id, CAST((n >= 1)::INT + (n >= 5)::INT + (n >= 10)::INT + (n >= 20)::INT + (n >= 35)::INT + (n >= 50)::INT + (n >= 75)::INT + (n >= 100)::INT + (n >= 150)::INT AS INT) AS level FROM (SELECT member_id, least(count(*), 199) n FROM reviews WHERE member_id IS NOT NULL GROUP BY 1)")
@@ -123,9 +144,9 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", T.domain(F.col("url")).alias("domain"))
 
 
-@query("x24_person_name", "SELECT v, trim(regexp_replace(regexp_replace(v, '[(（][^)）]*[)）]', '', 'g'), '[\\s　]+', ' ', 'g')) AS name FROM (VALUES ('Ann  Lee (new)'), ('山　田'), (' Bo ')) t(v)")
+@query("x24_person_name", "SELECT provider_id, v, trim(regexp_replace(regexp_replace(v, '[(（][^)）]*[)）]', '', 'g'), '[\\s　]+', ' ', 'g')) AS name " + _from(_PEOPLE))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["Ann  Lee (new)", "山　田", " Bo "]).select("v", T.person_name(F.col("v")).alias("name"))
+    return _formed(m, _PEOPLE).select("provider_id", "v", T.person_name(F.col("v")).alias("name"))
 
 
 @query("x30_has_ascii_letter", "SELECT doc_id, regexp_matches(text, '[a-zA-Z]') has FROM documents")
@@ -133,14 +154,14 @@ def _(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", F.col("text").rlike("[a-zA-Z]").alias("has"))
 
 
-@query("x31_price_and_minutes", "SELECT v, TRY_CAST(replace(nullif(regexp_extract(v, '([0-9,]+)\\s*円', 1), ''), ',', '') AS INT) price, TRY_CAST(nullif(regexp_extract(v, '([0-9]+)\\s*分', 1), '') AS INT) AS minutes FROM (VALUES ('16,000円/70分'), ('90 分'), ('free')) t(v)")
+@query("x31_price_and_minutes", "SELECT provider_id, v, TRY_CAST(replace(nullif(regexp_extract(v, '([0-9,]+)\\s*円', 1), ''), ',', '') AS INT) price, TRY_CAST(nullif(regexp_extract(v, '([0-9]+)\\s*分', 1), '') AS INT) AS minutes " + _from(_PRICES))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["16,000円/70分", "90 分", "free"]).select("v", T.price(F.col("v")).alias("price"), T.minutes(F.col("v")).alias("minutes"))
+    return _formed(m, _PRICES).select("provider_id", "v", T.price(F.col("v")).alias("price"), T.minutes(F.col("v")).alias("minutes"))
 
 
-@query("x33_station_keyword", "SELECT v, regexp_replace(split_part(regexp_replace(v, '[(（][^)）]*[)）]', '', 'g'), '・', 1), '駅$', '') keyword FROM (VALUES ('恵比寿駅'), ('千葉駅・栄町'), ('東京駅（八重洲・丸の内）')) t(v)")
+@query("x33_station_keyword", "SELECT provider_id, v, regexp_replace(split_part(regexp_replace(v, '[(（][^)）]*[)）]', '', 'g'), '・', 1), '駅$', '') keyword " + _from(_STATIONS))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["恵比寿駅", "千葉駅・栄町", "東京駅（八重洲・丸の内）"]).select("v", T.station_keyword(F.col("v")).alias("keyword"))
+    return _formed(m, _STATIONS).select("provider_id", "v", T.station_keyword(F.col("v")).alias("keyword"))
 
 
 @query("x35_slug_from_path", "SELECT page_id, regexp_replace(list_extract(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/'), -1), '\\.html$', '') slug FROM pages")
@@ -149,10 +170,9 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.html$", "").alias("slug"))
 
 
-@query("x37_split_filter", "SELECT v, array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), '|') parts FROM (VALUES ('a, b,,c'), (' ,'), ('d')) t(v)")
+@query("x37_split_filter", "SELECT provider_id, v, array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), '|') parts " + _from(_LISTS))
 def _(m: Model) -> DataFrame:
-    parts = F.filter(F.transform(F.split("v", ","), lambda x: F.trim(x)), lambda x: x != "")
-    return _values(m, ["a, b,,c", " ,", "d"]).select("v", F.array_join(parts, "|").alias("parts"))
+    return _formed(m, _LISTS).select("provider_id", "v", F.array_join(F.filter(F.transform(F.split("v", ","), lambda x: F.trim(x)), lambda x: x != ""), "|").alias("parts"))
 
 
 @query("x38_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events")
@@ -170,9 +190,9 @@ def _(m: Model) -> DataFrame:
     return m.reviews().select("review_id", recency(F.col("created_at"), AS_OF).alias("recency"))
 
 
-@query("x42_date_parse", "SELECT v, CAST(TRY_STRPTIME(replace(trim(v), '/', '-'), '%Y-%m-%d') AS DATE) AS day FROM (VALUES ('2024/03/05'), ('2024-12-31'), ('soon')) t(v)")
+@query("x42_date_parse", "SELECT provider_id, v, CAST(TRY_STRPTIME(replace(trim(v), '/', '-'), '%Y-%m-%d') AS DATE) AS day " + _from(_DAYS))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["2024/03/05", "2024-12-31", "soon"]).select("v", T.day_of(F.col("v")).alias("day"))
+    return _formed(m, _DAYS).select("provider_id", "v", T.day_of(F.col("v")).alias("day"))
 
 
 @query("x43_earliest_date", "SELECT provider_id, min(created_at) earliest FROM reviews GROUP BY 1")
@@ -197,15 +217,15 @@ def _(m: Model) -> DataFrame:
     return m.reviews().agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 500.0)).cast("bigint").alias("files"))
 
 
-@query("x54_three_sizes", "SELECT v, TRY_CAST(nullif(regexp_extract(v, p, 1), '') AS INT) a, nullif(regexp_extract(v, p, 2), '') letter, TRY_CAST(nullif(regexp_extract(v, p, 3), '') AS INT) b, TRY_CAST(nullif(regexp_extract(v, p, 4), '') AS INT) c FROM (SELECT v, '([0-9]{2,3})\\s*(?:\\(([A-Z])\\))?\\s*-\\s*([0-9]{2,3})\\s*-\\s*([0-9]{2,3})' p FROM (VALUES ('82(D)-57-84'), ('85-58-86'), ('none')) t(v))")
+@query("x54_three_sizes", "SELECT provider_id, v, CASE WHEN provider_id % 3 < 2 THEN 70 + size END a, CASE WHEN provider_id % 3 = 0 THEN substr('ABCDEFG', CAST(1 + size % 7 AS INT), 1) END letter, CASE WHEN provider_id % 3 < 2 THEN 94 - size END b, CASE WHEN provider_id % 3 < 2 THEN 72 + size END c " + _from(_SIZES))
 def _(m: Model) -> DataFrame:
     a, letter, b, c = T.three_sizes(F.col("v"))
-    return _values(m, ["82(D)-57-84", "85-58-86", "none"]).select("v", a.alias("a"), letter.alias("letter"), b.alias("b"), c.alias("c"))
+    return _formed(m, _SIZES).select("provider_id", "v", a.alias("a"), letter.alias("letter"), b.alias("b"), c.alias("c"))
 
 
-@query("x55_media_type", "SELECT v, CASE lower(regexp_extract(v, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END kind FROM (VALUES ('/a.PNG'), ('/b.jpg?x=1'), ('/c')) t(v)")
+@query("x55_media_type", "SELECT provider_id, v, CASE lower(regexp_extract(v, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END kind " + _from(_FILES))
 def _(m: Model) -> DataFrame:
-    return _values(m, ["/a.PNG", "/b.jpg?x=1", "/c"]).select("v", T.media_type(F.col("v")).alias("kind"))
+    return _formed(m, _FILES).select("provider_id", "v", T.media_type(F.col("v")).alias("kind"))
 
 
 @query("x56_forall", "SELECT region_id, bool_and(a.slug LIKE '%' || lower(r.name) || '%') all_named FROM areas a JOIN regions r USING (region_id) GROUP BY 1")
