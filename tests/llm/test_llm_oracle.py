@@ -17,7 +17,7 @@ def test_same_rows_as_sql(spark, name):
     names = sorted(want.columns)
     assert sorted(got.columns) == names
     place = [want.columns.index(c) for c in names]
-    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(tuple(r[i] for i in place) for r in want.fetchall())
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in place) for r in want.fetchall()), key=repr)
 
 
 def test_every_operator_is_registered_once():
