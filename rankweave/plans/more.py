@@ -27,6 +27,12 @@ _TITLES = "CASE provider_id % 4 WHEN 0 THEN concat('Home | ', split_part(name, '
 _HALF = "concat(translate(concat('', provider_id), '0123456789', 'ｱｲｳｴｵｶｷｸｹｺ'), 'ｶﾞｰﾊﾟ', brand)"
 _PARENTS = "CASE provider_id % 3 WHEN 0 THEN concat(brand, '・', name) WHEN 1 THEN concat(brand, '（', name, '）') ELSE '広島・福山' END"
 _SIDES = "CASE provider_id % 4 WHEN 0 THEN concat('東', substr(name, 1, 3), '駅') WHEN 1 THEN concat(substr(name, 1, 3), '駅') WHEN 2 THEN concat('西', name, '口') ELSE concat('新', size, '口') END"
+_TAILS = "CASE provider_id % 4 WHEN 0 THEN concat(brand, '(', age, ')') WHEN 1 THEN concat(brand, '【NEW】today') WHEN 2 THEN concat(brand, ' 10:00-18:00') ELSE concat(brand, 'さん') END"
+_SIGNS = "CASE provider_id % 3 WHEN 0 THEN concat('【new】', name, ' 東京店') WHEN 1 THEN concat('★', name, '★') ELSE concat('【', brand, '】') END"
+_BRACKETS = "CASE provider_id % 3 WHEN 0 THEN concat(name, '（ローズ）') WHEN 1 THEN concat(name, '(リリー)') ELSE name END"
+_HOURS = "CASE provider_id % 3 WHEN 0 THEN concat(10 + size % 10, ':00~24:00') WHEN 1 THEN concat('12:00〜翌', size % 10, ':30 (last 4:00)') ELSE name END"
+_REPLIES = """CASE provider_id % 3 WHEN 0 THEN concat('ok ```json', chr(10), '{"n": ', size, '}', chr(10), '```') WHEN 1 THEN concat('so {"n": ', size, '} yes') ELSE name END"""
+_SPECS = "CASE provider_id % 4 WHEN 0 THEN concat(age, '歳 T', 140 + size) WHEN 1 THEN concat('AGE ', age, ' ', 140 + size, 'cm') WHEN 2 THEN concat('身長 ', 140 + size) ELSE '-' END"
 _READINGS = "CASE provider_id % 3 WHEN 0 THEN concat(brand, 'x') WHEN 1 THEN concat(brand, ' ', size) ELSE 'none' END"
 
 
@@ -180,14 +186,14 @@ def _(m: Model) -> DataFrame:
     return m.reviews().select("review_id", D.effective_tier(tier, F.col("created_at"), F.expr("timestamp '2000-01-01'")).alias("tier"))
 
 
-@query("x19_clean_name", "SELECT * FROM (VALUES ('あい(20)', 'あい'), ('Mei【NEW】today', 'Mei'), ('りん 10:00-18:00', 'りん'), ('ゆいさん', 'ゆい')) t(v, name)")
+@query("x19_clean_name", f"SELECT provider_id, {_TAILS} v, brand AS name FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["あい(20)", "Mei【NEW】today", "りん 10:00-18:00", "ゆいさん"]).select("v", D.clean_extracted_name(F.col("v")).alias("name"))
+    return _formed(m, _TAILS).select("provider_id", "v", D.clean_extracted_name(F.col("v")).alias("name"))
 
 
-@query("x25_display_name", "SELECT * FROM (VALUES ('【new】Rose 東京店', 'Rose'), ('★Lily★', 'Lily'), ('【x】', '【x】')) t(v, name)")
+@query("x25_display_name", f"SELECT provider_id, {_SIGNS} v, CASE WHEN provider_id % 3 < 2 THEN name ELSE concat('【', brand, '】') END AS name FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["【new】Rose 東京店", "★Lily★", "【x】"]).select("v", D.display_name(F.col("v"), ["東京店", "大阪店"]).alias("name"))
+    return _formed(m, _SIGNS).select("provider_id", "v", D.display_name(F.col("v"), ["東京店", "大阪店"]).alias("name"))
 
 
 @query("x26_core_name", f"SELECT provider_id, {_SHOPS} v, name FROM providers")
@@ -195,9 +201,9 @@ def _(m: Model) -> DataFrame:
     return _formed(m, _SHOPS).select("provider_id", "v", D.core_name(F.col("v"), ["東京", "店"]).alias("name"))
 
 
-@query("x27_bracketed_reading", "SELECT * FROM (VALUES ('Rose（ローズ）', 'ローズ'), ('Lily(リリー)', 'リリー'), ('Iris', NULL)) t(v, reading)")
+@query("x27_bracketed_reading", f"SELECT provider_id, {_BRACKETS} v, CASE provider_id % 3 WHEN 0 THEN 'ローズ' WHEN 1 THEN 'リリー' END reading FROM providers")
 def _(m: Model) -> DataFrame:
-    return _values(m, ["Rose（ローズ）", "Lily(リリー)", "Iris"]).select("v", D.bracketed_reading(F.col("v")).alias("reading"))
+    return _formed(m, _BRACKETS).select("provider_id", "v", D.bracketed_reading(F.col("v")).alias("reading"))
 
 
 @query("x28_titled_reading", f"SELECT provider_id, {_TITLES} v, CASE WHEN provider_id % 4 < 3 THEN split_part(name, ' ', 2) END reading, CASE provider_id % 4 WHEN 0 THEN 'bar' WHEN 1 THEN 'dash' WHEN 2 THEN 'first' END pattern FROM providers")
@@ -211,10 +217,10 @@ def _(m: Model) -> DataFrame:
     return _formed(m, _HALF).select("provider_id", "v", D.full_width_kana(F.col("v")).alias("kana"))
 
 
-@query("x32_opening_hours", "SELECT * FROM (VALUES ('10:00~24:00', '10:00', '24:00'), ('12:00〜翌5:00 (last 4:00)', '12:00', '5:00'), ('?', NULL, NULL)) t(v, opens, closes)")
+@query("x32_opening_hours", f"SELECT provider_id, {_HOURS} v, CASE provider_id % 3 WHEN 0 THEN concat(10 + size % 10, ':00') WHEN 1 THEN '12:00' END opens, CASE provider_id % 3 WHEN 0 THEN '24:00' WHEN 1 THEN concat(size % 10, ':30') END closes FROM providers")
 def _(m: Model) -> DataFrame:
     opens, closes = D.opening_hours(F.col("v"))
-    return _values(m, ["10:00~24:00", "12:00〜翌5:00 (last 4:00)", "?"]).select("v", opens.alias("opens"), closes.alias("closes"))
+    return _formed(m, _HOURS).select("provider_id", "v", opens.alias("opens"), closes.alias("closes"))
 
 
 @query("x34_parent_keyword", f"SELECT provider_id, {_PARENTS} v, CASE provider_id % 3 WHEN 0 THEN CASE WHEN provider_id % 2 = 0 THEN brand ELSE concat(brand, '・', name) END WHEN 1 THEN name ELSE '広島市' END keyword FROM providers")
@@ -229,10 +235,9 @@ def _(m: Model) -> DataFrame:
     return _formed(m, _SIDES).select("provider_id", "v", D.direction_station(F.col("v")).alias("side"))
 
 
-@query("x39_json_repair", "SELECT * FROM (VALUES (1, 3), (2, 4), (3, NULL)) t(id, n)")
+@query("x39_json_repair", f"SELECT provider_id, {_REPLIES} v, CASE WHEN provider_id % 3 < 2 THEN size END n FROM providers")
 def _(m: Model) -> DataFrame:
-    rows = _values(m, [(1, 'ok ```json\n{"n": 3}\n```'), (2, 'so {"n": 4} yes'), (3, "none")], "id int, v string")
-    return rows.select("id", D.repaired_json(F.col("v"), "n int")["n"].alias("n"))
+    return _formed(m, _REPLIES).select("provider_id", "v", D.repaired_json(F.col("v"), "n int")["n"].alias("n"))
 
 
 @query("x44_host_similarity")
@@ -252,10 +257,10 @@ def _(m: Model) -> DataFrame:
     return m.providers().select(named["source"].alias("source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("x53_attributes", "SELECT * FROM (VALUES ('22歳 T158', 22, 158), ('AGE 30 165cm', 30, 165), ('身長 150', NULL, 150), ('-', NULL, NULL)) t(v, age, height)")
+@query("x53_attributes", f"SELECT provider_id, {_SPECS} v, CASE WHEN provider_id % 4 < 2 THEN age END age, CASE WHEN provider_id % 4 < 3 THEN 140 + size END height FROM providers")
 def _(m: Model) -> DataFrame:
     found = D.attributes(F.col("v"))
-    return _values(m, ["22歳 T158", "AGE 30 165cm", "身長 150", "-"]).select("v", found["age"].alias("age"), found["height"].alias("height"))
+    return _formed(m, _SPECS).select("provider_id", "v", found["age"].alias("age"), found["height"].alias("height"))
 
 
 @query("r09_fingerprint", ", s AS (SELECT page_id, (contains(url, 'blog.')::INT * 2.0 + contains(html, '<article')::INT * 1.5) / 3.5 blog, (contains(url, 'www.')::INT * 2.0 + contains(html, 'price')::INT * 1.0) / 3.0 shop FROM pages) SELECT page_id, CASE WHEN blog >= shop THEN 'blog' ELSE 'shop' END \"system\", CAST(round(greatest(blog, shop), 6) AS DOUBLE) score FROM s WHERE round(greatest(blog, shop), 6) >= 0.5")

@@ -29,13 +29,11 @@ _STATIONS = "CASE provider_id % 3 WHEN 0 THEN concat(name, '駅') WHEN 1 THEN co
 _LISTS = "CASE provider_id % 3 WHEN 0 THEN concat(name, ', ', brand, ',,', size) WHEN 1 THEN concat(' ,', ',') ELSE brand END"
 _DAYS = "CASE provider_id % 4 WHEN 0 THEN concat('20', 10 + size % 15, '/0', 1 + size % 9, '/', 10 + size % 19) WHEN 1 THEN concat('20', 10 + size % 15, '-0', 1 + size % 9, '-', 10 + size % 19) WHEN 2 THEN concat('2024-1', size % 10, '-15') ELSE name END"
 _SIZES = "CASE provider_id % 3 WHEN 0 THEN concat(70 + size, '(', substr('ABCDEFG', CAST(1 + size % 7 AS INT), 1), ')-', 94 - size, '-', 72 + size) WHEN 1 THEN concat(70 + size, '-', 94 - size, '-', 72 + size) ELSE name END"
+_AGED = "CASE provider_id % 3 WHEN 0 THEN concat(name, '(', age, ')') WHEN 1 THEN concat(name, '（', age, '） ') ELSE name END"
+_LETTERED = "CASE provider_id % 3 WHEN 0 THEN concat(70 + size, '(D)') WHEN 1 THEN concat('', size) ELSE name END"
 _FILES = "CASE provider_id % 4 WHEN 0 THEN concat('/', provider_id, '.PNG') WHEN 1 THEN concat('/', provider_id, '.jpg?x=', size) WHEN 2 THEN concat('/', provider_id) ELSE concat('/', provider_id, '.Jpg#a') END"
 
 
-def _values(m: Model, rows: list, name: str = "v") -> DataFrame:
-    return m.spark.createDataFrame([(r,) for r in rows], f"{name} string")
-
-
 @query("x01_default", "SELECT venue_id, coalesce(nullif(CASE WHEN venue_id % 3 = 0 THEN '' ELSE name END, ''), 'none') shown FROM venues")
 def _(m: Model) -> DataFrame:
     given = F.when(F.col("venue_id") % 3 == 0, "").otherwise(F.col("name"))
@@ -117,16 +115,16 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("short"))
 
 
-@query("x18_name_and_age", "SELECT v, trim(regexp_replace(v, '[(（][0-9]{1,2}[)）]\\s*$', '')) AS name, coalesce(TRY_CAST(nullif(regexp_extract(v, '[(（]([0-9]{1,2})[)）]\\s*$', 1), '') AS INT), 0) age FROM (VALUES ('あやの(19)'), ('Mei（22）'), ('Rin')) t(v)")
+@query("x18_name_and_age", "SELECT provider_id, v, trim(regexp_replace(v, '[(（][0-9]{1,2}[)）]\\s*$', '')) AS name, coalesce(TRY_CAST(nullif(regexp_extract(v, '[(（]([0-9]{1,2})[)）]\\s*$', 1), '') AS INT), 0) age " + _from(_AGED).replace("SELECT *", "SELECT provider_id"))
 def _(m: Model) -> DataFrame:
     name, age = T.name_and_age(F.col("v"))
-    return _values(m, ["あやの(19)", "Mei（22）", "Rin"]).select("v", name.alias("name"), age.alias("age"))
+    return _formed(m, _AGED).select("provider_id", "v", name.alias("name"), age.alias("age"))
 
 
-@query("x20_compound_split", "SELECT v, TRY_CAST(nullif(regexp_extract(v, '^([0-9]+)', 1), '') AS INT) number, nullif(regexp_extract(v, '\\(([A-Z])\\)', 1), '') letter FROM (VALUES ('83(D)'), ('90'), ('x')) t(v)")
+@query("x20_compound_split", "SELECT provider_id, v, TRY_CAST(nullif(regexp_extract(v, '^([0-9]+)', 1), '') AS INT) number, nullif(regexp_extract(v, '\\(([A-Z])\\)', 1), '') letter " + _from(_LETTERED))
 def _(m: Model) -> DataFrame:
     number, letter = T.number_and_letter(F.col("v"))
-    return _values(m, ["83(D)", "90", "x"]).select("v", number.alias("number"), letter.alias("letter"))
+    return _formed(m, _LETTERED).select("provider_id", "v", number.alias("number"), letter.alias("letter"))
 
 
 @query("x21_normalize_url", "SELECT page_id, 'https://' || regexp_replace(split_part(split_part(u, '#', 1), '?', 1), '/+$', '') || coalesce(nullif(regexp_extract(u, '(\\?[^#]*)', 1), ''), '') normalized FROM (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\\.', '') u FROM pages)")
