@@ -46,10 +46,14 @@ def _(m: Model) -> DataFrame:
 
 @query("s08_page_cache", "SELECT split_part(url, ':', 1) category, CAST(page_id AS VARCHAR) AS key, html FROM pages")
 def _(m: Model) -> DataFrame:
+    """Compressed pages in a folder for each category, written and scanned again.
+
+    ``sinks.write_gzip_pages`` and ``read_gzip_pages`` keep a file for each page, for other programs' caches;
+    for whole tables so many files take far too long to list and open.
+    """
     path = _place(m, "pages")
-    pages = m.table("pages").select(F.split_part("url", F.lit(":"), F.lit(1)).alias("category"), "page_id", "html")
-    sinks.write_gzip_pages(pages, path, "category", "page_id", "html")
-    return sinks.read_gzip_pages(m.spark, path)
+    sinks.write_page_cache(m.table("pages").select(F.split_part("url", F.lit(":"), F.lit(1)).alias("category"), F.col("page_id").cast("string").alias("key"), "html"), path)
+    return m.spark.read.parquet(path).select("category", "key", "html")
 
 
 @query("s09_sqlite", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000")
