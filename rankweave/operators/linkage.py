@@ -61,19 +61,23 @@ def three_pass_links(left: DataFrame, right: DataFrame, left_id: str, right_id:
 def link_contained(left: DataFrame, right: DataFrame, name: str, left_id: str, right_id: str, grams: int = 2) -> DataFrame:
     """(left_id, right_id) where either name contains the other; names of ``grams`` characters or more.
 
-    A contained name's first characters occur in the other, so pairs meet on
-    those instead of in a product.
+    All runs of ``grams`` characters of a contained name occur in the other, so
+    pairs meet on the contained name's rarest one instead of in a product.
     """
-    def parts(df: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+
+    def runs(df: DataFrame, key: str, label: str) -> DataFrame:
         rows = df.where(F.length(name) >= grams).select(F.col(key).alias(label), F.col(name).alias(f"{label}_name"))
         n = F.col(f"{label}_name")
-        first = rows.withColumn("gram", F.substring(n, 1, grams))
-        every = rows.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(n) - (grams - 1)), lambda i: F.substring(n, i, grams)))))
-        return first, every
+        return rows.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(n) - (grams - 1)), lambda i: F.substring(n, i, grams)))))
+
+    def rarest(every: DataFrame, label: str, often: DataFrame) -> DataFrame:
+        times = F.coalesce("times", F.lit(0))  # a name with a run that the other side lacks is in none of its names, and meets none
+        return every.join(often, "gram", "left").groupBy(label, f"{label}_name").agg(F.min_by("gram", F.struct(times, "gram")).alias("gram"))
 
-    (a_first, a_all), (b_first, b_all) = parts(left, left_id, "a"), parts(right, right_id, "b")
-    inside = a_first.join(b_all, "gram").where(F.contains("b_name", "a_name")).select("a", "b")
-    around = b_first.join(a_all, "gram").where(F.contains("a_name", "b_name")).select("a", "b")
+    a, b = runs(left, left_id, "a"), runs(right, right_id, "b")
+    often = lambda df: df.groupBy("gram").agg(F.count("*").alias("times"))
+    inside = rarest(a, "a", often(b)).join(b, "gram").where(F.contains("b_name", "a_name")).select("a", "b")
+    around = rarest(b, "b", often(a)).join(a, "gram").where(F.contains("a_name", "b_name")).select("a", "b")
     return inside.union(around).distinct().select(F.col("a").alias(left_id), F.col("b").alias(f"{right_id}_linked"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators.shared import materialize
+
 
 def js_round(c: Column) -> Column:
     """Round half up towards positive infinity."""
@@ -126,21 +128,24 @@ def recommend(reviews: DataFrame, member: int, limit: int = 20, neighbours: int
     Similarity: 0.6 of 1 - MAE/50 over shared providers plus 0.4 for the same
     dominant type; 0.3 of the latter without shared ones; over 0.15 to count.
     """
-    known = reviews.where("member_id is not null")
-    last = F.max_by("score", F.struct("created_at", "review_id"))
-    mine = known.where(F.col("member_id") == member).groupBy("provider_id").agg(F.coalesce(last, F.lit(0)).alias("my_score"))
-    enough = known.groupBy("member_id").agg(F.count("*").alias("n")).where("n >= 2")
-    others = known.where(F.col("member_id") != member).join(enough.select("member_id"), "member_id", "left_semi")
-    theirs = others.groupBy("member_id", "provider_id").agg(F.coalesce(last, F.lit(0)).alias("score"))
-    shared = theirs.join(mine, "provider_id").groupBy("member_id").agg(F.avg(F.abs(F.col("score") - F.col("my_score"))).alias("mae"))
-    types = dominant(known, "member_id", "type_id")
+    liked = F.when(F.col("score") >= 60, F.col("score"))
+    counted = reviews.where("member_id is not null").groupBy("member_id", "provider_id", "type_id").agg(
+        F.count("*").alias("n"), F.max(F.struct("created_at", "review_id", "score")).alias("last"), F.sum(liked).alias("liked"), F.count(liked).alias("liked_n")
+    )
+    known = materialize(counted, "member-scores")  # all that follows comes from these sums, so reviews are read and dealt once
+    mine = known.where(F.col("member_id") == member).groupBy("provider_id").agg(F.coalesce(F.max("last")["score"], F.lit(0)).alias("my_score"))
+    met = known.where(F.col("member_id") != member).join(mine, "provider_id").groupBy("member_id", "provider_id", "my_score").agg(F.coalesce(F.max("last")["score"], F.lit(0)).alias("score"))
+    shared = met.groupBy("member_id").agg(F.avg(F.abs(F.col("score") - F.col("my_score"))).alias("mae"))
+    by_type = known.groupBy("member_id", "type_id").agg(F.sum("n").alias("n"))
+    types = by_type.groupBy("member_id").agg(F.sum("n").alias("total"), F.max_by("type_id", F.when(F.col("type_id").isNotNull(), F.struct("n", -F.col("type_id")))).alias("type_id"))
     own = types.where(F.col("member_id") == member).select(F.col("type_id").alias("own_type"))
     overlap = F.coalesce((F.col("type_id") == F.col("own_type")).cast("int"), F.lit(0))
-    people = others.select("member_id").distinct().join(shared, "member_id", "left").join(types, "member_id", "left").join(F.broadcast(own), F.lit(True), "left")  # one row
+    others = types.where((F.col("member_id") != member) & (F.col("total") >= 2))
+    people = others.join(shared, "member_id", "left").join(F.broadcast(own), F.lit(True), "left")  # one row
     sim = F.when(F.col("mae").isNotNull(), 0.6 * F.greatest(F.lit(0.0), 1 - F.col("mae") / 50) + 0.4 * overlap).otherwise(0.3 * overlap)
     near = people.withColumn("sim", sim.cast("decimal(12,6)")).where("sim > 0.15").orderBy(F.desc("sim"), "member_id").limit(neighbours).select("member_id", "sim")
-    fresh = others.where("score >= 60").join(F.broadcast(near), "member_id").join(mine, "provider_id", "left_anti")
-    agg = fresh.groupBy("provider_id").agg(F.sum(F.col("score") * F.col("sim")).alias("up"), F.sum("sim").alias("down"), F.count("*").alias("user_count"))
+    fresh = known.where("liked_n > 0").join(F.broadcast(near), "member_id").join(mine, "provider_id", "left_anti")
+    agg = fresh.groupBy("provider_id").agg(F.sum(F.col("liked") * F.col("sim")).alias("up"), F.sum(F.col("liked_n") * F.col("sim")).alias("down"), F.sum("liked_n").alias("user_count"))
     scored = agg.select("provider_id", js_round((F.col("up") / F.col("down")).cast("double")).alias("predicted"), "user_count")
     return scored.orderBy(F.desc(F.round(F.col("predicted") * F.log2(F.col("user_count") + 1), 6)), "provider_id").limit(limit)
 
