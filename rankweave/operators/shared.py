@@ -24,10 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: computed once, its lineage cut, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it again: computed once, its lineage cut, safe from lost executors.
+
+    The table goes when the driver ends, or by ``discard`` before.
+    """
+    session = df.sparkSession
+    path = f"{shared_dir(session)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
