@@ -129,10 +129,13 @@ def _(m: Model) -> DataFrame:
     return running_total(pages, ["venue_id"], "pages")
 
 
-@query("w01_running_quantity", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(l_quantity) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) running, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) number FROM lineitem")
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
+
+@query("w01_running_quantity", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(l_quantity) OVER w running, row_number() OVER w number FROM lineitem WINDOW w AS (ORDER BY {_LINE} ROWS UNBOUNDED PRECEDING)")
 def _(m: Model) -> DataFrame:
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return running_total(m.table("lineitem").select(*order, "l_quantity"), order, "l_quantity", number="number").drop("l_quantity")
+    order = _LINE.split(", ")
+    return running_total(m.table("lineitem").select(*order), order, "l_quantity", number="number").drop("l_quantity")
 
 
 @query("w07_global_rank", "SELECT provider_id, n, row_number() OVER (ORDER BY mean DESC NULLS LAST, n DESC, provider_id) AS rank FROM (SELECT provider_id, avg(score) mean, count(*) n FROM approved GROUP BY 1)")
