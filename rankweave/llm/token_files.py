@@ -42,9 +42,10 @@ from rankweave.llm.token_counts import CACHED_CHARS, ODD_SPACE, _library
 from rankweave.operators.shared import shared_dir
 
 #: Pieces and stems in each of the two generations of a worker's cache, about 150 bytes each.
-CACHE_ENTRIES = 500_000
-#: Letters that every Unicode version knows, with a point or comma after them.
-STEM = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,])")
+CACHE_ENTRIES = 600_000
+#: Words of letters that every Unicode version knows, and such with a point or comma after them.
+LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
+WORD, STEM = re.compile(LETTERS), re.compile(f"({LETTERS})([.,])")
 #: Bytes of ids that a task hands back at a time.
 HANDED = 4_000_000
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_sequences long"
@@ -56,6 +57,15 @@ def id_type(path: str) -> np.dtype:
     return np.dtype("<u2" if _library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """Whether each id ends a word."""
+    vocabulary = _library(path).get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return ends
+
+
 class Encoder:
     """Ids of texts as bytes, with pieces and stems remembered in two generations.
 
@@ -75,6 +85,15 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in _library(self.path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text: a word ends with the only id of it that ends words."""
+        ids = np.array(_library(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, id_type(self.path)) if words else np.empty(0, np.int64)
+        stops = np.flatnonzero(_word_ends(self.path)[ids]) + 1
+        if len(stops) != len(words):
+            return self._encoded(words)
+        flat, cuts = ids.tobytes(), (stops * ids.itemsize).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _recall(self, names: set[str]) -> set[str]:
         """Take names over from the old generation; what neither knows is left."""
         new = names - self.young.keys()
@@ -92,8 +111,11 @@ class Encoder:
             body, tail = cut.groups() if cut else (p, "")
             parts[p] = body.lower() if body.isascii() else body, tail
         missing = list(self._recall({stem for stem, _ in parts.values()}))
+        letters = [stem for stem in missing if WORD.fullmatch(stem)]
+        others = [stem for stem in missing if not WORD.fullmatch(stem)]
         known = self.young
-        known.update(zip(missing, self._encoded(missing)))
+        known.update(zip(letters, self._encoded_words(letters)))
+        known.update(zip(others, self._encoded(others)))
         for p, (stem, tail) in parts.items():
             known[p] = known[stem] + self.tails[tail] if tail else known[stem]
         return parts.keys() | set(missing)
@@ -264,9 +286,13 @@ def read_documents(spark: SparkSession, manifest: DataFrame, key_type: str = "lo
                     at = 0
                     while at < len(sizes):
                         held = max(1, int(np.searchsorted(np.cumsum(sizes[at:]) * 4, HANDED)))
-                        some = [ids(s, s + n).astype("<u4").tobytes() for s, n in zip(starts[at : at + held].tolist(), sizes[at : at + held].tolist())]
-                        part = docs.slice(at, held)
-                        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(starts[at : at + held] + row["first_id"]), part.column("n_tokens"), pa.array(some, pa.binary())], names=["id", "start", "n_tokens", "ids"])
-                        at += held
+                        first, last = int(starts[at]), at + min(held, len(sizes) - at)
+                        # documents follow each other, so that one array holds the ids of all of them
+                        cuts = np.append(starts[at:last] - first, starts[last - 1] + sizes[last - 1] - first).astype(np.int32) * 4
+                        flat = ids(first, first + int(cuts[-1]) // 4).astype("<u4")
+                        values = pa.BinaryArray.from_buffers(pa.binary(), last - at, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
+                        part = docs.slice(at, last - at)
+                        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(starts[at:last] + row["first_id"]), part.column("n_tokens"), values], names=["id", "start", "n_tokens", "ids"])
+                        at = last
 
     return files.mapInArrow(read, f"id {key_type}, start long, n_tokens long, ids binary")
