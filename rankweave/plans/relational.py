@@ -179,9 +179,10 @@ def _(m: Model) -> DataFrame:
 
 @query("j08_not_in", "SELECT member_id FROM members WHERE member_id NOT IN (SELECT member_id FROM reviews WHERE member_id IS NOT NULL)")
 def _(m: Model) -> DataFrame:
-    m.members().createOrReplaceTempView("rw_members")
-    m.reviews().createOrReplaceTempView("rw_reviews")
-    return m.spark.sql("SELECT member_id FROM rw_members WHERE member_id NOT IN (SELECT member_id FROM rw_reviews WHERE member_id IS NOT NULL)")
+    # NOT IN itself is a join that broadcasts all reviews; without nulls on the right it is an anti join,
+    # but for a null on the left, which is only outside an empty list.
+    found = m.reviews().where("member_id is not null").select("member_id").distinct()
+    return m.members().join(found, "member_id", "left_anti").where(F.col("member_id").isNotNull() | ~found.limit(1).exists()).select("member_id")
 
 
 @query("j09_left_join_zero", "SELECT a.area_id FROM areas a LEFT JOIN venue_areas va USING (area_id) GROUP BY 1 HAVING count(va.venue_id) < 40")
