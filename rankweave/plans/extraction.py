@@ -39,6 +39,11 @@ def _listed(m: Model) -> DataFrame:
     return m.providers().where("venue_id is not null").withColumn("part", F.expr("provider_id div 1000"))
 
 
+def _spread(m: Model, rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys in as many tasks as shuffles have: adaptive execution would leave rows that are few in bytes, but long to work on, to one or two."""
+    return rows.repartition(int(m.spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def listings(m: Model) -> DataFrame:
     """(venue_id, part, url, html, script): at most a thousand cards a page."""
     pieces = F.array_sort(F.collect_list(F.struct("provider_id", F.expr(_CARD).alias("card"), F.expr(_OBJECT).alias("object"))))
@@ -134,7 +139,7 @@ _NESTED = """concat('<div class="row"><div class="cell"><a href="/item/', provid
 def nested_listings(m: Model) -> DataFrame:
     """(venue_id, part, url, html): cards of nested elements of one name, up to a thousand a page."""
     cells = F.array_sort(F.collect_list(F.struct("provider_id", F.expr(_NESTED).alias("card"))))
-    pages = _listed(m).groupBy("venue_id", "part").agg(cells.alias("p"))
+    pages = _spread(m, _listed(m), "venue_id", "part").groupBy("venue_id", "part").agg(cells.alias("p"))
     page = F.concat(F.lit('<html><body><div><a href="/">top</a></div><div class="list">'), F.array_join("p.card", ""), F.lit("</div></body></html>"))
     return pages.select("venue_id", "part", F.concat(F.lit("https://v"), "venue_id", F.lit(".example/list")).alias("url"), page.alias("html"))
 
@@ -178,7 +183,7 @@ _SAMPLES = "(SELECT count(*) FILTER (provider_id % 5 <> 0) FROM providers WHERE
 
 def _profiles(m: Model) -> tuple[DataFrame, DataFrame]:
     """A page of its own for each provider, and the fields of every second one as known values."""
-    rows = m.providers()
+    rows = _spread(m, m.providers(), "provider_id")
     fields = F.explode(F.create_map(F.lit("name"), "name", F.lit("age"), F.col("age").cast("string"), F.lit("height"), (F.col("size") + 140).cast("string"), F.lit("bust"), (F.col("size") + 70).cast("string"))).alias("field", "value")
     return rows.select("provider_id", F.expr(_PROFILE).alias("html")), rows.where("provider_id % 2 = 0").select("provider_id", fields)
 

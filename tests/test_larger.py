@@ -32,3 +32,21 @@ def test_not_in_with_nulls(spark, monkeypatch, reviewers, want):
     monkeypatch.setattr(Model, "reviews", lambda m: spark.createDataFrame([(r,) for r in reviewers], "member_id long"))
     got = [r.member_id for r in catalog.queries()["j08_not_in"](spark, DATA).collect()]
     assert sorted(got, key=lambda v: (v is not None, v)) == want
+
+
+def test_mined_rules_broadcast_a_row_for_each_field_at_most(spark):
+    assert plan(catalog.queries()["r11_mined_rules"](spark, DATA)).count("BroadcastExchange") <= 1
+
+
+def test_profiles_are_spread(spark):
+    from rankweave.plans.extraction import _profiles
+
+    pages, _ = _profiles(Model(spark, DATA))
+    assert "REPARTITION_BY_NUM" in plan(pages)
+
+
+@pytest.mark.parametrize("name", ["e12_nested_fields", "e17_enclosing_cards"])
+def test_pages_are_read_within_their_rows(spark, name):
+    """All of a page's elements in one row: nothing sorted or joined but what forms the pages."""
+    got = plan(catalog.queries()[name](spark, DATA))
+    assert "Window" not in got and got.count("REPARTITION_BY_NUM") == 1
