@@ -50,3 +50,16 @@ def test_pages_are_read_within_their_rows(spark, name):
     """All of a page's elements in one row: nothing sorted or joined but what forms the pages."""
     got = plan(catalog.queries()[name](spark, DATA))
     assert "Window" not in got and got.count("REPARTITION_BY_NUM") == 1
+
+
+def test_contained_names_meet_by_equality(spark):
+    """300 names that all share their rarest characters: no pair is tried but those that are linked."""
+    from rankweave.operators.linkage import link_contained
+
+    names = [f"{i:03}" for i in range(300)] + ["1", "12", "12", "x", "", None, "0120"]
+    rows = spark.createDataFrame(list(enumerate(names)), "i long, name string")
+    got = link_contained(rows, rows.withColumnRenamed("i", "j"), "name", "i", "j", grams=1)
+    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if a and b and (a in b or b in a)}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert "contains(" not in plan(got).lower()
