@@ -63,3 +63,12 @@ def test_contained_names_meet_by_equality(spark):
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == want
     assert "contains(" not in plan(got).lower()
+
+
+def test_pairs_of_a_name_are_dealt(spark, no_broadcast, monkeypatch):
+    """One name alone still makes work for several tasks, and all of its pairs once."""
+    monkeypatch.setattr(Model, "providers", lambda m: spark.createDataFrame([(i, "same") for i in range(40)] + [(50, "other"), (51, None), (52, None)], "provider_id long, name string"))
+    df = catalog.queries()["j15_self_join"](spark, DATA)
+    assert plan(df).count("REPARTITION_BY_NUM") == 2
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got) == [(i, j) for i in range(40) for j in range(40) if i != j]
