@@ -23,29 +23,34 @@ empty table makes an empty manifest; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import materialize, text_slices
-from rankweave.llm.token_counts import CACHED_CHARS, ODD_SPACE, _library
+from rankweave.llm.token_counts import CACHED_CHARS, _library
 from rankweave.operators.shared import shared_dir
 
-#: Pieces and stems in each of the two generations of a worker's cache, about 150 bytes each.
-CACHE_ENTRIES = 600_000
-#: Words of letters that every Unicode version knows, and such with a point or comma after them.
-LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
-WORD, STEM = re.compile(LETTERS), re.compile(f"({LETTERS})([.,])")
+#: Pieces that a worker remembers, about 40 bytes each.
+CACHE_ENTRIES = 800_000
+#: Words that are encoded as one text.
+WORDS = 50_000
+#: Bytes of text that are encoded at a time.
+SLICE = 20_000_000
+#: Letters that every Unicode version knows, as a class and one by one; signs, but for the apostrophe of "it's".
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+LETTER_LIST = "".join(c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c))
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SIGNED_WORD = f"^[{LETTERS}]+[{re.escape(SIGNS)}]*$"
 #: Bytes of ids that a task hands back at a time.
 HANDED = 4_000_000
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_sequences long"
@@ -66,70 +71,100 @@ def _word_ends(path: str) -> np.ndarray:
     return ends
 
 
+def _stops(values: pa.Array) -> np.ndarray:
+    """Where each value of a large binary array without offset ends."""
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)[1:]
+
+
 class Encoder:
-    """Ids of texts as bytes, with pieces and stems remembered in two generations.
+    """Ids of texts, column by column, with pieces remembered.
 
     White space never belongs to a token of this vocabulary, so a text's ids are those
-    of the pieces between it, in order.  A letter and a point or comma after it never
-    share a token, and the tokenizer lower-cases, so that many pieces have one stem.
-    What the young generation lacks is taken over from the old one; a full young
-    generation becomes the old one.
+    of the pieces between it, in order, and each different piece of a slice is looked up
+    once.  A letter and a sign after it, but for an apostrophe, never share a token, and
+    the tokenizer lower-cases, so that many pieces have one stem.  Stems and pieces of
+    other forms are remembered; a full cache keeps those of the last slice.
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self.code = path, "H" if id_type(path).itemsize == 2 else "I"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails = dict(zip(".,", self._encoded([".", ","]))) | {"": b""}
+        self.path, self.type = path, id_type(path)
+        self.names, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in _library(self.path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def _encoded(self, texts: list[str]) -> pa.Array:
+        found = _library(self.path).encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return pa.array([np.array(e.ids, self.type).tobytes() for e in found], pa.large_binary())
 
-    def _encoded_words(self, words: list[str]) -> list[bytes]:
+    def _encoded_words(self, words: list[str]) -> pa.Array:
         """Ids of words of letters, encoded as one text: a word ends with the only id of it that ends words."""
-        ids = np.array(_library(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, id_type(self.path)) if words else np.empty(0, np.int64)
+        ids = np.array(_library(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
         stops = np.flatnonzero(_word_ends(self.path)[ids]) + 1
         if len(stops) != len(words):
             return self._encoded(words)
-        flat, cuts = ids.tobytes(), (stops * ids.itemsize).tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def _recall(self, names: set[str]) -> set[str]:
-        """Take names over from the old generation; what neither knows is left."""
-        new = names - self.young.keys()
-        found = new & self.old.keys()
-        self.young.update(zip(found, map(self.old.__getitem__, found)))
-        return new - found
-
-    def _learn(self, pieces: set[str]) -> set[str]:
-        """Have the ids of all pieces in the young generation; the new names there."""
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        parts = {}
-        for p in self._recall(pieces):
-            cut = STEM.fullmatch(p) if p[-1] in ".," else None
-            body, tail = cut.groups() if cut else (p, "")
-            parts[p] = body.lower() if body.isascii() else body, tail
-        missing = list(self._recall({stem for stem, _ in parts.values()}))
-        letters = [stem for stem in missing if WORD.fullmatch(stem)]
-        others = [stem for stem in missing if not WORD.fullmatch(stem)]
-        known = self.young
-        known.update(zip(letters, self._encoded_words(letters)))
-        known.update(zip(others, self._encoded(others)))
-        for p, (stem, tail) in parts.items():
-            known[p] = known[stem] + self.tails[tail] if tail else known[stem]
-        return parts.keys() | set(missing)
+        cuts = np.append(0, stops) * ids.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+    def _known(self, stems: pa.Array, others: pa.Array) -> pa.Array:
+        """Ids of different stems and of different other pieces."""
+        names = pa.concat_arrays([stems, others])
+        at = pc.index_in(names, value_set=self.names)
+        lacking = pc.is_null(at)
+        new, n = names.filter(lacking), pc.sum(lacking.slice(0, len(stems))).as_py() or 0
+        words = new.slice(0, n).to_pylist()
+        parts = [self._encoded_words(words[i : i + WORDS]) for i in range(0, n, WORDS)]
+        learned = pa.concat_arrays([*parts, self._encoded(new.slice(n).to_pylist())])
+        # what is new comes after what is known, in order
+        places = pc.if_else(lacking, pc.add(pc.cumulative_sum(lacking.cast(pa.int32())), len(self.ids) - 1), at)
+        out = pa.concat_arrays([self.ids, learned]).take(places)
+        if len(self.ids) + len(new) > CACHE_ENTRIES:
+            self.names, self.ids, new, learned = names.slice(0, 0), out.slice(0, 0), names, out
+        short = pc.less_equal(pc.utf8_length(new), CACHED_CHARS)  # texts without spaces are one piece, and seldom the same twice
+        self.names = pa.concat_arrays([self.names, new.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, learned.filter(short)])
+        return out
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of different pieces."""
+        signed = pc.match_substring_regex(pieces, SIGNED_WORD)
+        words, others = pieces.filter(signed), pieces.filter(pc.invert(signed))
+        stems = pc.ascii_lower(pc.utf8_rtrim(words, characters=SIGNS)).dictionary_encode()
+        tails = pc.utf8_ltrim(words, characters=LETTER_LIST).dictionary_encode()
+        known = self._known(stems.dictionary, others)
+        ends = self._encoded(tails.dictionary.to_pylist())
+        of_words = pc.binary_join_element_wise(known.take(stems.indices), ends.take(tails.indices), pa.scalar(b"", pa.large_binary()))
+        order = np.empty(len(pieces), np.int64)
+        order[np.flatnonzero(signed)] = np.arange(len(words))
+        order[np.flatnonzero(pc.invert(signed))] = np.arange(len(words), len(pieces))
+        return pa.concat_arrays([of_words, known.slice(len(stems.dictionary))]).take(pa.array(order))
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end`` after it, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        pieces = split.flatten().dictionary_encode()
+        stops = np.cumsum(pc.list_value_length(split).to_numpy())
+        # the end follows each text's last piece as a piece of its own
+        codes = np.insert(pieces.indices.to_numpy(), stops, len(pieces.dictionary))
+        found = pa.concat_arrays([self._pieces(pieces.dictionary), pa.array([end], pa.large_binary())]).take(pa.array(codes))
+        ends = _stops(found)[stops + np.arange(len(stops))] // self.type.itemsize
+        flat = np.frombuffer(found.buffers()[2] or b"", self.type, int(ends[-1]) if len(ends) else 0)
+        return flat, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        split = [None if text and ODD_SPACE.search(text) else (text or "").split() for text in texts]
-        new = self._learn(set().union(*filter(None, split)))
-        get = self.young.__getitem__
-        out = [self._encoded([text])[0] if pieces is None else b"".join(map(get, pieces)) for text, pieces in zip(texts, split)]
-        for p in new:
-            if len(p) > CACHED_CHARS:  # texts without spaces are one piece, and seldom the same twice
-                del self.young[p]
-        return out
+        flat, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return [ids.tobytes() for ids in np.split(flat, np.cumsum(sizes)[:-1])] if texts else []
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches cut and joined to about ``SLICE`` bytes: each lookup passes the whole cache once."""
+    held, total = [], 0
+    for rows in text_slices(batches, chars=SLICE):
+        if held and total + rows.nbytes > SLICE:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(rows)
+        total += rows.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 @lru_cache(maxsize=1)
@@ -187,15 +222,13 @@ class _Writer:
         self.out, self.index = (pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (self.schema, self.index_schema)))
         self.ids, self.ends = np.empty(0, kind.to_pandas_dtype()), np.empty(0, bool)
 
-    def add(self, keys: pa.Array, docs: list[bytes]) -> None:
-        """Append documents' ids, each with its end id."""
-        flat = np.frombuffer(b"".join(docs), self.ids.dtype)
-        sizes = np.array([len(d) for d in docs], np.int64) // flat.itemsize
+    def add(self, keys: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Append the ids of documents, so many of each, with its end id."""
         stops = np.cumsum(sizes)
         ends = np.zeros(len(flat), bool)
         ends[stops - 1] = True
         self.index.write_batch(pa.record_batch([keys, pa.array(self.n_ids + stops - sizes), pa.array(sizes)], schema=self.index_schema))
-        self.n_ids, self.n_docs = self.n_ids + len(flat), self.n_docs + len(docs)
+        self.n_ids, self.n_docs = self.n_ids + len(flat), self.n_docs + len(sizes)
         self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, ends])
         whole = len(self.ids) // self.wide * self.wide
         for at in range(0, whole, self.wide):
@@ -236,13 +269,9 @@ def write_sequences(docs: DataFrame, path: str, folder: str | None = None, key:
         part, file, out = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.arrow", None
         encoder, kind = _encoder(path), id_type(path)
         end = np.array([end_id], kind).tobytes()
-        gc.disable()  # millions of strings and no cycles: a fifth of the time
-        try:
-            for rows in text_slices(batches):
-                out = out or _Writer(file, pa.from_numpy_dtype(kind), rows.schema.field("id").type, length, batch)
-                out.add(rows.column("id"), [ids + end for ids in encoder.encode(rows.column("text").to_pylist())])
-        finally:
-            gc.enable()
+        for rows in _portions(batches):
+            out = out or _Writer(file, pa.from_numpy_dtype(kind), rows.schema.field("id").type, length, batch)
+            out.add(rows.column("id"), *encoder.encode_column(rows.column("text"), end))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [file], "n_docs": [out.n_docs], "n_ids": [out.n_ids], "n_sequences": [out.n_sequences]})

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from rankweave.llm import conversation_trie, token_files, variants
+from rankweave.llm.common import text_slices
 from rankweave.llm.queries import QUERIES, rebuilt, tokenizer_path
 
 pytest.importorskip("public_tokenizers")
@@ -86,6 +87,62 @@ def test_encoder_equals_the_library(library, monkeypatch):
         assert got == [e.ids for e in library.encode_batch(texts[k : k + 100], add_special_tokens=False)]
 
 
+def test_words_with_signs_ask_the_library_for_stems_only(monkeypatch):
+    asked, found = [], token_files._library
+
+    class Counting:
+        def __init__(self, path):
+            self.library = found(path)
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(token_files, "_library", Counting)
+    encoder = token_files.Encoder(tokenizer_path("word_bpe_49k.json"))
+    words = [a + b + c for a in "abcdefgh" for b in "aeioué" for c in "lmnrst"]
+    texts = [" ".join(w + sign for w in words) for sign in ("", ".", "***", ".$$$", "?!")]
+    encoder.encode([*texts, *(t.upper() for t in texts if "É" not in t.upper())])
+    assert len(asked) < 10 and sum(len(t.split()) for t in asked) < len(words) + 10
+    asked.clear()
+    encoder.encode(texts)
+    assert sum(len(t.split()) for t in asked) < 10
+
+
+def test_columns_of_odd_pieces_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 200)
+    rng = random.Random(2)
+    bits = ["word", "Éa", "aé", "ÀÞ", "J", "I", "'s", "'", "’", ".", ",,", "***", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "^`~\\[]-", "1", "²", "ª", "İ", "ſ", "×÷", "\u030c", "\u0307", "\u0301", "\u00a0", "\u2003", "\u200b", "\x1c", "\x1f", "\x85", "\x00", "日本", "🙂"]
+    bits += [" ", " ", " ", "\t", "\n", "\r", "\x0b", "\x0c"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(4000)] + [None, "", " \x0b", "x" * 3000, "y" * 70 + " z", "y" * 70]
+    rng.shuffle(texts)
+    encoder, end = token_files.Encoder(tokenizer_path("word_bpe_49k.json")), np.array([1], "<u2").tobytes()
+    for kind in (pa.string(), pa.large_string()):
+        for k in range(0, len(texts), 400):
+            some = pa.array([None, *texts[k : k + 400]], kind).slice(1)
+            flat, sizes = encoder.encode_column(some, end)
+            got = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+            assert got == [encoded(library, t) for t in some.to_pylist()]
+            assert len(encoder.names) == len(encoder.ids) and max(map(len, encoder.names.to_pylist())) <= token_files.CACHED_CHARS
+    flat, sizes = encoder.encode_column(pa.array([], pa.string()), end)
+    assert len(flat) == len(sizes) == 0
+
+
+def test_small_batches_are_joined_and_large_ones_cut(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 1000)
+    sizes = [0, 1, 2, None, 5, 3000, 1, 400, 400, 400, 0, 999, 7] * 20
+    rows = pa.record_batch({"id": pa.array(range(len(sizes))), "text": pa.array([None if n is None else "é" * (n // 2) for n in sizes])})
+    given = [rows.slice(i, 3) for i in range(0, len(sizes), 3)]
+    found = list(token_files._portions(iter(given)))
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches(given))
+    assert len(found) < len(list(text_slices(iter(given), chars=1000))) and all(b.nbytes <= 1000 or b.num_rows <= 3 for b in found)
+    assert len(list(token_files._portions(rows.slice(0, 1) for _ in range(50)))) == 1
+    assert list(token_files._portions(iter([]))) == []
+
+
 def test_token_files_of_an_empty_table_and_of_odd_lengths(spark, docs):
     path = tokenizer_path("word_bpe_49k.json")
     manifest = token_files.write_sequences(docs.limit(0), path)
