@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators.linkage import equal_pairs
 from rankweave.operators.ranking import dominant, js_round, shares
 from rankweave.operators.ordered import running_total
 from rankweave.plans.registry import query
@@ -225,14 +226,8 @@ def _(m: Model) -> DataFrame:
 
 @query("j15_self_join", "SELECT a.provider_id, b.provider_id other_id FROM providers a JOIN providers b ON a.name = b.name AND a.provider_id <> b.provider_id")
 def _(m: Model) -> DataFrame:
-    # A name's pairs grow with the square of its providers: they are dealt to 16 tasks, not left to one, in
-    # a fixed number of partitions, as adaptive execution would put rows of so few bytes into one.
-    n = int(m.spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = m.providers().select("provider_id", "name")
-    a = rows.withColumn("deal", F.pmod("provider_id", F.lit(16)).cast("int"))
-    b = rows.select(F.col("provider_id").alias("other_id"), "name", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("deal"))
-    a, b = (df.repartition(n, "name", "deal") for df in (a, b))
-    return a.join(b, ["name", "deal"]).where("provider_id <> other_id").select("provider_id", "other_id")
+    # a name's pairs grow with the square of its providers
+    return equal_pairs(m.providers(), "name", "provider_id", "other_id")
 
 
 @query("j18_unambiguous_link", "SELECT name, min(provider_id) provider_id FROM providers GROUP BY name HAVING count(*) = 1")

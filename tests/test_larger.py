@@ -72,3 +72,22 @@ def test_pairs_of_a_name_are_dealt(spark, no_broadcast, monkeypatch):
     assert plan(df).count("REPARTITION_BY_NUM") == 2
     got = [tuple(r) for r in df.collect()]
     assert sorted(got) == [(i, j) for i in range(40) for j in range(40) if i != j]
+
+
+def test_pairs_of_blocks_and_runs(spark):
+    """Blocks and runs with rests: every pair once for each time that its rows stand there."""
+    from rankweave.operators.linkage import equal_pairs
+
+    rows = [(i, "many") for i in range(50)] + [(3, "many"), (100, "two"), (101, "two"), (102, "one"), (None, "many"), (103, None), (104, None)]
+    df = spark.createDataFrame(rows, "id long, `a name` string")
+    got = equal_pairs(df, "a name", "id", "other", block=8, run=3, other_run=4)
+    want = sorted((i, j) for i, a in rows for j, b in rows if a and a == b and i is not None and j is not None and i != j)
+    assert got.columns == ["id", "other"] and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_pairs_of_a_name_take_little_disk(spark, monkeypatch, tmp_path):
+    """Nine million pairs: a quarter of a byte each in Parquet at most."""
+    monkeypatch.setattr(Model, "providers", lambda m: spark.range(3000).selectExpr("id provider_id", "'same' name"))
+    catalog.queries()["j15_self_join"](spark, DATA).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 3000 * 2999
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 3000 * 2999 / 4
