@@ -170,6 +170,36 @@ def test_quality_ratio_rejects_junk(spark):
     assert kept == {i for i, _, _ in good}
 
 
+def test_quality_threshold_by_all_labelled_documents(spark):
+    """Plain Python's threshold: each trusted document scored without its tenth, and no label left out."""
+    rows = [(i, prose(300 + i, 5 + i % 9), 1) for i in range(40)] + [(7, prose(500, 9), 1)] + [(50 + i, prose(400 + i, 8) + " %%" * (1 + i % 3), 0) for i in range(15)] + [(80, prose(501, 9), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df, df.select("doc_id", "quality"))
+    hashes = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+    grams = df.select("quality", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)).alias("fold"), quality.ngram_buckets(hashes, 1 << 16).alias("grams"), F.size(hashes).alias("n")).collect()
+    raw = Counter(g for r in grams for g in r.grams)
+
+    def score(r):
+        good = Counter(g for o in grams for g in o.grams if o.quality == 1 and (r.quality == 0 or o.fold != r.fold))
+        share = lambda c, g: math.log((c[g] + 1) / (c.total() + (1 << 16)))
+        return sum(share(good, g) - share(raw, g) for g in r.grams) / (2 * r.n)
+
+    mean = lambda q: sum(found := [score(r) for r in grams if r.quality == q]) / len(found)
+    assert model.threshold == pytest.approx((mean(1) + mean(0)) / 2, abs=1e-8)
+    assert model.threshold == quality.fit(df, df.select("doc_id", "quality"), max_broadcast=0).threshold
+
+
+def test_quality_threshold_has_no_cap(spark):
+    df = spark.range(21_000).selectExpr("id doc_id", "concat('w', id % 997, ' x', id % 13, if(id < 200, ' good', '')) text", "if(id < 200, 1, 0) quality")
+    whole, capped = (quality.fit(df, df.select("doc_id", "quality"), **k).threshold for k in ({}, {"max_held": 10_000}))
+    assert whole != capped
+
+
+def test_quality_one_trusted_document_places_nothing(spark):
+    df = spark.createDataFrame([(1, prose(1, 30), 1), (2, prose(2, 30), 0)], "doc_id long, text string, quality int")
+    assert quality.fit(df, df.select("doc_id", "quality")).threshold == -math.inf
+
+
 def test_quality_without_labels_decides_nothing(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judge(docs, quality.fit(docs, labels), prefix="q_").collect()
